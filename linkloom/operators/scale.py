@@ -1,0 +1,108 @@
+"""Building blocks that keep big or lopsided inputs spread over many tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from linkloom.session import durable
+
+# A dictionary side is broadcast only after a count has shown that it has no more rows than this.
+BROADCAST_ROWS = 200_000
+
+# Above this many rows, "first N" and deep pages are cut by row number instead of a driver-side top-N.
+TOP_N_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a bounded count proves ``df`` small; otherwise leave the choice open.
+
+    Without the hint the join is a shuffle join, whose hot keys adaptive execution splits.
+    """
+    small = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
+
+
+def rank_by_bucket(
+    df: DataFrame,
+    keys: list[str],
+    bucket: Column,
+    order: list[str],
+    name: str = "rank",
+    group_min: dict[str, str] | None = None,
+) -> DataFrame:
+    """Position (from 1) of each row in its key group, without ever sorting a whole group at once.
+
+    ``bucket`` cuts each group into ascending slices of the order; rows are counted per slice,
+    the slice counts are summed up, and only the rows of one slice are sorted together. So one
+    key may hold any share of the rows. ``<name>_of`` is the group size; ``group_min`` names
+    further columns that get the group's minimum of a column.
+    """
+    group_min = group_min or {}
+    marked = df.withColumn("_slice", bucket)
+    slices = marked.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_size"), *[F.min(c).alias(f"_min_{n}") for n, c in group_min.items()]
+    )
+    up_to = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*keys)
+    starts = slices.select(
+        *keys,
+        "_slice",
+        F.coalesce(F.sum("_size").over(up_to), F.lit(0)).alias("_before"),
+        F.sum("_size").over(group).alias("_group_size"),
+        *[F.min(f"_min_{n}").over(group).alias(n) for n in group_min],
+    )
+    within = W.partitionBy(*keys, "_slice").orderBy(*order)
+    return (
+        marked.join(starts, [*keys, "_slice"])
+        .withColumn(name, F.col("_before") + F.row_number().over(within))
+        .drop("_slice", "_before")
+        .withColumnRenamed("_group_size", f"{name}_of")
+    )
+
+
+def number_by_id(df: DataFrame, id_col: str = "id", name: str = "row_no", span: int = 1_000_000) -> DataFrame:
+    """Number rows 1, 2, ... in the order of a unique integer id.
+
+    Ids are sliced into ranges of ``span``, so no task sorts more than ``span`` rows and the
+    running total has one row per range.
+    """
+    one = df.withColumn("_all", F.lit(0))
+    ranked = rank_by_bucket(one, ["_all"], F.floor(F.col(id_col) / F.lit(span)), [id_col], name)
+    return ranked.drop("_all", f"{name}_of")
+
+
+def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
+    """Number rows 1, 2, ... in any total order.
+
+    A range shuffle sorts the rows; a checkpoint fixes the partitions; then each row's number is
+    its place in its partition plus the sizes of the partitions before. The table of partition
+    sizes has one row per shuffle partition, which bounds the broadcast and the window.
+    """
+    fixed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = fixed.withColumns(
+        {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_before") + F.col("_place") + 1)
+        .drop("_part", "_place", "_before")
+    )
+
+
+def first_n(df: DataFrame, n: int | None, id_col: str = "id") -> DataFrame:
+    """The first ``n`` rows by id; all rows when ``n`` is None."""
+    if n is None:
+        return df
+    if n <= TOP_N_ROWS:
+        return df.orderBy(id_col).limit(n)
+    return number_by_id(df, id_col, "_row").filter(F.col("_row") <= n).drop("_row")
+
+
+def affected(df: DataFrame) -> DataFrame:
+    """One row: how many rows a snapshot transform changed."""
+    return df.agg(F.count_if("changed").alias("affected"))
