@@ -113,7 +113,7 @@ add(
     lambda t: classify.parsed_batches(t.batch_answers, t.categories).select("id", "item", "category"),
     "batch_answers categories",
     f"""WITH lines AS (SELECT id, n, trim(unnest(string_split(raw, chr(10)))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM batch_answers),
-numbered AS (SELECT id, n, i, CAST(regexp_extract(line, '^([0-9]+)[.)]\\s+(.+)$', 1) AS INTEGER) AS item, regexp_extract(line, '^([0-9]+)[.)]\\s+(.+)$', 2) AS answer FROM lines WHERE regexp_matches(line, '^([0-9]+)[.)]\\s+(.+)$')),
+numbered AS (SELECT id, n, i, TRY_CAST(regexp_extract(line, '^([0-9]+)[.)]\\s+(.+)$', 1) AS INTEGER) AS item, regexp_extract(line, '^([0-9]+)[.)]\\s+(.+)$', 2) AS answer FROM lines WHERE regexp_matches(line, '^([0-9]+)[.)]\\s+(.+)$')),
 named AS (SELECT id, i, item, {_normalized('answer')} AS category FROM numbered WHERE item BETWEEN 1 AND n),
 best AS (SELECT id, item, arg_max(category, i) AS category FROM named WHERE category IS NOT NULL GROUP BY id, item)
 SELECT s.id, s.item, best.category FROM (SELECT id, unnest(generate_series(1, n))::INTEGER AS item FROM batch_answers) s LEFT JOIN best ON best.id = s.id AND best.item = s.item""",
