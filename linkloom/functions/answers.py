@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
+from linkloom.operators.scale import dictionary
 
 # Marks that may surround an answer, and the words that may introduce it.
 MARKS = "\"'.,;:-"
@@ -27,7 +28,7 @@ def name_lookup(categories: DataFrame) -> Column:
     The taxonomy is a dictionary of a few hundred names, so it travels as one value: the big
     side is neither joined nor shuffled. Put it into a column before using it in a lambda.
     """
-    named = categories.groupBy(F.lower("name").alias("key")).agg(
+    named = dictionary(categories).groupBy(F.lower("name").alias("key")).agg(
         F.max_by("name", F.struct("sort_order", "id")).alias("name")
     )
     return named.agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names")).scalar()

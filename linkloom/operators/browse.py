@@ -72,17 +72,17 @@ def page(
 ) -> DataFrame:
     """One page of a listing, enriched.
 
-    Near the front it is a top-N; a page far down is cut by row number, so that no task has to
-    keep all rows before it.
+    Near the front it is a top-N. A page far down is cut by row number over the sort columns
+    alone, so that no task has to keep all rows before it; at most ``per_page`` ids find their rows.
     """
     per_page = min(per_page, PER_PAGE_MAX)
     skip = (page - 1) * per_page
     order = sort_columns(sort)
     if skip + per_page <= TOP_N_ROWS:
         return enrich(rows.orderBy(*order).offset(skip).limit(per_page))
-    numbered = number_rows(rows, order, "_row")
-    cut = numbered.filter(F.col("_row").between(skip + 1, skip + per_page)).drop("_row")
-    return enrich(cut.orderBy(*order))
+    numbered = number_rows(rows.select("id", "added_at", "title", "url"), order, "_row")
+    wanted = numbered.filter(F.col("_row").between(skip + 1, skip + per_page)).select("id")
+    return enrich(rows.join(F.broadcast(wanted), "id", "left_semi").orderBy(*order))
 
 
 def page_info(rows: DataFrame, per_page: int = PER_PAGE_DEFAULT) -> DataFrame:

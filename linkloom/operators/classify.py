@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from linkloom.functions import prompts
 from linkloom.functions.answers import name_lookup, normalize_answer, parse_numbered
 from linkloom.functions.domains import norm_domain, rule_domain
-from linkloom.operators.scale import broadcast_if_small, number_by_id
+from linkloom.operators.scale import broadcast_if_small, dictionary, number_by_id
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status, is_unclassified_work, unclassified
 from linkloom.schema import DONE
@@ -67,7 +67,7 @@ def _joined_names(by: str = "struct(sort_order, id, name)") -> Column:
 
 def allowed_lists(categories: DataFrame) -> DataFrame:
     """Allowed-category text per section, and for the whole taxonomy under a NULL section."""
-    per_section = categories.groupBy("section").agg(_joined_names().alias("allowed"))
+    per_section = dictionary(categories).groupBy("section").agg(_joined_names().alias("allowed"))
     whole = categories.agg(_joined_names().alias("allowed")).select(F.lit(None).cast("string").alias("section"), "allowed")
     return per_section.unionByName(whole)
 
@@ -77,7 +77,7 @@ def allowed_for(section: Column, categories: DataFrame) -> Column:
 
     The taxonomy is a small dictionary; both texts enter the query as scalar values.
     """
-    whole = categories.agg(_joined_names().alias("allowed")).scalar()
+    whole = dictionary(categories).agg(_joined_names().alias("allowed")).scalar()
     per_section = categories.groupBy("section").agg(_joined_names().alias("allowed"))
     lists = per_section.agg(F.map_from_entries(F.collect_list(F.struct("section", "allowed"))).alias("m")).scalar()
     return F.coalesce(F.try_element_at(lists, section), whole)
@@ -104,7 +104,7 @@ def batch_prompts(work: DataFrame, categories: DataFrame, size: int) -> DataFram
     )
     line = prompts.batch_item(F.col("item"), F.col("title"), F.col("description"))
     packed = placed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("item", "id", line.alias("line")))).alias("rows"))
-    whole = categories.agg(_joined_names().alias("allowed")).scalar()
+    whole = dictionary(categories).agg(_joined_names().alias("allowed")).scalar()
     return packed.select(
         "chunk",
         F.size("rows").alias("n"),
@@ -128,11 +128,12 @@ def parsed_batches(batches: DataFrame, categories: DataFrame, raw: str = "raw",
     return items.withColumn("item", F.col("_pos") + 1).drop("_pos")
 
 
-def ask_model(df: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+def ask_model(df: DataFrame, ask: Callable[[str], str], workers: int | None = None) -> DataFrame:
     """Run ``ask`` over the ``prompt`` column; adds ``raw`` and ``failure`` (api_err, conn_err or NULL).
 
-    One failing call does not stop the others. The answers are written to the shared checkpoint
-    folder, because a lost executor must not make the model run twice.
+    One failing call does not stop the others. ``workers`` sets how many calls may run at once.
+    The answers are written to the shared checkpoint folder, so later steps and lost executors
+    do not make the model run again.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
 
@@ -149,7 +150,8 @@ def ask_model(df: DataFrame, ask: Callable[[str], str]) -> DataFrame:
             got = [one(p) for p in frame["prompt"]]
             yield frame.assign(raw=[g[0] for g in got], failure=[g[1] for g in got])
 
-    return durable(df.mapInPandas(run, schema))
+    spread = df.repartition(workers, df.columns[0]) if workers else df
+    return durable(spread.mapInPandas(run, schema))
 
 
 def annotate(
@@ -158,6 +160,7 @@ def annotate(
     categories: DataFrame,
     batch_size: int = 1,
     section: str | None = None,
+    workers: int | None = None,
 ) -> DataFrame:
     """Categorise ``work`` (id, url, title, description) with a model.
 
@@ -166,9 +169,9 @@ def annotate(
     are the rows of a narrowed section.
     """
     if batch_size <= 1:
-        return _annotate_single(work, ask, categories, section)
+        return _annotate_single(work, ask, categories, section, workers)
     listed = work.filter(F.col(section).isNull()) if section else work
-    batches = ask_model(batch_prompts(listed, categories, batch_size), ask)
+    batches = ask_model(batch_prompts(listed, categories, batch_size), ask, workers)
     found = parsed_batches(batches, categories).select(
         F.element_at("ids", F.col("item")).alias("id"), F.col("category").alias("_found"), F.col("failure").alias("_down")
     )
@@ -178,11 +181,13 @@ def annotate(
         *work.columns, F.col("_found").alias("category"), F.coalesce("_down", F.lit("ok")).alias("error_kind")
     )
     left_open = joined.filter(F.col("_found").isNull() & F.col("_down").isNull()).select(*work.columns)
-    return first.unionByName(_annotate_single(left_open, ask, categories, section))
+    return first.unionByName(_annotate_single(left_open, ask, categories, section, workers))
 
 
-def _annotate_single(work: DataFrame, ask: Callable[[str], str], categories: DataFrame, section: str | None) -> DataFrame:
-    answered = ask_model(with_prompt(work, categories, section), ask)
+def _annotate_single(
+    work: DataFrame, ask: Callable[[str], str], categories: DataFrame, section: str | None, workers: int | None
+) -> DataFrame:
+    answered = ask_model(with_prompt(work, categories, section), ask, workers)
     named = normalized(answered, categories)
     kind = F.coalesce("failure", F.when(F.col("category").isNull(), "empty").otherwise("ok"))
     return named.withColumn("error_kind", kind).select(*work.columns, "category", "error_kind")
@@ -196,6 +201,7 @@ def classify(
     limit: int | None = None,
     with_description: bool = True,
     batch_size: int = 1,
+    workers: int | None = None,
 ) -> DataFrame:
     """The whole pass without the write (a dry run): rows with route, category and error_kind.
 
@@ -212,6 +218,7 @@ def classify(
         categories,
         batch_size,
         "rule_section",
+        workers,
     )
     return by_rule.unionByName(by_model.select("id", "url", "route", "category", "error_kind"))
 
@@ -225,7 +232,7 @@ def set_categories(urls: DataFrame, answers: DataFrame) -> DataFrame:
         "url", F.col("category").alias("_category"), F.col("tagged_by").alias("_tagged_by")
     )
     merged = rewrite(
-        urls.join(news, "url", "left"),
+        urls.join(broadcast_if_small(news), "url", "left"),
         is_unclassified_work() & F.col("_category").isNotNull(),
         {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")},
     )
@@ -255,7 +262,7 @@ def edit_categories(urls: DataFrame, edits: DataFrame, manual: bool = True) -> D
     """Apply a table of hand edits (id, category)."""
     news = edits.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
     merged = rewrite(
-        urls.join(news, "id", "left"),
+        urls.join(broadcast_if_small(news), "id", "left"),
         F.col("_hit"),
         {"category": F.col("_category"), "manual_override": 1 if manual else 0},
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_filled, percent, round_half_even, strip, word_count
 from linkloom.operators.classify import annotate
+from linkloom.operators.scale import broadcast_if_small
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import done
 
@@ -237,7 +238,7 @@ def accept_model(urls: DataFrame, results: DataFrame, model: str, protect_manual
     where = F.col("_hit").isNotNull()
     if protect_manual:
         where = where & (F.coalesce("manual_override", F.lit(0)) == 0)
-    merged = rewrite(urls.join(news, "id", "left"), where, {"category": F.col("_category"), "tagged_by": model})
+    merged = rewrite(urls.join(broadcast_if_small(news), "id", "left"), where, {"category": F.col("_category"), "tagged_by": model})
     return merged.select(*urls.columns, "changed")
 
 
@@ -255,6 +256,7 @@ def run_models(
     domain: str | None = None,
     limit: int | None = None,
     with_description: bool = True,
+    workers: int | None = None,
 ) -> DataFrame:
     """Run the wanted models that exist over the done links; long rows of the valid answers."""
     work = done(urls, domain, limit, with_description, ordered=False)
@@ -262,7 +264,7 @@ def run_models(
     for model in wanted:
         if model not in asks:
             continue
-        rows = annotate(work, asks[model], categories).filter(F.col("error_kind") == "ok")
+        rows = annotate(work, asks[model], categories, workers=workers).filter(F.col("error_kind") == "ok")
         rows = rows.select(F.col("id").alias("url_id"), F.lit(model).alias("model"), "category", now.alias("tagged_at"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:

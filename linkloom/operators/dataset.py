@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled, percent, strip
-from linkloom.operators.scale import broadcast_if_small, rank_by_bucket
+from linkloom.operators.scale import broadcast_if_small, counted_side, rank_by_bucket
 from linkloom.operators.worklists import has_status
 from linkloom.schema import DONE
 
@@ -33,7 +33,7 @@ def frequent_classes(rows: DataFrame, at_least: int) -> DataFrame:
     if at_least <= 1:
         return rows
     big = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
-    return rows.join(broadcast_if_small(big.select("category")), "category", "left_semi")
+    return rows.join(counted_side(big.select("category")), "category", "left_semi")
 
 
 def skipped(urls: DataFrame, categories: DataFrame, at_least: int = 0) -> DataFrame:
@@ -100,7 +100,7 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     weights = class_weights(rows, label).select(F.col("label").alias(label), "weight")
-    return rows.join(broadcast_if_small(weights), label)
+    return rows.join(counted_side(weights), label)
 
 
 def stratified_split(

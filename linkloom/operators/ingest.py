@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import find_links
-from linkloom.operators.scale import number_rows
+from linkloom.operators.scale import is_small, number_rows
 from linkloom.schema import PENDING, URLS
+from linkloom.session import durable
 
 
 def extract_links(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,7 +69,12 @@ def new_rows(
         high_water = F.coalesce(urls.agg(F.max("id").alias("top")).scalar(), F.lit(0))
     elif isinstance(high_water, int):
         high_water = F.lit(high_water)
-    fresh = first_seen(links).join(urls.select("url"), "url", "left_anti")
+    seen = durable(first_seen(links))
+    known = urls.select("url")
+    if is_small(seen):
+        # a small import looks through the big table without shuffling it
+        known = known.join(F.broadcast(seen.select("url")), "url", "left_semi")
+    fresh = seen.join(known, "url", "left_anti")
     numbered = number_rows(fresh, ["first_doc", "first_pos"])
     now = F.current_timestamp() if now is None else now
     values = {

@@ -23,7 +23,8 @@ def confusion_wide(predictions: DataFrame, labels: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("prediction") == p, F.col("count"))), F.lit(0)).alias(p) for p in labels
     ]
     counted = confusion(predictions).groupBy("label").agg(*cells)
-    rows = predictions.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    named = F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")
+    rows = predictions.sparkSession.range(1).select(named)
     filled = [F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(p) for p in labels]
     return rows.join(counted, "label", "left").select("label", *filled)
 

@@ -36,7 +36,7 @@ def restore(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
         "id", F.col("category").alias("_category"), F.col("tagged_by").alias("_tagged_by"), F.lit(True).alias("_hit")
     )
     merged = rewrite(
-        urls.join(old, "id", "left"), F.col("_hit"), {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")}
+        urls.join(broadcast_if_small(old), "id", "left"), F.col("_hit"), {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")}
     )
     return merged.select(*urls.columns, "changed")
 

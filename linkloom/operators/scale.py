@@ -15,13 +15,33 @@ BROADCAST_ROWS = 200_000
 TOP_N_ROWS = 100_000
 
 
+# The taxonomy travels as one value inside a query, so it must stay a dictionary.
+DICTIONARY_ROWS = 10_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """A count that stops after ``max_rows`` + 1 rows."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a bounded count proves ``df`` small; otherwise leave the choice open.
 
     Without the hint the join is a shuffle join, whose hot keys adaptive execution splits.
     """
-    small = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def counted_side(df: DataFrame) -> DataFrame:
+    """The join side for a grouped table: computed once, kept, and broadcast if it is small."""
+    return broadcast_if_small(durable(df))
+
+
+def dictionary(df: DataFrame, max_rows: int = DICTIONARY_ROWS) -> DataFrame:
+    """``df`` itself, once a bounded count has shown that it is a dictionary."""
+    if not is_small(df, max_rows):
+        raise ValueError(f"more than {max_rows} rows: not a taxonomy")
+    return df
 
 
 def rank_by_bucket(
@@ -36,7 +56,7 @@ def rank_by_bucket(
 
     ``bucket`` cuts each group into ascending slices of the order; rows are counted per slice,
     the slice counts are summed up, and only the rows of one slice are sorted together. So one
-    key may hold any share of the rows. ``<name>_of`` is the group size; ``group_min`` names
+    key may hold any share of the rows. Keys must not be NULL. ``<name>_of`` is the group size; ``group_min`` names
     further columns that get the group's minimum of a column.
     """
     group_min = group_min or {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.domains import report_domain
@@ -152,16 +153,18 @@ def error_buckets(urls: DataFrame) -> DataFrame:
         F.coalesce(F.col("error_code").cast("string"), no_code).alias("bucket"), kind.alias("kind")
     )
     counted = failed.groupBy("bucket", "kind").agg(_rows().alias("count"))
-    whole = urls.filter(has_status(ERROR)).agg(_rows().alias("n")).scalar()
-    return counted.withColumn("share", percent(F.col("count"), whole)).orderBy(F.desc("count"), "bucket")
+    return counted.withColumn("share", _share_of_all()).orderBy(F.desc("count"), "bucket")
+
+
+def _share_of_all() -> Column:
+    """Percent of the total of a small counted table; the window holds one row per bucket."""
+    return percent(F.col("count"), F.sum("count").over(W.partitionBy(F.lit(0))))
 
 
 def error_kinds(urls: DataFrame) -> DataFrame:
     """Retriable, permanent and mixed subtotals."""
-    buckets = error_buckets(urls)
-    whole = urls.filter(has_status(ERROR)).agg(_rows().alias("n")).scalar()
-    summed = buckets.groupBy("kind").agg(F.sum("count").alias("count"))
-    return summed.withColumn("share", percent(F.col("count"), whole))
+    summed = error_buckets(urls).groupBy("kind").agg(F.sum("count").alias("count"))
+    return summed.withColumn("share", _share_of_all())
 
 
 def classified(urls: DataFrame) -> DataFrame:
