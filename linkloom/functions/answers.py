@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
-from linkloom.operators.scale import dictionary
+from linkloom.scale import dictionary
 
 # Marks that may surround an answer, and the words that may introduce it.
 MARKS = "\"'.,;:-"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import enrich
 from linkloom.functions.text import is_empty, like_anywhere
-from linkloom.operators.scale import TOP_N_ROWS, number_rows
+from linkloom.scale import TOP_N_ROWS, number_rows
 from linkloom.operators.worklists import has_status
 from linkloom.schema import DONE
 

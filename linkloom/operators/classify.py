@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from linkloom.functions import prompts
 from linkloom.functions.answers import name_lookup, normalize_answer, parse_numbered
 from linkloom.functions.domains import norm_domain, rule_domain
-from linkloom.operators.scale import broadcast_if_small, dictionary, number_by_id
+from linkloom.scale import broadcast_if_small, dictionary, number_by_id
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status, is_unclassified_work, unclassified
 from linkloom.schema import DONE

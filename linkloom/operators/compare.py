@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_filled, percent, round_half_even, strip, word_count
 from linkloom.operators.classify import annotate
-from linkloom.operators.scale import broadcast_if_small
+from linkloom.scale import broadcast_if_small
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import done
 
@@ -71,8 +71,10 @@ def wide(results: DataFrame, urls: DataFrame, names: list[str], blank: bool = Tr
     )
 
 
-def short_name(model: str) -> str:
-    return model.split(":")[0]
+def short_names(models: list[str]) -> list[str]:
+    """Model names without the part after the colon, where that leaves them different."""
+    short = [m.split(":")[0] for m in models]
+    return [s if short.count(s) == 1 else m for s, m in zip(short, models)]
 
 
 def side_by_side(results: DataFrame, urls: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
@@ -81,7 +83,9 @@ def side_by_side(results: DataFrame, urls: DataFrame, names: list[str], limit: i
     if limit:
         rows = rows.limit(limit)
     shown = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
-    cells = [F.when(F.col(f"`{m}`") == "", "—").otherwise(F.col(f"`{m}`")).alias(short_name(m)) for m in names]
+    cells = [
+        F.when(F.col(f"`{m}`") == "", "—").otherwise(F.col(f"`{m}`")).alias(s) for m, s in zip(names, short_names(names))
+    ]
     return rows.select("id", F.substring(shown, 1, TITLE_CUT).alias("title"), *cells)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled, percent, strip
-from linkloom.operators.scale import broadcast_if_small, counted_side, rank_by_bucket
+from linkloom.scale import broadcast_if_small, counted_side, rank_by_bucket
 from linkloom.operators.worklists import has_status
 from linkloom.schema import DONE
 

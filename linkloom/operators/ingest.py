@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import find_links
-from linkloom.operators.scale import is_small, number_rows
+from linkloom.scale import is_small, number_rows
 from linkloom.schema import PENDING, URLS
 from linkloom.session import durable
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.answers import canonical, name_lookup
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled
-from linkloom.operators.scale import broadcast_if_small, first_n
+from linkloom.scale import broadcast_if_small, first_n
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status
 from linkloom.schema import DONE, URL_DEFAULTS, URLS

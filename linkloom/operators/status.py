@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.scale import broadcast_if_small
+from linkloom.scale import broadcast_if_small
 from linkloom.operators.worklists import has_status, is_transient
 from linkloom.schema import DEFERRED, DONE, ERROR, PENDING
 
@@ -43,6 +43,12 @@ def reset_url(urls: DataFrame, url: str) -> DataFrame:
     return rewrite(urls, F.col("url") == url, _FRESH)
 
 
+def reset_ids(urls: DataFrame, ids: DataFrame) -> DataFrame:
+    """Like :func:`reset_url`, for a table of ids."""
+    hits = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    return rewrite(urls.join(broadcast_if_small(hits), "id", "left"), F.col("_hit"), _FRESH).select(*urls.columns, "changed")
+
+
 def reset_errors(urls: DataFrame) -> DataFrame:
     return rewrite(urls, has_status(ERROR), _RETRY)
 

@@ -16,17 +16,67 @@ from linkloom.schema import DONE
 SECTIONS = (
     (
         "IT и разработка",
-        "Искусственный интеллект|Программирование|Repository|Веб-разработка|Разработка приложений|"
-        "DevOps и инфраструктура|Данные и аналитика|Кибербезопасность|Сети|Тестирование и QA|Оборудование|"
-        "Операционные системы|SaaS",
+        (
+            "Искусственный интеллект",
+            "Программирование",
+            "Repository",
+            "Веб-разработка",
+            "Разработка приложений",
+            "DevOps и инфраструктура",
+            "Данные и аналитика",
+            "Кибербезопасность",
+            "Сети",
+            "Тестирование и QA",
+            "Оборудование",
+            "Операционные системы",
+            "SaaS",
+        ),
+    ),
+    (
+        "Управление и бизнес",
+        (
+            "Управление проектами",
+            "Карьера",
+            "Бизнес",
+            "Стартапы",
+            "Финансы",
+            "Трейдинг",
+        ),
+    ),
+    (
+        "Наука и образование",
+        (
+            "Образование",
+            "Наука",
+            "История",
+        ),
+    ),
+    (
+        "Дизайн и медиа",
+        (
+            "Дизайн",
+            "Игры",
+            "Медиа и контент",
+            "Литература",
+            "Музыка",
+            "Книги",
+        ),
     ),
-    ("Управление и бизнес", "Управление проектами|Карьера|Бизнес|Стартапы|Финансы|Трейдинг"),
-    ("Наука и образование", "Образование|Наука|История"),
-    ("Дизайн и медиа", "Дизайн|Игры|Медиа и контент|Литература|Музыка|Книги"),
     (
         "Прочее",
-        "Автоматизация|Автомобили и транспорт|DIY|Еда и напитки|Здоровье и спорт|Политика и право|"
-        "Интернет-магазин|Одежда|Снаряжение|Аксессуары|Для дома",
+        (
+            "Автоматизация",
+            "Автомобили и транспорт",
+            "DIY",
+            "Еда и напитки",
+            "Здоровье и спорт",
+            "Политика и право",
+            "Интернет-магазин",
+            "Одежда",
+            "Снаряжение",
+            "Аксессуары",
+            "Для дома",
+        ),
     ),
 )
 
@@ -46,7 +96,7 @@ RULES = (
 
 def default_sections(spark: SparkSession) -> DataFrame:
     """The built-in taxonomy as (position, section, names)."""
-    rows = [(i, section, names.split("|")) for i, (section, names) in enumerate(SECTIONS)]
+    rows = [(i, section, list(names)) for i, (section, names) in enumerate(SECTIONS)]
     return spark.createDataFrame(rows, "position int, section string, names array<string>")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain, where_domain
 from linkloom.functions.text import is_empty, is_filled
-from linkloom.operators.scale import broadcast_if_small, first_n, rank_by_bucket
+from linkloom.scale import broadcast_if_small, first_n, rank_by_bucket
 from linkloom.schema import DONE, ERROR, PENDING, TRANSIENT_CODES
 
 

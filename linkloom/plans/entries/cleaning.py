@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain
 from linkloom.operators import migrate
-from linkloom.operators.compare import short_name
+from linkloom.operators.compare import short_names
 from linkloom.plans.catalog import add
 from linkloom.plans.entries.comparing import MODELS, cells
 from linkloom.plans.entries.training import scratch
@@ -17,7 +17,7 @@ ELIGIBLE = "eligible AS (SELECT * FROM urls WHERE status = 'done' AND category I
 def comparison_file(t):
     path = scratch(t, "comparison")
     files.write_comparison(t.latest, t.urls, MODELS, path)
-    short = [short_name(m) for m in MODELS]
+    short = short_names(MODELS)
     schema = ", ".join(["url string", "title string", *[f"`{s}` string" for s in short]])
     rows = t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     return rows.select("url", *[F.coalesce(s, F.lit("")).alias(s) for s in short])
@@ -131,6 +131,6 @@ add(
     comparison_file,
     "model_results urls",
     "WITH w AS (SELECT u.id, u.url, "
-    + cells(short_name)
+    + cells(lambda m: m.split(":")[0])
     + " FROM model_results r JOIN urls u ON u.id = r.url_id GROUP BY ALL) SELECT * EXCLUDE (id) FROM w",
 )

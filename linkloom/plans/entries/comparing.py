@@ -123,7 +123,7 @@ add(
     lambda t: compare.side_by_side(t.latest, t.urls, MODELS),
     "model_results urls",
     "SELECT u.id, substring(CASE WHEN coalesce(u.title, '') <> '' THEN u.title ELSE u.url END, 1, 45) AS title, "
-    + ", ".join(f"coalesce(nullif(max(CASE WHEN model = '{m}' THEN r.category END), ''), '—') AS {compare.short_name(m)}" for m in MODELS)
+    + ", ".join(f"coalesce(nullif(max(CASE WHEN model = '{m}' THEN r.category END), ''), '—') AS {s}" for m, s in zip(MODELS, compare.short_names(MODELS)))
     + " FROM model_results r JOIN urls u ON u.id = r.url_id GROUP BY u.id, u.title, u.url",
 )
 add(

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from linkloom import scale
 from linkloom.functions import domains
-from linkloom.operators import ingest, scale, taxonomy, worklists
+from linkloom.operators import ingest, taxonomy, worklists
 from linkloom.plans.catalog import add
 from linkloom.plans.views import NETLOC, NORM_DOMAIN, RULE_DOMAIN
 

@@ -1,6 +1,7 @@
 """Status transitions and deletions."""
 
-from linkloom.operators import scale, status, worklists
+from linkloom import scale
+from linkloom.operators import status, worklists
 from linkloom.plans.catalog import add
 
 TRANSIENT = "(error_code IS NULL OR error_code IN (429, 500, 502, 503, 504))"

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom import scale
 from linkloom.functions.domains import where_domain
-from linkloom.operators import classify, compare, dataset, ingest, migrate, scale, status, taxonomy
+from linkloom.operators import classify, compare, dataset, ingest, migrate, pages, status, taxonomy
 from linkloom.sources import files
 from linkloom.sources.tables import Table, drop_snapshot, read_snapshot, take_snapshot
 
@@ -48,6 +49,27 @@ def store_fetched(urls: Table, fetched: DataFrame, domain: str | None = None, no
     return store(urls, status.apply_fetch(current(urls), news, _now(now)))
 
 
+def parse_pages(urls: Table, fetched_pages: DataFrame, domain: str | None = None, now: Column | None = None) -> DataFrame:
+    """Extract titles and descriptions of fetched pages and merge them."""
+    found = scale.durable(pages.page_meta(fetched_pages.select("url", "html")))
+    return store_fetched(urls, found, domain, now)
+
+
+def refill_descriptions(urls: Table, fetched_pages: DataFrame, domain: str | None = None) -> DataFrame:
+    """Fill empty descriptions from fetched pages. Returns counts per outcome."""
+    found = scale.durable(pages.page_meta(fetched_pages.select("url", "html")))
+    news = where_domain(found, domain) if domain else found
+    before = current(urls)
+    filled = status.refill_descriptions(before, news)
+    store(urls, filled)
+    return status.refill_summary(status.refill_descriptions(before, news))
+
+
+def refetch(urls: Table, ids: DataFrame) -> DataFrame:
+    """Put chosen links back into the queue. Returns the affected count."""
+    return store(urls, status.reset_ids(current(urls), ids))
+
+
 def classify_links(
     urls: Table,
     rules: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators.compare import short_name, wide
+from linkloom.operators.compare import short_names, wide
 from linkloom.schema import BENCH_LOG, DATASET, DRY_RUN_LOG
 
 
@@ -35,7 +35,7 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 def write_comparison(results: DataFrame, urls: DataFrame, names: list[str], path: str) -> None:
     """Side-by-side CSV with a header: link, title, one column per short model name."""
     rows = wide(results, urls, names).orderBy("id")
-    cells = [F.col(f"`{m}`").alias(short_name(m)) for m in names]
+    cells = [F.col(f"`{m}`").alias(s) for m, s in zip(names, short_names(names))]
     rows.select("url", "title", *cells).write.mode("errorifexists").option("header", True).option(
         "escape", '"'
     ).option("emptyValue", "").csv(path)
