@@ -259,7 +259,7 @@ def reset_categories(urls: DataFrame, domain: str | None = None, protect_manual:
 
 
 def edit_categories(urls: DataFrame, edits: DataFrame, manual: bool = True) -> DataFrame:
-    """Apply a table of hand edits (id, category)."""
+    """Apply a table of hand edits (id, category), one row per id."""
     news = edits.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
     merged = rewrite(
         urls.join(broadcast_if_small(news), "id", "left"),

@@ -100,29 +100,40 @@ def disagreement_count(results: DataFrame) -> DataFrame:
     return disagreements(results).agg(F.count(F.lit(1)).alias("disagreements"))
 
 
+def _order() -> Column:
+    """What makes an answer the plurality of its link, smallest first."""
+    return F.struct((F.col("low") == "").alias("blank"), (-F.col("n")).alias("less"), "first", "low")
+
+
 def votes(results: DataFrame) -> DataFrame:
-    """Result rows with ``tag``, ``plurality`` of the link, and ``depth``, its number of votes.
+    """Result rows with ``tag``, its lower-case form, and the ``plurality`` of the link.
 
-    Ties go to the answer seen first in model-name order; a link without answers has ''. After
-    one shuffle by link everything stays in place; a link holds at most one row per model.
+    Ties go to the answer seen first in model-name order; a link without answers has ''.
+    ``leads`` marks one row per link. One shuffle by link and one sort serve all windows; a link
+    holds at most one row per model.
     """
     tagged = results.select("url_id", "model", strip(F.coalesce("category", F.lit(""))).alias("tag"))
-    low = tagged.repartition("url_id").withColumn("low", F.lower("tag"))
-    same = W.partitionBy("url_id", "low")
-    best = W.partitionBy("url_id").orderBy(F.col("low") == "", F.desc("_n"), "_first", "model")
-    counted = low.withColumns({"_n": F.count(F.lit(1)).over(same), "_first": F.min("model").over(same)})
-    return counted.withColumns(
-        {
-            "plurality": F.first("low").over(best),
-            "depth": F.first(F.when(F.col("low") != "", F.col("_n")).otherwise(0)).over(best),
-            "leads": F.row_number().over(best) == 1,
-        }
-    ).select("url_id", "model", "tag", "low", "plurality", "depth", "leads")
+    placed = tagged.repartition("url_id").withColumn("low", F.lower("tag"))
+    same, link = W.partitionBy("url_id", "low"), W.partitionBy("url_id")
+    counted = placed.withColumns({"n": F.count(F.lit(1)).over(same), "first": F.min("model").over(same)})
+    judged = counted.withColumns({"best": F.min(_order()).over(link), "lead": F.min("model").over(link)})
+    return judged.select(
+        "url_id", "model", "tag", "low", F.col("best.low").alias("plurality"), (F.col("model") == F.col("lead")).alias("leads")
+    )
 
 
 def plurality(results: DataFrame) -> DataFrame:
-    """The most frequent answer per link and the number of models that gave it."""
-    return votes(results).filter("leads").select("url_id", "plurality", "depth")
+    """The most frequent answer per link and the number of models that gave it.
+
+    Ties and blanks as in :func:`votes`, by two grouped aggregates after one shuffle by link.
+    """
+    low = F.lower(strip(F.coalesce("category", F.lit(""))))
+    placed = results.select("url_id", "model", low.alias("low")).repartition("url_id")
+    polls = placed.groupBy("url_id", "low").agg(F.count(F.lit(1)).alias("n"), F.min("model").alias("first"))
+    best = polls.groupBy("url_id").agg(F.min(_order()).alias("b"))
+    return best.select(
+        "url_id", F.col("b.low").alias("plurality"), F.when(F.col("b.blank"), 0).otherwise(-F.col("b.less")).alias("depth")
+    )
 
 
 def _model_counts(results: DataFrame) -> DataFrame:
@@ -235,7 +246,7 @@ def consensus_depth(results: DataFrame) -> DataFrame:
 
 
 def accept_model(urls: DataFrame, results: DataFrame, model: str, protect_manual: bool = False) -> DataFrame:
-    """Copy one model's categories, empty ones too, onto its links."""
+    """Copy one model's categories, empty ones too, onto its links. ``results`` is merged."""
     news = results.filter(F.col("model") == model).select(
         F.col("url_id").alias("id"), F.col("category").alias("_category"), F.lit(True).alias("_hit")
     )

@@ -110,7 +110,7 @@ def seed(sections: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     The running ``sort_order`` also counts repeated names; the first of them is kept.
     """
     if existing is not None:
-        sections = sections.join(existing.select(F.lit(1)).limit(1), how="left_anti")
+        sections = sections.filter(existing.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() == 0)
     entries = sections.select("section", "position", F.posexplode("names").alias("place", "name"))
     order = ["position", "place"]
     placed = entries.withColumn("sort_order", F.row_number().over(W.orderBy(*order)).cast("long") - 1)

@@ -91,11 +91,11 @@ add(
 )
 add(
     "x7_backfill_codes",
-    lambda t: migrate.backfill_error_code(t.urls.withColumn("error_code", F.when(F.col("id") % 3 == 0, F.col("error_code")))).select(
+    lambda t: migrate.backfill_error_code(t.urls.withColumn("error_code", F.when(F.col("status") == "error", F.col("error_code")))).select(
         "id", "error", "error_code", "changed"
     ),
     "urls",
-    """WITH u AS (SELECT id, error, CASE WHEN id % 3 = 0 THEN error_code END AS error_code, TRY_CAST(regexp_extract(error, '(\\d{3})\\s+(Client|Server)\\s+Error', 1) AS INTEGER) AS code FROM urls)
+    """WITH u AS (SELECT id, error, CASE WHEN status = 'error' THEN error_code END AS error_code, TRY_CAST(regexp_extract(error, '(\\d{3})\\s+(Client|Server)\\s+Error', 1) AS INTEGER) AS code FROM urls)
 SELECT id, error, coalesce(error_code, code) AS error_code, error_code IS NULL AND code IS NOT NULL AS changed FROM u""",
 )
 HITS = f"""WITH hits AS (SELECT u.id, (SELECT min(r.rule_no) FROM cleanup_rules r WHERE r.error_code = u.error_code AND (r.domain IS NULL OR r.domain = {NORM_DOMAIN.replace('url', 'u.url')})) AS rule_no FROM urls u)"""

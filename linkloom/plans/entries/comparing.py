@@ -8,6 +8,7 @@ from linkloom.plans.entries.categorising import STUB, stub_model
 from linkloom.plans.entries.imports import NOW, now
 from linkloom.plans.entries.statistics import pct
 
+RETAGGED = "tagged_at < TIMESTAMP '1996-01-01 00:00:00'"
 MODELS = [f"model_{i}:latest" for i in range(1, 8)]
 
 
@@ -49,11 +50,11 @@ add("j1_latest_results", lambda t: t.latest, "model_results", "SELECT * FROM mod
 add(
     "j1_upsert",
     lambda t: compare.upsert_results(
-        t.latest, t.latest.filter("url_id % 3 = 0").select("url_id", "model", F.upper("category").alias("category"), now().alias("tagged_at"))
+        t.latest, t.latest.filter(RETAGGED).select("url_id", "model", F.upper("category").alias("category"), now().alias("tagged_at"))
     ),
     "model_results",
-    f"""SELECT url_id, model, CASE WHEN url_id % 3 = 0 THEN upper(category) ELSE category END AS category,
-  CASE WHEN url_id % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE tagged_at END AS tagged_at FROM model_results""",
+    f"""SELECT url_id, model, CASE WHEN {RETAGGED} THEN upper(category) ELSE category END AS category,
+  CASE WHEN {RETAGGED} THEN TIMESTAMP '{NOW}' ELSE tagged_at END AS tagged_at FROM model_results""",
 )
 add(
     "j2_wide_by_id",

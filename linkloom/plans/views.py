@@ -118,14 +118,15 @@ FROM pages WHERE page_id % 8 <> 5""",
 UNION ALL SELECT DISTINCT CAST(1 + page_id % 2 * 4 AS BIGINT), CASE WHEN page_id % 2 = 0 THEN 410 ELSE 404 END, CAST(NULL AS VARCHAR(9)) FROM pages
 UNION ALL SELECT DISTINCT CAST(9 AS BIGINT), 403, {NORM_DOMAIN} FROM pages""",
     ),
-    "edits": (("pages",), "SELECT page_id + 1 AS id, concat('cat', CAST(page_id % 4 AS VARCHAR(4))) AS category FROM pages WHERE page_id % 6 = 2"),
-    "doomed": (("pages",), "SELECT page_id + 1 AS id FROM pages WHERE page_id % 9 = 4"),
+    # hand edits of links without a description, and links that are gone for good
+    "edits": (("urls",), "SELECT id, concat('cat', CAST(id % 4 AS VARCHAR(4))) AS category FROM urls WHERE status = 'done' AND coalesce(description, '') = ''"),
+    "doomed": (("urls",), "SELECT id FROM urls WHERE error_code IN (404, 410) OR title = ''"),
     "tag_lists": (
         ("urls",),
         """SELECT id, CASE WHEN id % 3 = 0 THEN concat(coalesce(category, 'none'), ', ', status) WHEN id % 3 = 1 THEN category ELSE concat(status, ' ,,', coalesce(tagged_by, '')) END AS category
 FROM urls""",
     ),
-    "tags": (("pages",), "SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN concat('Sorry, no ', CAST(page_id AS VARCHAR(8))) WHEN 1 THEN 'a b c d e' WHEN 2 THEN substring(html, 100, 41) WHEN 3 THEN concat('URL: ', url) WHEN 4 THEN 'Data' ELSE substring(html, 90, 12) END AS tag FROM pages"),
+    "tags": (("pages",), "SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN concat('Sorry, no ', CAST(page_id AS VARCHAR(8))) WHEN 1 THEN 'a b c d e' WHEN 2 THEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) WHEN 3 THEN concat('URL: ', url) WHEN 4 THEN 'Data' ELSE regexp_extract(html, '<h1>([A-Za-z]*)', 1) END AS tag FROM pages"),
     "predictions": (
         ("lineitem",),
         """SELECT l_returnflag AS label, CASE WHEN l_quantity < 10 THEN 'N' WHEN l_quantity > 45 THEN 'X' ELSE l_returnflag END AS prediction

@@ -39,6 +39,7 @@ def import_links(texts: DataFrame, urls: DataFrame, path: str, now: Column | Non
     """Mine arriving texts (doc_id, text) for links and store the unseen ones as pending rows.
 
     ``urls`` is the table the job starts from; the rows added later are read from the batches.
+    The stream's checkpoint numbers the batches, so it belongs to ``path``: keep or drop both.
     """
 
     def merge(links: DataFrame, batch: int) -> None:
