@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain, where_domain
 from linkloom.functions.text import is_empty, is_filled
-from linkloom.scale import broadcast_if_small, first_n, rank_by_bucket
+from linkloom.scale import ID_SPAN, broadcast_if_small, first_n, rank_by_bucket
 from linkloom.schema import DONE, ERROR, PENDING, TRANSIENT_CODES
 
 
@@ -86,7 +86,7 @@ def unclassified(
     return _sorted(first_n(work, limit), ordered)
 
 
-def round_robin(work: DataFrame, id_span: int = 1_000_000) -> DataFrame:
+def round_robin(work: DataFrame, id_span: int = ID_SPAN) -> DataFrame:
     """Polite fetch order: one link of each domain in turn, domains in first-seen order.
 
     ``turn`` and ``domain_first_id`` are the order. A dominant domain is ranked in id slices,

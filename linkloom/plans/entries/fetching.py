@@ -21,6 +21,17 @@ add(
     "",
     f"SELECT page_id, url, {H1} AS description, 'h1' AS description_source, CAST(NULL AS VARCHAR) AS error FROM pages",
 )
+add(
+    "p3_sources",
+    lambda t: pages.page_meta(t.rich_pages),
+    "rich_pages",
+    f"""WITH k AS (SELECT *, page_id % 8 AS k, CAST(page_id AS VARCHAR) AS n FROM rich_pages)
+SELECT page_id, url, CASE k WHEN 1 THEN 'OG ' || n WHEN 2 THEN 'LD ' || n WHEN 4 THEN 'G ' || n WHEN 5 THEN 'OG ' || n END AS title,
+  CASE k WHEN 1 THEN 'M & ' || n WHEN 2 THEN 'D ' || n WHEN 3 THEN 'L ' || n WHEN 6 THEN NULL ELSE {H1} END AS description,
+  CASE WHEN k = 6 THEN '''int'' object has no attribute ''strip''' END AS error, CAST(NULL AS INTEGER) AS error_code,
+  CASE k WHEN 1 THEN 'og_title' WHEN 2 THEN 'ld_name' WHEN 4 THEN 'ld_name' WHEN 5 THEN 'og_title' END AS title_source,
+  CASE k WHEN 1 THEN 'meta_description' WHEN 2 THEN 'ld_description' WHEN 3 THEN 'ld_description' WHEN 6 THEN 'ld_description' ELSE 'h1' END AS description_source FROM k""",
+)
 add("p3_candidates", lambda t: pages.candidates(t.pages))
 add(
     "p4_stubs",

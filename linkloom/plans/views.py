@@ -69,6 +69,19 @@ FROM pages WHERE page_id % 10 > 6 OR page_id % 2 = 1""",
     "stub_pages": (
         ("pages",),
         """SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN concat('<script>defaultHash = "', md5(url), '"</script>') WHEN page_id % 5 = 1 THEN concat('<script>defaultHash="', md5(url), '"</script>', repeat(' ', 1500)) ELSE html END AS html
+FROM pages""",
+    ),
+    # pages without a title tag, with the other places a title or description can come from
+    "rich_pages": (
+        ("pages",),
+        """SELECT page_id, url, concat(CASE page_id % 8
+    WHEN 1 THEN concat('<meta property="og:title" content=" OG ', CAST(page_id AS VARCHAR(8)), ' "><meta name="description" content="M &amp; ', CAST(page_id AS VARCHAR(8)), '">')
+    WHEN 2 THEN concat('<script type="application/ld+json">{"name": "LD ', CAST(page_id AS VARCHAR(8)), '", "description": " D ', CAST(page_id AS VARCHAR(8)), ' "}</script>')
+    WHEN 3 THEN concat('<script type="application/ld+json">[1, {"description": "L ', CAST(page_id AS VARCHAR(8)), '"}, {"name": "no"}]</script>')
+    WHEN 4 THEN concat('<script type="application/ld+json">{bad</script><script type="application/ld+json">{"url": 1}</script><script type="application/ld+json">{"name": "G ', CAST(page_id AS VARCHAR(8)), '"}</script>')
+    WHEN 5 THEN concat('<meta content="OG ', CAST(page_id AS VARCHAR(8)), '" property="og:title"><script type="application/ld+json">{"name": 5, "description": null}</script>')
+    WHEN 6 THEN '<script type="application/ld+json">{"description": 7}</script>'
+    WHEN 7 THEN '<meta property="og:description" content=" "><meta property="og:description" content="second">' ELSE '' END, replace(html, 'title>', 'b>')) AS html
 FROM pages""",
     ),
     "model_results_raw": (
@@ -191,6 +204,7 @@ class Tables:
 
     @staticmethod
     def _bind(sql: str, parents: tuple[str, ...]) -> str:
+        sql = sql.replace("{", "{{").replace("}", "}}")
         for parent in parents:
             sql = sql.replace(f"FROM {parent}", f"FROM {{{parent}}}")
         return sql

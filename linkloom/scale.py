@@ -15,6 +15,9 @@ BROADCAST_ROWS = 200_000
 TOP_N_ROWS = 100_000
 
 
+# Ids are ranked in ranges of this size: the most rows that one sort group of dense ids can hold.
+ID_SPAN = 100_000
+
 # The taxonomy travels as one value inside a query, so it must stay a dictionary.
 DICTIONARY_ROWS = 10_000
 
@@ -82,7 +85,7 @@ def rank_by_bucket(
     )
 
 
-def number_by_id(df: DataFrame, id_col: str = "id", name: str = "row_no", span: int = 1_000_000) -> DataFrame:
+def number_by_id(df: DataFrame, id_col: str = "id", name: str = "row_no", span: int = ID_SPAN) -> DataFrame:
     """Number rows 1, 2, ... in the order of a unique integer id.
 
     Ids are sliced into ranges of ``span``, so no task sorts more than ``span`` rows and the
