@@ -36,7 +36,7 @@ def pipeline(labels: list[str], max_iter: int = 30, features: int = 1 << 18, reg
 
 def train(rows: DataFrame, **settings) -> PipelineModel:
     """Fit on (text, label). The label index is part of the saved model."""
-    indexer = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc")
     weighted = with_weights(rows.select("text", "label"))
     indexed = indexer.fit(weighted)
     fitted = pipeline(list(indexed.labels), **settings).fit(indexed.transform(weighted))

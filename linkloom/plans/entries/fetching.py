@@ -5,7 +5,7 @@ from linkloom.plans.catalog import add
 from linkloom.plans.entries.imports import NOW, now
 
 REGEX = "regexp_extract(html, '<{0}>([^<]*)</{0}>', 1)"
-UNESCAPE = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+UNESCAPE = "regexp_replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp(;|$)', '&', 'g')"
 TITLE = f"trim({UNESCAPE.format(REGEX.format('title'))})"
 H1 = f"trim({UNESCAPE.format(REGEX.format('h1'))})"
 
