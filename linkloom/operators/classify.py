@@ -129,13 +129,14 @@ def parsed_batches(batches: DataFrame, categories: DataFrame, raw: str = "raw",
 
 
 def ask_model(df: DataFrame, ask: Callable[[str], str], workers: int | None = None) -> DataFrame:
-    """Run ``ask`` over the ``prompt`` column; adds ``raw`` and ``failure`` (api_err, conn_err or NULL).
+    """Replace the ``prompt`` column by ``raw``, the answer, and ``failure`` (api_err, conn_err or NULL).
 
     One failing call does not stop the others. ``workers`` sets how many calls may run at once.
     The answers are written to the shared checkpoint folder, so later steps and lost executors
     do not make the model run again.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
+    kept = [f for f in df.schema.fields if f.name != "prompt"]
+    schema = T.StructType([*kept, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
 
     def one(prompt: str) -> tuple[str | None, str | None]:
         try:
@@ -148,7 +149,7 @@ def ask_model(df: DataFrame, ask: Callable[[str], str], workers: int | None = No
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [one(p) for p in frame["prompt"]]
-            yield frame.assign(raw=[g[0] for g in got], failure=[g[1] for g in got])
+            yield frame.drop(columns="prompt").assign(raw=[g[0] for g in got], failure=[g[1] for g in got])
 
     spread = df.repartition(workers, df.columns[0]) if workers else df
     return durable(spread.mapInPandas(run, schema))

@@ -2,6 +2,7 @@
 
 Each job takes what has newly arrived and can be stopped and restarted. Tables fed in batches
 keep one folder per batch, overwritten when a batch is repeated, so a repeat changes nothing.
+``compact`` merges the folders of finished batches into one.
 """
 
 from __future__ import annotations
@@ -24,17 +25,45 @@ def _batch_folder(path: str, batch: int) -> str:
     return f"{path.rstrip('/')}/batch={batch:010d}"
 
 
+def _complete(folder: Folder, kind: str) -> list[str]:
+    return [n for n in folder.names() if n.startswith(f"{kind}=") and folder.exists(f"{n}/_SUCCESS")]
+
+
+def _number(name: str) -> int:
+    return int(name.split("=")[1])
+
+
 def _older_batches(spark: SparkSession, path: str, schema, batch: int | None = None) -> DataFrame:
-    """Rows of the batches before ``batch``, or of all batches."""
+    """Rows of the batches before ``batch``, or of all batches.
+
+    The newest complete ``upto=N`` folder stands for all batches before N.
+    """
     folder = Folder(spark, path)
-    names = [n for n in folder.names() if n.startswith("batch=") and folder.exists(f"{n}/_SUCCESS")]
-    if batch is not None:
-        names = [n for n in names if int(n[6:]) < batch]
+    merged = _complete(folder, "upto")[-1:]
+    start = _number(merged[0]) if merged else 0
+    names = merged + [n for n in _complete(folder, "batch") if start <= _number(n) and (batch is None or _number(n) < batch)]
     if not names:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[f"{folder.path}/{n}" for n in names])
 
 
+def compact(
+    spark: SparkSession, path: str, schema, before: int, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> None:
+    """Merge the batches before ``before``, all finished, into one folder and drop their folders.
+
+    Readers keep using the old folders until the new one is complete.
+    """
+    folder = Folder(spark, path)
+    old = [n for n in _complete(folder, "batch") if _number(n) < before] + _complete(folder, "upto")
+    name = f"upto={before:010d}"
+    if name not in old:
+        merge(_older_batches(spark, path, schema, before)).write.mode("overwrite").parquet(f"{folder.path}/{name}")
+    for done in old:
+        if done != name:
+            folder.drop(done)
+
+
 def import_links(texts: DataFrame, urls: DataFrame, path: str, now: Column | None = None) -> DataStreamWriter:
     """Mine arriving texts (doc_id, text) for links and store the unseen ones as pending rows.
 
@@ -64,6 +93,10 @@ def label_by_rules(work: DataFrame, rules: DataFrame) -> DataFrame:
     return route_by_rules(work, rules)
 
 
+def merge_results(rows: DataFrame) -> DataFrame:
+    return latest_results(rows, ["tagged_at", "category"], ["category", "tagged_at"])
+
+
 def collect_results(rows: DataFrame, path: str) -> DataStreamWriter:
     """Append arriving model results (url_id, model, category, tagged_at), already merged per batch.
 
@@ -71,15 +104,14 @@ def collect_results(rows: DataFrame, path: str) -> DataStreamWriter:
     """
 
     def store(batch_rows: DataFrame, batch: int) -> None:
-        merged = latest_results(batch_rows, ["tagged_at", "category"], ["category", "tagged_at"])
-        merged.write.mode("overwrite").parquet(_batch_folder(path, batch))
+        merge_results(batch_rows).write.mode("overwrite").parquet(_batch_folder(path, batch))
 
     return rows.writeStream.foreachBatch(store)
 
 
 def current_results(spark: SparkSession, path: str) -> DataFrame:
     """One row per (url_id, model): the last write wins."""
-    return latest_results(_older_batches(spark, path, MODEL_RESULTS), ["tagged_at", "category"], ["category", "tagged_at"])
+    return merge_results(_older_batches(spark, path, MODEL_RESULTS))
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:

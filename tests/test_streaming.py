@@ -61,3 +61,18 @@ def test_results(spark, tables, tmp_path):
     jobs.run_available(jobs.collect_results(stream(spark, folder, rows.schema), out), mark)
     want = compare.latest_results(rows, ["tagged_at", "category"], ["category", "tagged_at"])
     assert same(jobs.current_results(spark, out), want)
+    for before in (2, 2, 4):
+        jobs.compact(spark, out, jobs.MODEL_RESULTS, before, jobs.merge_results)
+        assert same(jobs.current_results(spark, out), want)
+    assert jobs.Folder(spark, out).names() == ["upto=0000000004"]
+
+
+def test_import_after_compaction(spark, tables, tmp_path):
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    texts = tables.raw_links
+    for part in range(3):
+        texts.repartition(1).write.mode("append").parquet(folder)
+        jobs.run_available(jobs.import_links(stream(spark, folder, texts.schema), tables.urls, out, now()), mark)
+        jobs.compact(spark, out, jobs.URLS, part + 1)
+    want = ingest.new_rows(tables.urls, ingest.extract_links(texts), now())
+    assert same(jobs.imported(spark, out), want)
