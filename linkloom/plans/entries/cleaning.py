@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain
-from linkloom.operators import migrate
+from linkloom.operators import ingest, migrate
 from linkloom.operators.compare import short_names
 from linkloom.plans.catalog import add
 from linkloom.plans.entries.comparing import MODELS, cells
+from linkloom.plans.entries.imports import LINKS, NOW, now
 from linkloom.plans.entries.training import scratch
 from linkloom.plans.views import NORM_DOMAIN
 from linkloom.sources import files, tables
@@ -31,6 +32,22 @@ def backup_roundtrip(t):
     return t.spark.read.parquet(f"{path}/{newest}")
 
 
+def text_import(t):
+    """Write the texts as files in their order, read them back, and number the new links."""
+    path = scratch(t, "texts")
+    t.raw_links.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
+    links = ingest.extract_links(files.read_text(t.spark, path))
+    return ingest.new_rows(t.urls, links, now()).select("id", "url", "status", "added_at", "manual_override")
+
+
+add(
+    "s1_text_files",
+    text_import,
+    "raw_links urls",
+    LINKS
+    + f""" SELECT (SELECT max(id) FROM urls) + row_number() OVER (ORDER BY first_doc, first_pos) AS id, url, 'pending' AS status,
+  TIMESTAMP '{NOW}' AS added_at, 0 AS manual_override FROM seen WHERE url NOT IN (SELECT url FROM urls)""",
+)
 add("x1_eligible", lambda t: migrate.eligible_count(t.urls), "urls", f"WITH {ELIGIBLE} SELECT count(*) AS eligible FROM eligible")
 add(
     "x2_snapshot",

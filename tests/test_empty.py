@@ -1,4 +1,4 @@
-"""Every query also runs over empty tables."""
+"""Every operator also runs over empty tables."""
 
 import glob
 import os
@@ -19,6 +19,10 @@ def empty_dir(sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(NEEDS_ROWS)))
+# the first query of each inventory row
+FIRST = {name.split("_")[0]: name for name in reversed(QUERIES) if not name.startswith(NEEDS_ROWS)}
+
+
+@pytest.mark.parametrize("name", sorted(FIRST.values()))
 def test_runs_on_nothing(spark, empty_dir, name):
     QUERIES[name](spark, empty_dir).collect()
