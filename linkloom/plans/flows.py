@@ -1,6 +1,6 @@
 """Whole runs over stored tables: import, parse, refill, classify, compare, export.
 
-Each reads the latest versions, writes the next one, and returns its one-row summary.
+Each reads the latest rows and writes only the rows it adds or changes.
 """
 
 from __future__ import annotations
@@ -21,35 +21,39 @@ def _now(now: Column | None) -> Column:
     return F.current_timestamp() if now is None else now
 
 
-def store(urls: Table, transformed: DataFrame) -> DataFrame:
-    """Write a transformed snapshot; the result counts the changed rows of the stored version."""
-    marked = transformed.select("*").drop("outcome")
-    version = urls.write(marked)
-    written = urls.read(version)
-    return scale.affected(written) if "changed" in written.columns else written.agg(F.count(F.lit(1)).alias("rows"))
+# After this many change sets the next one is followed by a full version.
+CHANGE_SETS = 8
 
 
-def current(urls: Table) -> DataFrame:
-    """The latest snapshot without the marks of the run that wrote it."""
-    return urls.read().drop("changed")
+def store(table: Table, transformed: DataFrame) -> int:
+    """Write the changed rows of a transform as a change set. Returns their number."""
+    rows = transformed.filter("changed").drop("changed", "outcome")
+    return save(table, rows)
+
+
+def save(table: Table, rows: DataFrame) -> int:
+    count = table.write_changes(rows)
+    if len(table.pending_changes()) > CHANGE_SETS:
+        table.fold()
+    return count
 
 
 def import_links(urls: Table, texts: DataFrame, now: Column | None = None) -> DataFrame:
     """Find links in texts and add the unseen ones. Returns found, added and skipped."""
-    before = current(urls)
+    before = urls.read()
     links = ingest.extract_links(texts)
     report = ingest.import_summary(ingest.split_known(before, links))
-    urls.write(ingest.insert_links(before, links, _now(now)))
+    save(urls, ingest.new_rows(before, links, _now(now), urls.high_water()))
     return report
 
 
-def store_fetched(urls: Table, fetched: DataFrame, domain: str | None = None, now: Column | None = None) -> DataFrame:
-    """Merge fetch outcomes. Returns the counts of changed rows."""
+def store_fetched(urls: Table, fetched: DataFrame, domain: str | None = None, now: Column | None = None) -> int:
+    """Merge fetch outcomes. Returns the number of changed rows."""
     news = where_domain(fetched, domain) if domain else fetched
-    return store(urls, status.apply_fetch(current(urls), news, _now(now)))
+    return store(urls, status.apply_fetch(urls.read(), news, _now(now)))
 
 
-def parse_pages(urls: Table, fetched_pages: DataFrame, domain: str | None = None, now: Column | None = None) -> DataFrame:
+def parse_pages(urls: Table, fetched_pages: DataFrame, domain: str | None = None, now: Column | None = None) -> int:
     """Extract titles and descriptions of fetched pages and merge them."""
     found = scale.durable(pages.page_meta(fetched_pages.select("url", "html")))
     return store_fetched(urls, found, domain, now)
@@ -59,15 +63,15 @@ def refill_descriptions(urls: Table, fetched_pages: DataFrame, domain: str | Non
     """Fill empty descriptions from fetched pages. Returns counts per outcome."""
     found = scale.durable(pages.page_meta(fetched_pages.select("url", "html")))
     news = where_domain(found, domain) if domain else found
-    before = current(urls)
+    before = urls.read()
     filled = status.refill_descriptions(before, news)
     store(urls, filled)
     return status.refill_summary(status.refill_descriptions(before, news))
 
 
-def refetch(urls: Table, ids: DataFrame) -> DataFrame:
-    """Put chosen links back into the queue. Returns the affected count."""
-    return store(urls, status.reset_ids(current(urls), ids))
+def refetch(urls: Table, ids: DataFrame) -> int:
+    """Put chosen links back into the queue. Returns the number of changed rows."""
+    return store(urls, status.reset_ids(urls.read(), ids))
 
 
 def classify_links(
@@ -82,7 +86,7 @@ def classify_links(
     dry_run: bool = False,
 ) -> DataFrame:
     """Classify what waits for a category; a dry run leaves the table alone. Returns counts."""
-    before = current(urls)
+    before = urls.read()
     found = classify.classify(before, rules, categories, ask, limit, with_description, batch_size)
     if not dry_run:
         store(urls, classify.set_categories(before, classify.tag_answers(found, model)))
@@ -93,34 +97,40 @@ def export_dataset(
     urls: Table, categories: DataFrame, path: str, with_description: bool = True, at_least: int = 0
 ) -> DataFrame:
     """Write the labelled dataset. Returns exported and skipped counts."""
-    rows = current(urls)
+    rows = urls.read()
     files.write_dataset(dataset.dataset(rows, categories, with_description, at_least), path)
     return dataset.skipped(rows, categories, at_least)
 
 
-def accept_model(urls: Table, results: DataFrame, model: str, protect_manual: bool = False) -> DataFrame:
-    return store(urls, compare.accept_model(current(urls), results, model, protect_manual))
+def accept_model(urls: Table, results: DataFrame, model: str, protect_manual: bool = False) -> int:
+    """Copy one model's categories onto its links. Returns the number of changed rows."""
+    return store(urls, compare.accept_model(urls.read(), results, model, protect_manual))
 
 
-def start_benchmark(urls: Table, snapshot_path: str, limit: int) -> DataFrame:
-    """Save the categories of a subset, then clear them. Returns the affected count."""
-    rows = take_snapshot(migrate.snapshot_rows(current(urls), limit), snapshot_path)
-    return store(urls, migrate.reset_subset(current(urls), rows))
+def start_benchmark(urls: Table, snapshot_path: str, limit: int) -> int:
+    """Save the categories of a subset, then clear them. Returns the number of changed rows."""
+    rows = take_snapshot(migrate.snapshot_rows(urls.read(), limit), snapshot_path)
+    return store(urls, migrate.reset_subset(urls.read(), rows))
 
 
-def finish_benchmark(urls: Table, snapshot_path: str) -> DataFrame | None:
+def finish_benchmark(urls: Table, snapshot_path: str) -> int | None:
     """Restore the saved categories and drop the snapshot; None when there is none."""
-    rows = read_snapshot(urls.folder.spark, snapshot_path)
+    rows = read_snapshot(urls.spark, snapshot_path)
     if rows is None:
         return None
-    done = store(urls, migrate.restore(current(urls), rows))
-    drop_snapshot(urls.folder.spark, snapshot_path)
+    done = store(urls, migrate.restore(urls.read(), rows))
+    drop_snapshot(urls.spark, snapshot_path)
     return done
 
 
-def rename_category(categories: Table, urls: Table, old: str, new: str) -> DataFrame:
+def rename_category(categories: Table, urls: Table, old: str, new: str) -> int:
     """Rename a category in both tables. Returns the number of rewritten links."""
-    names, links = taxonomy.rename(categories.read().drop("changed"), current(urls), old, new)
+    names, links = taxonomy.rename(categories.read(), urls.read(), old, new)
     changed = store(urls, links)
-    categories.write(names.drop("changed"))
+    store(categories, names)
     return changed
+
+
+def delete_links(urls: Table, ids: DataFrame) -> int:
+    """Delete links by id; their ids are not given out again. Returns how many there were."""
+    return urls.delete(ids)

@@ -1,17 +1,17 @@
-"""Versioned table snapshots, backups, and the benchmark snapshot, on any Hadoop file system.
-
-A table is a folder of version folders ``v=00000001``, ``v=00000002``, ... A version counts
-once its success marker exists, so a reader never sees a half-written one, and a snapshot is
-never overwritten while it is being read.
-"""
+"""Versioned tables, backups, and the benchmark snapshot, on any Hadoop file system."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.scale import broadcast_if_small
 
 BACKUPS_KEPT = 3
+GONE = "_gone"
 
 
 class Folder:
@@ -34,39 +34,114 @@ class Folder:
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(f"{self.path}/{name}")).getLength()
 
+    def mark(self, name: str) -> None:
+        self._fs.mkdirs(self._path(f"{self.path}/{name}"))
+
     def drop(self, name: str = "") -> None:
         self._fs.delete(self._path(f"{self.path}/{name}" if name else self.path), True)
 
 
 class Table:
-    """A table kept as immutable versions."""
+    """A table kept as full versions plus the change sets written since the last one.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.folder = Folder(spark, path)
+    ``v=N`` holds all rows, ``c=N`` only rows that were added, replaced or deleted in step N. So
+    a small update of a huge table writes little; ``fold`` merges the change sets into the next
+    full version. A step counts once its success marker exists, so a reader never sees a
+    half-written one, and nothing is overwritten while it is being read.
+    """
 
-    def versions(self) -> list[str]:
-        return [n for n in self.folder.names() if n.startswith("v=") and self.folder.exists(f"{n}/_SUCCESS")]
+    def __init__(self, spark: SparkSession, path: str, key: str = "id") -> None:
+        self.spark, self.key = spark, key
+        self.folder = Folder(spark, path)
 
-    def read(self, version: str | None = None) -> DataFrame:
-        versions = self.versions()
-        if not versions:
+    def steps(self) -> list[str]:
+        """Complete steps, oldest first."""
+        names = [n for n in self.folder.names() if n[:2] in ("v=", "c=") and self.folder.exists(f"{n}/_SUCCESS")]
+        return sorted(names, key=_step)
+
+    def _next(self, kind: str) -> str:
+        taken = [_step(n) for n in self.folder.names() if n[:2] in ("v=", "c=")]
+        return f"{kind}={max(taken, default=0) + 1:08d}"
+
+    def _load(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder.path}/{name}")
+
+    def pending_changes(self) -> list[str]:
+        """Change sets since the last full version."""
+        steps = self.steps()
+        last = max((i for i, n in enumerate(steps) if n[0] == "v"), default=-1)
+        return steps[last + 1 :]
+
+    def read(self, step: int | None = None) -> DataFrame:
+        """The rows as of a step, the latest by default."""
+        steps = [n for n in self.steps() if step is None or _step(n) <= step]
+        full = [i for i, n in enumerate(steps) if n[0] == "v"]
+        if not full:
             raise FileNotFoundError(f"no version of {self.folder.path}")
-        return self.folder.spark.read.parquet(f"{self.folder.path}/{version or versions[-1]}")
-
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> str:
-        """Write the next version. The latest one stays readable until this one is complete."""
-        taken = [int(n[2:]) for n in self.folder.names() if n.startswith("v=")]
-        version = f"v={max(taken, default=0) + 1:08d}"
+        base, changes = self._load(steps[full[-1]]), steps[full[-1] + 1 :]
+        if not changes:
+            return base
+        latest = self._latest(changes)
+        kept = base.join(broadcast_if_small(latest.select(self.key)), self.key, "left_anti")
+        return kept.select(*base.columns).unionByName(latest.filter(~F.col(GONE)).select(*base.columns))
+
+    def _latest(self, names: list[str]) -> DataFrame:
+        """The last change per key."""
+        sets = [self._load(n).withColumn("_step", F.lit(_step(n))) for n in names]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+        if len(sets) == 1:
+            return rows.drop("_step")
+        values = [c for c in rows.columns if c not in (self.key, "_step")]
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), "_step").alias("_row"))
+        return last.select(self.key, "_row.*")
+
+    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        """Write a full version and return its step number."""
+        name = self._next("v")
         writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.folder.path}/{version}")
-        return version
+        writer.parquet(f"{self.folder.path}/{name}")
+        return _step(name)
+
+    def write_changes(self, rows: DataFrame) -> int:
+        """Add or replace rows, whole rows with unique keys. Returns how many there were."""
+        return self._write_set(rows.withColumn(GONE, F.lit(False)))
+
+    def delete(self, keys: DataFrame) -> int:
+        """Delete the rows of a table of keys that exist. Returns how many there were."""
+        wanted = broadcast_if_small(keys.select(self.key).distinct())
+        return self._write_set(self.read().join(wanted, self.key, "left_semi").withColumn(GONE, F.lit(True)))
+
+    def _write_set(self, rows: DataFrame) -> int:
+        name = self._next("c")
+        rows.write.mode("errorifexists").parquet(f"{self.folder.path}/{name}")
+        return self._load(name).count()
+
+    def fold(self) -> int:
+        """Write everything as one full version; the largest key ever used stays on record."""
+        self.folder.mark(f"high={self.high_water()}")
+        return self.write(self.read())
+
+    def high_water(self) -> int:
+        """The largest key ever used, deleted rows included."""
+        known = [int(n[5:]) for n in self.folder.names() if n.startswith("high=")]
+        steps = self.steps()
+        base = [n for n in steps if n[0] == "v"][-1:]
+        tops = [self._load(n).agg(F.max(self.key)).first()[0] for n in base + self.pending_changes()]
+        return max([*known, *[t for t in tops if t is not None], 0])
 
     def prune(self, keep: int) -> None:
-        """Drop old complete versions."""
-        for version in self.versions()[:-keep]:
-            self.folder.drop(version)
+        """Drop all steps before the ``keep`` newest full versions."""
+        steps = self.steps()
+        full = [i for i, n in enumerate(steps) if n[0] == "v"]
+        if len(full) > keep:
+            for name in steps[: full[-keep]]:
+                self.folder.drop(name)
+
+
+def _step(name: str) -> int:
+    return int(name[2:])
 
 
 def backup(urls: DataFrame, path: str, stamp: str, reason: str = "manual", keep: int = BACKUPS_KEPT) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import scale
-from linkloom.operators import dataset, ingest, metrics, migrate, stats, train
+from linkloom.operators import dataset, ingest, metrics, migrate, stats, status, train
 from linkloom.plans import flows
 from linkloom.plans.entries.categorising import stub_list_model, stub_model
 from linkloom.schema import DRY_RUN_LOG
@@ -76,12 +76,50 @@ def test_versions(spark, tmp_path):
         table.read()
     for n in range(1, 5):
         table.write(spark.range(n))
-    assert table.read().count() == 4 and table.read("v=00000002").count() == 2
+    assert table.read().count() == 4 and table.read(2).count() == 2
     (tmp_path / "t" / "v=00000009").mkdir()  # a write that never finished
     assert table.read().count() == 4
-    assert table.write(spark.range(7)) == "v=00000010"
+    assert table.write(spark.range(7)) == 10
     table.prune(2)
-    assert table.versions() == ["v=00000004", "v=00000010"] and table.read().count() == 7
+    assert table.steps() == ["v=00000004", "v=00000010"] and table.read().count() == 7
+
+
+def test_change_sets(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"))
+
+    def rows(pairs):
+        return spark.createDataFrame(pairs, "id long, v string")
+
+    def now_in(step=None):
+        return sorted(tuple(r) for r in table.read(step).collect())
+
+    table.write(rows([(i, "old") for i in range(1, 6)]))
+    assert table.write_changes(rows([(2, "new"), (6, "added")])) == 2
+    assert table.write_changes(rows([(2, "newer")])) == 1
+    assert table.delete(rows([(6, ""), (1, ""), (99, "")])) == 2
+    want = [(2, "newer"), (3, "old"), (4, "old"), (5, "old")]
+    assert now_in() == want
+    assert now_in(2) == [(1, "old"), (2, "new"), (3, "old"), (4, "old"), (5, "old"), (6, "added")]
+    assert table.high_water() == 6
+    table.fold()
+    assert now_in() == want and table.pending_changes() == [] and table.high_water() == 6
+    table.prune(1)
+    assert now_in() == want and table.high_water() == 6
+    assert table.write_changes(rows([(6, "back")])) == 1 and now_in()[-1] == (6, "back")
+
+
+def test_many_changes_are_folded(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "CHANGE_SETS", 2)
+    urls = Table(spark, str(tmp_path / "urls"))
+    urls.write(tables.urls)
+    total = tables.urls.count()
+    for _ in range(2):
+        for step in (status.defer_errors, status.undefer_all):
+            flows.store(urls, step(urls.read()))
+    assert [n[0] for n in urls.steps()].count("v") > 1 and urls.read().count() == total
+    gone = urls.read().filter("status = 'error'").select("id")
+    n = gone.count()
+    assert flows.delete_links(urls, gone) == n > 0 and urls.read().count() == total - n
 
 
 def test_backups_keep_the_newest(spark, tmp_path):
@@ -115,42 +153,42 @@ def test_a_whole_run(spark, tables, tmp_path):
     pages = tables.pages.select("url").distinct().count()
     assert tuple(flows.import_links(urls, texts, now()).first()) == (pages, pages, 0)
     assert tuple(flows.import_links(urls, texts, now()).first()) == (pages, 0, pages)
-    assert flows.current(urls).columns == tables.urls.columns
-    assert flows.parse_pages(urls, tables.pages, now=now()).first()[0] == pages
-    assert stats.status_counts(flows.current(urls)).first()["done"] == pages
+    assert urls.read().columns == tables.urls.columns
+    assert flows.parse_pages(urls, tables.pages, now=now()) == pages
+    assert stats.status_counts(urls.read()).first()["done"] == pages
 
-    before = urls.versions()
+    before = urls.steps()
     dry = flows.classify_links(urls, tables.rules, tables.categories, stub_model, "stub", dry_run=True).first()
-    assert urls.versions() == before
+    assert urls.steps() == before
     wet = flows.classify_links(urls, tables.rules, tables.categories, stub_list_model, "stub", batch_size=5).first()
     assert wet["total"] == dry["total"] == pages
-    named = flows.current(urls).filter("category IS NOT NULL")
+    named = urls.read().filter("category IS NOT NULL")
     assert named.count() == wet["done"]
     assert {r[0] for r in named.select("tagged_by").distinct().collect()} == {"stub", "domain_rule"}
 
     counts = flows.export_dataset(urls, tables.categories, str(tmp_path / "export")).first()
     assert counts["exported"] == files.read_dataset(spark, str(tmp_path / "export")).count() == wet["done"]
 
-    kept = flows.current(urls)
+    kept = urls.read()
     snap = str(tmp_path / "snap")
-    assert flows.start_benchmark(urls, snap, 7).first()[0] == 7
-    assert flows.current(urls).filter("category IS NOT NULL").count() == wet["done"] - 7
-    assert flows.finish_benchmark(urls, snap).first()[0] == 7
+    assert flows.start_benchmark(urls, snap, 7) == 7
+    assert urls.read().filter("category IS NOT NULL").count() == wet["done"] - 7
+    assert flows.finish_benchmark(urls, snap) == 7
     assert flows.finish_benchmark(urls, snap) is None
-    assert flows.current(urls).exceptAll(kept).isEmpty()
+    assert urls.read().exceptAll(kept).isEmpty()
 
-    assert flows.refetch(urls, kept.select("id").limit(4)).first()[0] == 4
-    assert stats.status_counts(flows.current(urls)).first()["pending"] == 4
+    assert flows.refetch(urls, kept.select("id").limit(4)) == 4
+    assert stats.status_counts(urls.read()).first()["pending"] == 4
 
 
 def test_refill(spark, tables, tmp_path):
     urls = Table(spark, str(tmp_path / "urls"))
     urls.write(tables.urls)
-    empty = flows.current(urls).filter("status = 'done' AND coalesce(description, '') = ''").count()
+    empty = urls.read().filter("status = 'done' AND coalesce(description, '') = ''").count()
     got = {r["outcome"]: r["count"] for r in flows.refill_descriptions(urls, tables.pages).collect()}
     assert got == {"got": empty}
-    assert flows.current(urls).filter("status = 'done' AND coalesce(description, '') = ''").isEmpty()
-    assert flows.current(urls).drop("description").exceptAll(tables.urls.drop("description")).isEmpty()
+    assert urls.read().filter("status = 'done' AND coalesce(description, '') = ''").isEmpty()
+    assert urls.read().drop("description").exceptAll(tables.urls.drop("description")).isEmpty()
 
 
 def test_rename_both_tables(spark, tables, tmp_path):
@@ -158,8 +196,8 @@ def test_rename_both_tables(spark, tables, tmp_path):
     urls.write(tables.urls)
     names.write(tables.categories)
     uses = tables.urls.filter("category = 'cat4'").count()
-    assert flows.rename_category(names, urls, "cat4", "quartz").first()[0] == uses > 0
-    assert flows.current(urls).filter("category = 'quartz'").count() == uses
+    assert flows.rename_category(names, urls, "cat4", "quartz") == uses > 0
+    assert urls.read().filter("category = 'quartz'").count() == uses
     assert names.read().filter("name = 'quartz'").count() == 1
 
 
