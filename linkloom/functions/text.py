@@ -12,13 +12,14 @@ _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def is_empty(col) -> Column:
-    """NULL and the empty string both count as empty."""
+    """NULL and the empty string both count as empty. Plain comparisons, so filters reach the scan."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(col, F.lit("")) == ""
+    return col.isNull() | (col == "")
 
 
 def is_filled(col) -> Column:
-    return ~is_empty(col)
+    col = F.col(col) if isinstance(col, str) else col
+    return col.isNotNull() & (col != "")
 
 
 def strip(col: Column) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from linkloom.functions import prompts
 from linkloom.functions.answers import name_lookup, normalize_answer, parse_numbered
 from linkloom.functions.domains import norm_domain, rule_domain
-from linkloom.scale import broadcast_if_small, dictionary, number_by_id
 from linkloom.operators.status import rewrite
-from linkloom.operators.worklists import has_status, is_unclassified_work, unclassified
+from linkloom.operators.worklists import has_status, is_unclassified_work, not_manual, unclassified
+from linkloom.scale import broadcast_if_small, dictionary, number_by_id
 from linkloom.schema import DONE
 from linkloom.session import durable
 
@@ -255,7 +255,7 @@ def reset_categories(urls: DataFrame, domain: str | None = None, protect_manual:
     if domain:
         where = where & (norm_domain(F.col("url")) == domain.lower().removeprefix("www."))
     if protect_manual:
-        where = where & (F.coalesce("manual_override", F.lit(0)) == 0)
+        where = where & not_manual()
     return rewrite(urls, where, {"category": None, "tagged_by": None})
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_filled, percent, round_half_even, strip, word_count
 from linkloom.operators.classify import annotate
-from linkloom.scale import broadcast_if_small
 from linkloom.operators.status import rewrite
-from linkloom.operators.worklists import done
+from linkloom.operators.worklists import done, not_manual
+from linkloom.scale import broadcast_if_small
 
 TITLE_CUT = 45
 
@@ -252,7 +252,7 @@ def accept_model(urls: DataFrame, results: DataFrame, model: str, protect_manual
     )
     where = F.col("_hit").isNotNull()
     if protect_manual:
-        where = where & (F.coalesce("manual_override", F.lit(0)) == 0)
+        where = where & not_manual()
     merged = rewrite(urls.join(broadcast_if_small(news), "id", "left"), where, {"category": F.col("_category"), "tagged_by": model})
     return merged.select(*urls.columns, "changed")
 

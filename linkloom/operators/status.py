@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.scale import broadcast_if_small
+from linkloom.functions.text import is_empty, is_filled
 from linkloom.operators.worklists import has_status, is_transient
+from linkloom.scale import broadcast_if_small
 from linkloom.schema import DEFERRED, DONE, ERROR, PENDING
 
-
 # What a row loses when it goes back to the queue.
 _FRESH = {"status": PENDING, "title": None, "error": None, "processed_at": None}
 _RETRY = {"status": PENDING, "error": None, "error_code": None, "processed_at": None}
@@ -21,10 +21,10 @@ _RETRY = {"status": PENDING, "error": None, "error_code": None, "processed_at":
 
 def rewrite(df: DataFrame, where: Column, values: dict[str, Column | str | int | None]) -> DataFrame:
     """Set columns on the rows that match; all values see the row as it was before."""
-    hit = F.coalesce(where, F.lit(False))
+    hit = where & where.isNotNull()  # never NULL, and unlike coalesce a filter on it reaches the scan
     types = {f.name: f.dataType for f in df.schema.fields}
     changes = {
-        name: F.when(hit, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(name)).cast(types[name])
+        name: F.when(where, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(name)).cast(types[name])
         for name, value in values.items()
     }
     return df.withColumns({**changes, "changed": hit})
@@ -127,11 +127,11 @@ def refill_descriptions(urls: DataFrame, fetched: DataFrame) -> DataFrame:
     news = fetched.select(
         "url", F.col("description").alias("_description"), F.col("error").alias("_error"), F.lit(True).alias("_hit")
     )
-    tried = has_status(DONE) & (F.coalesce("description", F.lit("")) == "") & F.col("_hit").isNotNull()
+    tried = has_status(DONE) & is_empty("description") & F.col("_hit").isNotNull()
     outcome = F.when(
         tried,
-        F.when(F.coalesce("_error", F.lit("")) != "", "error")
-        .when(F.coalesce("_description", F.lit("")) != "", "got")
+        F.when(is_filled("_error"), "error")
+        .when(is_filled("_description"), "got")
         .otherwise("no_tag"),
     )
     joined = urls.join(news, "url", "left").withColumn("outcome", outcome)

@@ -20,13 +20,13 @@ def is_transient() -> Column:
     return F.col("error_code").isNull() | F.col("error_code").isin(*TRANSIENT_CODES)
 
 
+def not_manual() -> Column:
+    """The category was not set by hand."""
+    return F.col("manual_override").isNull() | (F.col("manual_override") == 0)
+
+
 def is_unclassified_work() -> Column:
-    return (
-        has_status(DONE)
-        & is_empty("category")
-        & (F.coalesce("manual_override", F.lit(0)) == 0)
-        & is_filled("title")
-    )
+    return has_status(DONE) & is_empty("category") & not_manual() & is_filled("title")
 
 
 def _sorted(df: DataFrame, ordered: bool) -> DataFrame:
