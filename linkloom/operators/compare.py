@@ -105,7 +105,12 @@ def _order() -> Column:
     return F.struct((F.col("low") == "").alias("blank"), (-F.col("n")).alias("less"), "first", "low")
 
 
-def votes(results: DataFrame) -> DataFrame:
+def _by_link(rows: DataFrame, placed: bool) -> DataFrame:
+    """Rows of one link together; ``placed`` says that storage has done so (bucketed by url_id)."""
+    return rows if placed else rows.repartition("url_id")
+
+
+def votes(results: DataFrame, placed: bool = False) -> DataFrame:
     """Result rows with ``tag``, its lower-case form, and the ``plurality`` of the link.
 
     Ties go to the answer seen first in model-name order; a link without answers has ''.
@@ -113,37 +118,37 @@ def votes(results: DataFrame) -> DataFrame:
     holds at most one row per model.
     """
     tagged = results.select("url_id", "model", strip(F.coalesce("category", F.lit(""))).alias("tag"))
-    placed = tagged.repartition("url_id").withColumn("low", F.lower("tag"))
+    together = _by_link(tagged, placed).withColumn("low", F.lower("tag"))
     same, link = W.partitionBy("url_id", "low"), W.partitionBy("url_id")
-    counted = placed.withColumns({"n": F.count(F.lit(1)).over(same), "first": F.min("model").over(same)})
+    counted = together.withColumns({"n": F.count(F.lit(1)).over(same), "first": F.min("model").over(same)})
     judged = counted.withColumns({"best": F.min(_order()).over(link), "lead": F.min("model").over(link)})
     return judged.select(
         "url_id", "model", "tag", "low", F.col("best.low").alias("plurality"), (F.col("model") == F.col("lead")).alias("leads")
     )
 
 
-def plurality(results: DataFrame) -> DataFrame:
+def plurality(results: DataFrame, placed: bool = False) -> DataFrame:
     """The most frequent answer per link and the number of models that gave it.
 
     Ties and blanks as in :func:`votes`, by two grouped aggregates after one shuffle by link.
     """
     low = F.lower(strip(F.coalesce("category", F.lit(""))))
-    placed = results.select("url_id", "model", low.alias("low")).repartition("url_id")
-    polls = placed.groupBy("url_id", "low").agg(F.count(F.lit(1)).alias("n"), F.min("model").alias("first"))
+    together = _by_link(results.select("url_id", "model", low.alias("low")), placed)
+    polls = together.groupBy("url_id", "low").agg(F.count(F.lit(1)).alias("n"), F.min("model").alias("first"))
     best = polls.groupBy("url_id").agg(F.min(_order()).alias("b"))
     return best.select(
         "url_id", F.col("b.low").alias("plurality"), F.when(F.col("b.blank"), 0).otherwise(-F.col("b.less")).alias("depth")
     )
 
 
-def _model_counts(results: DataFrame) -> DataFrame:
+def _model_counts(results: DataFrame, placed: bool) -> DataFrame:
     """Per model: total links, blank, underscore, long, matching and lower-case answers.
 
     A link that a model skipped is a blank answer. The number of all links comes from the same
     pass: each link is led by one row, whatever its model. The window sums one row per model.
     """
     tag, low = F.col("tag"), F.col("low")
-    per_model = votes(results).groupBy("model").agg(
+    per_model = votes(results, placed).groupBy("model").agg(
         F.count_if("leads").alias("_led"),
         F.count_if(tag != "").alias("_given"),
         F.count_if(tag.contains("_")).alias("underscore_count"),
@@ -179,9 +184,9 @@ def _reasons() -> Column:
     )
 
 
-def model_scores(results: DataFrame) -> DataFrame:
+def model_scores(results: DataFrame, placed: bool = False) -> DataFrame:
     """Agreement, case consistency, knock-outs and the weighted score per model, best first."""
-    judged = _model_counts(results).withColumns({**_shares(), "knockout_reasons": _reasons()})
+    judged = _model_counts(results, placed).withColumns({**_shares(), "knockout_reasons": _reasons()})
     judged = judged.withColumn("knocked_out", F.size("knockout_reasons") > 0)
     score = F.when(F.col("knocked_out"), F.lit(0.0)).otherwise(
         F.col("_agree") * F.lit(0.7) + F.col("_case") * F.lit(0.3)
@@ -199,24 +204,24 @@ def model_scores(results: DataFrame) -> DataFrame:
     ).orderBy(F.desc("score"), "model")
 
 
-def knockouts(results: DataFrame) -> DataFrame:
+def knockouts(results: DataFrame, placed: bool = False) -> DataFrame:
     """Models that are out, with the reasons."""
     return (
-        _model_counts(results)
+        _model_counts(results, placed)
         .withColumn("knockout_reasons", _reasons())
         .filter(F.size("knockout_reasons") > 0)
         .select("model", "knockout_reasons")
     )
 
 
-def scores_with_speed(results: DataFrame, speeds: DataFrame) -> DataFrame:
+def scores_with_speed(results: DataFrame, speeds: DataFrame, placed: bool = False) -> DataFrame:
     """Ranking that also weighs speed; ``speeds`` is (model, sec_per_url).
 
     Knocked-out models are left out. Speed is the inverse of seconds per link, scaled to 0..1
     between the slowest and the fastest candidate. Among models less than 0.05 below the best
     score the faster one ranks first. The windows hold one row per model.
     """
-    judged = _model_counts(results).withColumns(_shares()).filter(F.size(_reasons()) == 0)
+    judged = _model_counts(results, placed).withColumns(_shares()).filter(F.size(_reasons()) == 0)
     timed = judged.join(speeds.select("model", (F.lit(1.0) / F.col("sec_per_url")).alias("_rate")), "model")
     every = W.partitionBy(F.lit(0))
     low, high = F.min("_rate").over(every), F.max("_rate").over(every)
@@ -238,9 +243,9 @@ def scores_with_speed(results: DataFrame, speeds: DataFrame) -> DataFrame:
     )
 
 
-def consensus_depth(results: DataFrame) -> DataFrame:
+def consensus_depth(results: DataFrame, placed: bool = False) -> DataFrame:
     """Number and share of links by the size of their largest agreeing group."""
-    counted = plurality(results).groupBy("depth").agg(F.count(F.lit(1)).alias("urls"))
+    counted = plurality(results, placed).groupBy("depth").agg(F.count(F.lit(1)).alias("urls"))
     whole = F.sum("urls").over(W.partitionBy(F.lit(0)))
     return counted.withColumn("share", percent(F.col("urls"), whole)).orderBy(F.desc("depth"))
 

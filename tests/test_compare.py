@@ -87,3 +87,19 @@ def test_metrics_by_hand(spark):
     assert per == {"a": (0.6, 0.75, 0.6667, 4), "b": (0.6667, 0.5, 0.5714, 4), "c": (0.0, 0.0, 0.0, 2), "x": (0.0, 0.0, 0.0, 0)}
     wide = {r["label"]: tuple(r)[1:] for r in metrics.confusion_wide(df, ["a", "b", "c", "x"]).collect()}
     assert wide == {"a": (3, 1, 0, 0), "b": (0, 2, 0, 2), "c": (2, 0, 0, 0), "x": (0, 0, 0, 0)}
+
+
+def test_bucketed_results_need_no_shuffle_by_link(spark, tables, tmp_path):
+    path = str(tmp_path / "results")
+    tables.latest.write.option("path", path).bucketBy(4, "url_id").saveAsTable("bucketed_results")
+    try:
+        stored = spark.table("bucketed_results")
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        best = compare.plurality(stored, placed=True)
+        assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+        assert best.exceptAll(compare.plurality(tables.latest)).isEmpty()
+        scores = compare.model_scores(stored, placed=True).collect()
+        assert scores == compare.model_scores(tables.latest).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.sql("DROP TABLE bucketed_results")
