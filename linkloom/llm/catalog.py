@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import quality
+from linkloom.llm import decontaminate, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summarise(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
     return quality.label(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
-_QUERIES: tuple[Query, ...] = (op6_quality_rules,)
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op6_quality_rules)
 _ORACLES: dict[str, str] = {}
 
 
