@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, quality
+from linkloom.llm import decontaminate, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +25,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.label(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op6_quality_rules)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op6_quality_rules, op10_substring_dedup)
 _ORACLES: dict[str, str] = {}
 
 

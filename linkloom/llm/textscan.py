@@ -105,6 +105,34 @@ def windows(codes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def long_windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """As ``windows``, in a fixed number of passes whatever the size."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    _powers.reach(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers.up[: len(codes)], out=sums[1:])
+    return mix((sums[size:] - sums[:n]) * _powers.down[:n])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of ``width`` neighbours."""
+    n, reach = len(values) - width + 1, 1
+    if n <= 0:
+        return values[:0]
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    return np.minimum(values[:n], values[width - reach : width - reach + n])
+
+
+def runs(*breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run; ``breaks`` flag neighbours (i, i + 1) that do not belong together."""
+    cut = np.flatnonzero(np.logical_or.reduce(breaks))
+    return np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(breaks[0])]))
+
+
 def inside(first: np.ndarray, size: int, total: int) -> np.ndarray:
     """Flags, per word, whether a window of ``size`` words that starts there stays in its text."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(total)
