@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, nearcopies, quality, substrings
+from linkloom.llm import decontaminate, mixing, nearcopies, quality, substrings
+from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.join(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = durable(mixing.measure(_table(spark, sf_dir, "documents").drop("n_chars")).drop("text"))
+    shown = [F.round(c, 9).alias(c) if c in ("weight", "probability") else c for c in ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")]
+    return mixing.sample(measured).select(*shown)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
     return quality.label(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
@@ -34,8 +41,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op3_ngram_jaccard_join, op6_quality_rules, op10_substring_dedup)
-_ORACLES: dict[str, str] = {}
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op10_substring_dedup)
+_ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle()}
 
 
 def queries() -> dict[str, Query]:
