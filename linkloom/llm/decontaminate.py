@@ -34,7 +34,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document row ``doc_id``, ``n_words``, the hit ``spans`` (start, end; by start) and the ``items`` found."""
+    """Per document row ``doc_id``, ``version`` (hash of the text), ``n_words``, the hit ``spans`` (start, end; by start) and the ``items`` found."""
     sized = durable(item_windows(items, window=window))
     lengths = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most ``window`` values
     hashed = None
@@ -43,12 +43,15 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         one = one.select(F.element_at(f"_w{size}", 1).alias("hash"), F.col("size").alias("gram_size"), "gram", "items")
         hashed = one if hashed is None else hashed.unionByName(one)
     read = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), folded_words(F.col(text)).alias("words")
+        F.monotonically_increasing_id().alias("row"),
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"),
+        folded_words(F.col(text)).alias("words"),
     ).withColumn("n_words", F.size("words"))
     arrays = with_windows(read, "words", lengths)
     # One leading NULL, which no window matches, stands for the document itself.
     listed = arrays.withColumn("_all", F.concat(F.array(F.lit(None).cast("long")), *[f"_w{s}" for s in lengths]))
-    scanned = listed.select("row", "doc_id", "n_words", "words", F.posexplode_outer("_all").alias("at", "hash"))
+    scanned = listed.select("row", "doc_id", "version", "n_words", "words", F.posexplode_outer("_all").alias("at", "hash"))
     if hashed is None:
         found = scanned.select("*", F.lit(None).cast("int").alias("gram_size"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("array<string>").alias("items"))
     else:
@@ -70,6 +73,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     span = F.when(F.col("start").isNotNull(), F.struct(F.col("start"), (F.col("start") + F.col("gram_size")).alias("end")))
     return found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
+        F.max("version").alias("version"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(span)).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -98,3 +102,10 @@ def summarise(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    bad = hits(docs, items, doc_id, text, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit(""))))
+    return keyed.join(bad, (F.col("_key") == F.col("_version")) & F.col(doc_id).eqNullSafe(F.col("_doc")), "left_anti").drop("_key")

@@ -32,6 +32,7 @@ THRESHOLD = 0.8
 TREES = 18
 RECALL = 0.9999
 DEEPEST = 12
+_LAST = (1 << 63) - 1  # stands for a NULL id while rows are compared
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
 
 
@@ -147,9 +148,9 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def _compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Verified link counts of the candidate texts, per block pair."""
-    wanted = groups.join(nodes, "node").select("node", "component", "copies", "paths", "doc", "version")
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), F.col(text).alias("text"))
-    read = keyed.join(wanted.withColumn("doc", F.coalesce("doc", F.lit(-1))), ["doc", "version"])
+    wanted = groups.join(nodes, "node")
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), F.col(text).alias("text"))
+    read = keyed.join(wanted, ["doc", "version"])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, scan in chunks(batches):
@@ -171,25 +172,39 @@ def _compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc_id: str,
     return paired.groupBy("component", "low", "high").applyInArrow(_compare, _COMPARED)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
-    """Per row: the id, ``class_id`` (of the connected texts) and ``n_links`` (other rows of at least ``THRESHOLD`` similarity)."""
+def _classes(docs: DataFrame, doc_id: str, text: str, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and per distinct shingle set its ``component``, copies, links and the row that stands for it."""
     signed = durable(signatures(docs, doc_id, text, trees))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.min("doc").alias("doc"),
-        F.min(F.struct(F.coalesce("doc", F.lit(-1)).alias("d"), F.col("version").alias("v"), "paths")).alias("one"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.coalesce("doc", F.lit(_LAST)).alias("doc"), "version", "paths")).alias("one")
     )
-    nodes = durable(nodes.select("node", "copies", F.col("doc").alias("least_doc"), F.nullif("one.d", F.lit(-1)).alias("doc"), F.col("one.v").alias("version"), F.col("one.paths").alias("paths")))
+    nodes = durable(nodes.select("node", "copies", "one.*"))
     groups = _candidates(nodes, trees)
     compared = durable(_compared(docs, nodes, groups, doc_id, text))
     classes = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = compared.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    named = nodes.join(classes, "node", "left").join(counted, "node", "left")
-    named = named.select("node", "copies", "least_doc", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.groupBy("component").agg(F.min("least_doc").alias("class_id"))
+    named = nodes.drop("paths").join(classes, "node", "left").join(counted, "node", "left")
+    return signed, named.withColumns({"component": F.coalesce("component", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
+    """Per row: the id, ``class_id`` (of the connected texts) and ``n_links`` (other rows of at least ``THRESHOLD`` similarity)."""
+    signed, named = _classes(docs, doc_id, text, trees)
+    least = named.groupBy("component").agg(F.nullif(F.min("doc"), F.lit(_LAST)).alias("class_id"))
     of_node = named.join(least, "component").select("node", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"))
     return signed.join(of_node, "node", "left").select(
         F.col("doc").alias(doc_id),
         F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
+    """``docs`` with one row of each class: the one with the least id. Rows without words all stay."""
+    _, named = _classes(docs, doc_id, text, trees)
+    first = named.groupBy("component").agg(F.min(F.struct("doc", "version")).alias("one"))
+    keys = first.select(F.col("one.doc").alias("_doc"), F.col("one.version").alias("_version"))
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_version": F.xxhash64(F.coalesce(text, F.lit("")))})
+    has_words = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = keyed.filter(has_words).join(keys, ["_doc", "_version"]).dropDuplicates(["_doc", "_version"])
+    return kept.unionByName(keyed.filter(~has_words)).select(*[f"`{c}`" for c in docs.columns])

@@ -71,9 +71,9 @@ def _count_texts(scan: Scan) -> dict[str, np.ndarray]:
     }
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus the counts that the rules look at (``COUNTS``)."""
-    kept = [c for c in docs.columns if c not in (text, *COUNTS)]
+def measure(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, with or without its text, plus the counts that the rules look at (``COUNTS``)."""
+    kept = [c for c in docs.columns if c not in COUNTS and (keep_text or c != text)]
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in kept]).dtypes] + [f"{c} long" for c in COUNTS])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [batch.column(c) for c in kept] + [pa.array(counts[c], pa.int64()) for c in COUNTS]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *COUNTS])
 
-    return docs.select(*[f"`{c}`" for c in (*kept, text)]).mapInArrow(count, schema)
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])]).mapInArrow(count, schema)
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -159,3 +159,8 @@ def judge(measured: DataFrame) -> DataFrame:
 def label(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measure and judge every document; the counts are kept in the shared folder between the two passes."""
     return judge(durable(measure(docs, text)))
+
+
+def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. The texts are scanned twice, for the counts and for the verdicts, and never shuffled."""
+    return judge(measure(docs.drop(*COUNTS), text, keep_text=True)).filter("kept").select(*[f"`{c}`" for c in docs.columns])

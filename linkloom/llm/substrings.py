@@ -186,3 +186,10 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(columns + extra, names=[*kept, "kept", "n_words", "n_removed"])
 
     return ready.mapInArrow(remove, ddl)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated words cut out. Texts that repeat nothing stay as they are; those that lose every word go."""
+    cut_docs = cut(docs, doc_id, text).filter("n_removed = 0 OR n_removed < n_words")
+    left = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
+    return cut_docs.withColumn(text, left).select(*[f"`{c}`" for c in docs.columns])
