@@ -2,7 +2,7 @@
 
 The corpus is read in reference blocks of a few megabytes of text. In each block every document is factored greedily
 against the block: neighbouring windows whose first occurrences neighbour each other form one factor. What the block does not explain goes into the index:
-one entry per run of windows that share their least 8-word code (the anchor), holding the codes of those windows. Equal
+one entry per run of windows that share their least 5-word code (the anchor), holding the codes of those windows. Equal
 windows have equal anchors, so entries that meet under one anchor are all that has to be compared, and the documents are
 factored against every block that holds the anchor. Since each window is looked up by itself, words at the boundary of two factors are covered by
 the windows that straddle it.
@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.textscan import Scan, chunks, inside, long_windows, mix, repeats, runs, sliding_min, windows
 
-WINDOW, ANCHOR = 20, 8
-PIECE_WINDOWS = 1 << 20
+WINDOW, ANCHOR = 20, 5
+PIECE_WINDOWS = 1 << 19
 _CODE_BYTES = 6  # a window code's bytes in the index; the 64 bits of the anchor come on top
 _LAST = (1 << 63) - 1
 
 _SCHEMA = pa.schema([
-    ("anchor", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()),
+    ("anchor", pa.int64()), ("doc", pa.int64()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
     ("source", pa.int64()), ("source_start", pa.int32()), ("codes", pa.binary()),
 ])
-_DDL = "anchor long, doc long, version long, start int, end int, source long, source_start int, codes binary"
+_DDL = "anchor long, doc long, version int, start int, end int, source long, source_start int, codes binary"
 
 
 def _repeated(keys: np.ndarray, exact: tuple[np.ndarray, ...], doc: np.ndarray, pos: np.ndarray):
@@ -142,7 +142,7 @@ def _resolve_piece(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({
-        "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_version": F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_version": F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 32).cast("int")
     })
 
 
