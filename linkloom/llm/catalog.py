@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, mixing, nearcopies, quality, substrings
+from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.label(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.spans(licenses.votes(_table(spark, sf_dir, "documents"))))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op10_substring_dedup)
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op10_substring_dedup)
 _ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle()}
 
 
