@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings
+from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarise(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.join(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op10_substring_dedup)
-_ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle()}
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op10_substring_dedup)
+_ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.oracle(), "op5_mixing": mixing.oracle()}
 
 
 def queries() -> dict[str, Query]:
