@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter
+from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +44,27 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(licenses.spans(licenses.votes(_table(spark, sf_dir, "documents"))))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op10_substring_dedup)
-_ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.oracle(), "op5_mixing": mixing.oracle()}
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op9_warc, op10_substring_dedup)
+# DuckDB has no SHA-1 in base32, but the bits can be cut out of its hexadecimal digest.
+_WARC_SQL = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(sha1(payload), CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM payloads),
+firsts AS (SELECT payload_digest, max(page_id) AS first FROM digests GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM digests JOIN firsts USING (payload_digest)"""
+
+_ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.oracle(), "op5_mixing": mixing.oracle(), "op9_warc": _WARC_SQL}
 
 
 def queries() -> dict[str, Query]:
