@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc
+from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc, wrappers
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.join(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = durable(mixing.measure(_table(spark, sf_dir, "documents").drop("n_chars")).drop("text"))
     shown = [F.round(c, 9).alias(c) if c in ("weight", "probability") else c for c in ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")]
@@ -54,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op5_mixing, op6_quality_rules, op7_license_scan, op9_warc, op10_substring_dedup)
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op4_html_extraction, op5_mixing, op6_quality_rules, op7_license_scan, op9_warc, op10_substring_dedup)
 # DuckDB has no SHA-1 in base32, but the bits can be cut out of its hexadecimal digest.
 _WARC_SQL = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 digests AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
