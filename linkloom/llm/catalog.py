@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc, wrappers
+from linkloom.llm import decontaminate, language, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc, wrappers
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(licenses.spans(licenses.votes(_table(spark, sf_dir, "documents"))))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.round_trip(_table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op4_html_extraction, op5_mixing, op6_quality_rules, op7_license_scan, op9_warc, op10_substring_dedup)
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op4_html_extraction, op5_mixing, op6_quality_rules, op7_license_scan, op8_language_id, op9_warc, op10_substring_dedup)
 # DuckDB has no SHA-1 in base32, but the bits can be cut out of its hexadecimal digest.
 _WARC_SQL = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 digests AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
