@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.ngrams import folded_words, with_windows
+from linkloom.llm.rows import pack, unpack
 from linkloom.session import durable
 
 WINDOW = 10
@@ -106,6 +107,8 @@ def summarise(found: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    bad = hits(docs, items, doc_id, text, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    return keyed.join(bad, (F.col("_key") == F.col("_version")) & F.col(doc_id).eqNullSafe(F.col("_doc")), "left_anti").drop("_key")
+    bad = hits(docs, items, doc_id, text, window).filter(F.size("spans") > 0)
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
+    packed = pack(docs, doc_id, text)
+    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_version")) & F.col("doc_id").eqNullSafe(F.col("bad_id"))
+    return unpack(packed.join(bad, same, "left_anti"), docs, text)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
+from linkloom.llm.rows import pack, unpack
 from linkloom.llm.textscan import Scan, chunks, inside, mix, repeats, windows
 from linkloom.session import durable
 
@@ -203,8 +204,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tre
     """``docs`` with one row of each class: the one with the least id. Rows without words all stay."""
     _, named = _classes(docs, doc_id, text, trees)
     first = named.groupBy("component").agg(F.min(F.struct("doc", "version")).alias("one"))
-    keys = first.select(F.col("one.doc").alias("_doc"), F.col("one.version").alias("_version"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_version": F.xxhash64(F.coalesce(text, F.lit("")))})
-    has_words = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    kept = keyed.filter(has_words).join(keys, ["_doc", "_version"]).dropDuplicates(["_doc", "_version"])
-    return kept.unionByName(keyed.filter(~has_words)).select(*[f"`{c}`" for c in docs.columns])
+    keys = first.select(F.col("one.doc").alias("key"), F.col("one.version").alias("version"))
+    packed = pack(docs, doc_id, text).withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "version": F.xxhash64(F.coalesce("text", F.lit("")))})
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = packed.filter(has_words).join(keys, ["key", "version"]).dropDuplicates(["key", "version"])
+    return unpack(kept.unionByName(packed.filter(~has_words)), docs, text)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.rows import pack, unpack
 from linkloom.llm.textscan import Scan, chunks, inside, mix, repeats, windows
 from linkloom.session import durable
 
@@ -161,6 +162,6 @@ def label(docs: DataFrame, text: str = "text") -> DataFrame:
     return judge(durable(measure(docs, text)))
 
 
-def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+def good_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept. The texts are scanned twice, for the counts and for the verdicts, and never shuffled."""
-    return judge(measure(docs.drop(*COUNTS), text, keep_text=True)).filter("kept").select(*[f"`{c}`" for c in docs.columns])
+    return unpack(judge(measure(pack(docs, doc_id, text), keep_text=True)).filter("kept"), docs, text)

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.rows import pack, unpack
 from linkloom.llm.textscan import Scan, chunks, inside, long_windows, mix, repeats, runs, sliding_min, windows
 
 WINDOW, ANCHOR = 20, 5
@@ -190,6 +191,5 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated words cut out. Texts that repeat nothing stay as they are; those that lose every word go."""
-    cut_docs = cut(docs, doc_id, text).filter("n_removed = 0 OR n_removed < n_words")
-    left = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
-    return cut_docs.withColumn(text, left).select(*[f"`{c}`" for c in docs.columns])
+    cut_docs = cut(pack(docs, doc_id, text)).filter("n_removed = 0 OR n_removed < n_words")
+    return unpack(cut_docs.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs, text)
