@@ -1,6 +1,6 @@
 """Main-text extraction by wrapper induction.
 
-Each host's shortest page is its reference. Every other page of the host is aligned with it by simple tree matching: two
+Three pages of each host are its references: the shortest, and two picked by hashes. Every other page of the host is aligned with them by simple tree matching: two
 nodes match if their labels agree, and the children of matched nodes are aligned in order for the largest number of matches. A text slot
 that holds the same text on most aligned pages belongs to the template; slots that vary hold content. Article landmarks mark
 the content where a page has them; elsewhere it is the body. Menus, forms, notices and the like are recognised by element and by class
@@ -11,7 +11,7 @@ with a third of all pages is no bottleneck. References and templates reach the p
 at most ``BROADCAST_BYTES``.
 
 Defined cases: a NULL or empty html gives the empty text; a NULL url, or one without a host, puts a page among those of
-the empty host; pages equal to their reference say nothing about the template; if all text is template, it is kept; every row is
+the empty host; pages equal to a reference say nothing about the template; if all text is template, it is kept; every row is
 extracted on its own, so repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,7 +33,7 @@ SAME = 0.6  # of the aligned pages: from this share on a slot's text is template
 LEAST_PAGES = 3
 BROADCAST_BYTES = 16 << 20
 DEEPEST = 150  # elements nested deeper become siblings
-MOST_CELLS = 250_000  # of one alignment; longer lists of children are aligned from both ends instead
+MOST_CELLS = 20_000  # of one alignment; longer lists of children are aligned from both ends instead
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -216,31 +216,33 @@ def _sized(df: DataFrame, size) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host`` and ``template``, the named texts that its pages share, from ``host``, ``page_id`` and ``html``."""
-    shortest = F.min(F.struct(F.length("html").alias("n"), F.xxhash64("html").alias("version")))
-    chosen = pages.filter("html <> ''").groupBy("host").agg(shortest.alias("one")).select("host", "one.version")
-    chosen = _sized(chosen, F.length("host") + 8)
-    same = pages.filter("html <> ''").withColumn("version", F.xxhash64("html")).join(chosen, ["host", "version"])
-    refs = _sized(same.groupBy("host").agg(F.min("html").alias("reference")), F.length("reference") + F.length("host"))
+    full = pages.filter("html <> ''").withColumn("version", F.xxhash64("html"))
+    orders = [F.length("html").cast("long"), F.xxhash64(F.lit(1), "html"), F.xxhash64(F.lit(2), "html")]
+    chosen = full.groupBy("host").agg(F.array(*[F.min(F.struct(o.alias("o"), "version"))["version"] for o in orders]).alias("versions"))
+    chosen = _sized(chosen.select("host", F.explode(F.array_distinct("versions")).alias("version")), F.length("host") + 8)
+    same = full.join(chosen, ["host", "version"]).select("host", "html").distinct()
+    refs = _sized(same.groupBy("host").agg(F.array_sort(F.collect_set("html")).alias("references")), F.length(F.concat_ws("", "references")) + F.length("host"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, dict[int, str]]] = {}
+        trees: dict[str, list[tuple[str, Node, dict[int, str]]]] = {}
         for batch in batches:
             pages_seen, equal = Counter(), Counter()
-            for host, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                if not html or html == reference:
+            for host, html, references in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references")), strict=True):
+                others = [r for r in references if r != html]
+                if not html or not others:
                     continue
                 if host not in trees:
                     if len(trees) >= 1000:
                         trees.clear()
-                    tree = parse(reference)
-                    trees[host] = tree, _slots(tree)
-                tree, names = trees[host]
-                pages_seen[host, ""] += 1
+                    parsed = [(r, parse(r)) for r in references]
+                    trees[host] = [(r, tree, _slots(tree)) for r, tree in parsed]
                 page = parse(html)
-                own = _slots(page)
-                for x, y in align(tree, page)[1]:
-                    if id(x) in names and names[id(x)] == own.get(id(y)):
-                        equal[host, names[id(x)]] += 1
+                own, shared = _slots(page), set()
+                for reference, tree, names in trees[host]:
+                    if reference != html:
+                        shared |= {names[id(x)] for x, y in align(tree, page)[1] if id(x) in names and names[id(x)] == own.get(id(y))}
+                pages_seen[host, ""] += 1
+                equal.update((host, name) for name in shared)
             rows = [*pages_seen.items(), *equal.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
@@ -251,7 +253,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sums = counted.groupBy("host", "slot").agg(F.sum("n").alias("n"))
     whole = sums.filter("slot = ''").select("host", F.col("n").alias("pages"))
     constant = sums.filter("slot <> ''").join(whole, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= SAME * F.col("pages")))
-    # A host's template has at most as many texts as its reference.
+    # A host's template has at most as many texts as its references.
     return constant.groupBy("host").agg(F.collect_set("slot").alias("template"))
 
 
