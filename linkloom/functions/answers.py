@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
-from linkloom.scale import dictionary
 
 # Marks that may surround an answer, and the words that may introduce it.
 MARKS = "\"'.,;:-"
@@ -22,57 +21,47 @@ BAD_TAG_PREFIXES = ("url:", "http", "title:", "category:", "the web", "the page"
 BAD_TAG_WORDS = ("web page", "web site", "sorry")
 
 
-def name_lookup(categories: DataFrame) -> Column:
-    """Scalar map from lower-cased name to canonical name.
-
-    The taxonomy is a dictionary of a few hundred names, so it travels as one value: the big
-    side is neither joined nor shuffled. Put it into a column before using it in a lambda.
-    """
-    named = dictionary(categories).groupBy(F.lower("name").alias("key")).agg(
-        F.max_by("name", F.struct("sort_order", "id")).alias("name")
-    )
-    return named.agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names")).scalar()
-
-
-def canonical(candidate: Column, lookup: Column) -> Column:
-    return F.try_element_at(lookup, F.lower(candidate))
+def names_by_key(categories: DataFrame) -> DataFrame:
+    """``key`` (a name in lower case) and the canonical ``name``, one row per key."""
+    return categories.groupBy(F.lower("name").alias("key")).agg(F.max_by("name", F.struct("sort_order", "id")).alias("name"))
 
 
-def normalize_answer(raw: Column, lookup: Column) -> Column:
-    """Canonical category named by an answer, or NULL.
+def candidates(raw: Column) -> Column:
+    """What an answer may name, in lower case and in the order of preference.
 
-    Tried in order: the whole text, the first bold run, the text after a label, each line.
+    The whole text, the first bold run, the text after a label, each line.
     """
-    whole = canonical(text.strip_marks(raw, MARKS), lookup)
-    bold = canonical(text.strip_marks(F.regexp_extract(raw, BOLD, 1), MARKS), lookup)
-    labelled = canonical(text.strip_marks(F.regexp_extract(raw, LABELLED, 1), LINE_MARKS), lookup)
-    by_line = F.transform(
-        text.lines(raw), lambda line: canonical(text.strip_marks(line, LINE_MARKS), lookup)
+    first = F.array(
+        text.strip_marks(raw, MARKS),
+        text.strip_marks(F.regexp_extract(raw, BOLD, 1), MARKS),
+        text.strip_marks(F.regexp_extract(raw, LABELLED, 1), LINE_MARKS),
     )
-    return F.coalesce(whole, bold, labelled, F.get(F.array_compact(by_line), F.lit(0)))
+    by_line = F.transform(text.lines(raw), lambda line: text.strip_marks(line, LINE_MARKS))
+    return F.transform(F.concat(first, by_line), lambda c: F.lower(c))
 
 
-def parse_numbered(raw: Column, size: Column, lookup: Column) -> Column:
-    """Array of ``size`` categories from a numbered-list answer; gaps are NULL.
+def named_rows(rows: DataFrame, categories: DataFrame, raw: Column, keys: list[str]) -> DataFrame:
+    """``rows`` with the canonical ``category`` of ``raw``, or NULL; ``keys`` tell the rows apart.
 
-    The last line that names a valid category wins for its number; numbers outside the batch
-    are ignored.
+    Every candidate is a row that meets the names by an equal key; the most preferred one that is found wins.
     """
+    rest = [c for c in rows.columns if c not in keys]
+    listed = rows.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer(candidates(F.coalesce(raw, F.lit("")))).alias("_pos", "key"))
+    found = listed.join(names_by_key(categories), "key", "left")
+    best = F.min_by("name", F.when(F.col("name").isNotNull(), F.col("_pos")))
+    return found.groupBy(*keys).agg(F.any_value("_row").alias("_row"), best.alias("category")).select(*keys, "_row.*", "category")
+
+
+def numbered_lines(raw: Column) -> Column:
+    """The lines of a numbered-list answer as (item, text); lines of another form have no item."""
 
     def one_line(line: Column) -> Column:
         line = text.strip(line)
         return F.struct(
-            F.regexp_extract(line, NUMBERED, 1).try_cast("int").alias("item"),
-            normalize_answer(F.regexp_extract(line, NUMBERED, 2), lookup).alias("category"),
+            F.regexp_extract(line, NUMBERED, 1).try_cast("int").alias("item"), F.regexp_extract(line, NUMBERED, 2).alias("text")
         )
 
-    named = F.filter(F.transform(text.lines(text.strip(raw)), one_line), lambda p: p["category"].isNotNull())
-
-    def pick(item: Column) -> Column:
-        hits = F.filter(named, lambda p: p["item"] == item)
-        return F.try_element_at(hits, F.lit(-1))["category"]
-
-    return F.transform(F.sequence(F.lit(1), size.cast("int")), pick)
+    return F.transform(text.lines(text.strip(raw)), one_line)
 
 
 def is_valid_tag(tag: Column) -> Column:

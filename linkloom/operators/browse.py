@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from linkloom.functions.domains import enrich
 from linkloom.functions.text import is_empty, like_anywhere
 from linkloom.operators.worklists import has_status
-from linkloom.scale import TOP_N_ROWS, number_rows
 from linkloom.schema import DONE
 
 PER_PAGE_DEFAULT = 20
@@ -50,21 +49,11 @@ def uncategorized(urls: DataFrame) -> DataFrame:
 
 
 def search(urls: DataFrame, query: str = "", category: str = "") -> DataFrame:
-    """Substring search in title, description and link.
-
-    ``uncategorized`` and ``recent`` are special category words.
-    """
-    rows = listing(urls)
-    if category == "uncategorized":
-        rows = rows.filter(is_empty("category"))
-    elif category and category != "recent":
-        rows = rows.filter(F.col("category") == category)
-    if query:
-        found = F.lit(False)
-        for name in ("title", "description", "url"):
-            found = found | F.coalesce(like_anywhere(F.col(name), query), F.lit(False))
-        rows = rows.filter(found)
-    return rows
+    """Substring search in title, description and link, in all rows, a category or those without one."""
+    scopes = {"": lambda: F.lit(True), "recent": lambda: F.lit(True), "uncategorized": lambda: is_empty("category")}
+    in_scope = scopes.get(category, lambda: F.col("category") == category)()
+    hits = [F.coalesce(like_anywhere(F.col(c), query), F.lit(False)) for c in ("title", "description", "url")] if query else [F.lit(True)]
+    return listing(urls).filter(in_scope & F.array_contains(F.array(*hits), True))
 
 
 def page(
@@ -72,16 +61,14 @@ def page(
 ) -> DataFrame:
     """One page of a listing, enriched.
 
-    Near the front it is a top-N. A page far down is cut by row number over the sort columns
-    alone, so that no task has to keep all rows before it; at most ``per_page`` ids find their rows.
+    The sort and the cut use ids and sort columns alone; at most ``per_page`` ids then find their rows. A task keeps
+    the rows up to the page's end, so the cost of a page grows with how far down it is.
     """
     per_page = min(per_page, PER_PAGE_MAX)
     skip = (page - 1) * per_page
     order = sort_columns(sort)
-    if skip + per_page <= TOP_N_ROWS:
-        return enrich(rows.orderBy(*order).offset(skip).limit(per_page))
-    numbered = number_rows(rows.select("id", "added_at", "title", "url"), order, "_row")
-    wanted = numbered.filter(F.col("_row").between(skip + 1, skip + per_page)).select("id")
+    keys = [F.col(c).alias(c) for c in ("id", "added_at", "title", "url")]
+    wanted = rows.select(*keys).orderBy(*order).offset(skip).limit(per_page).select("id")
     return enrich(rows.join(F.broadcast(wanted), "id", "left_semi").orderBy(*order))
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import prompts
-from linkloom.functions.answers import name_lookup, normalize_answer, parse_numbered
+from linkloom.functions.answers import named_rows, numbered_lines
 from linkloom.functions.domains import norm_domain, rule_domain
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status, is_unclassified_work, not_manual, unclassified
-from linkloom.scale import broadcast_if_small, dictionary, number_by_id
+from linkloom.scale import number_by_id, one_per_key
 from linkloom.schema import DONE
 from linkloom.session import durable
 
@@ -25,15 +25,18 @@ class ModelError(Exception):
     """Raised by a model function when the model itself refuses or fails (not the connection)."""
 
 
-def route_by_rules(work: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``route`` (rule, section or open), ``rule_section`` and ``rule_category``."""
-    keyed = rules.select(
+def route_by_rules(work: DataFrame, rules: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Add ``route`` (rule, section or open), ``rule_section`` and ``rule_category``.
+
+    Of several rules for a domain one counts: the last by ``order_by``, or the largest (section, category).
+    """
+    keyed = one_per_key(rules.select("domain", "section", "category", *([order_by] if order_by else [])), ["domain"], order_by).select(
         F.col("domain").alias("_rule_domain"),
         F.col("section").alias("rule_section"),
         F.col("category").alias("rule_category"),
     )
     routed = work.withColumn("_domain", rule_domain(F.col("url"))).join(
-        broadcast_if_small(keyed), F.col("_domain") == F.col("_rule_domain"), "left"
+        keyed, F.col("_domain") == F.col("_rule_domain"), "left"
     )
     route = (
         F.when(F.col("rule_category").isNotNull(), "rule")
@@ -67,27 +70,21 @@ def _joined_names(by: str = "struct(sort_order, id, name)") -> Column:
 
 def allowed_lists(categories: DataFrame) -> DataFrame:
     """Allowed-category text per section, and for the whole taxonomy under a NULL section."""
-    per_section = dictionary(categories).groupBy("section").agg(_joined_names().alias("allowed"))
+    per_section = categories.groupBy("section").agg(_joined_names().alias("allowed"))
     whole = categories.agg(_joined_names().alias("allowed")).select(F.lit(None).cast("string").alias("section"), "allowed")
     return per_section.unionByName(whole)
 
 
-def allowed_for(section: Column, categories: DataFrame) -> Column:
-    """Allowed-category text for a row: its section's, or the whole taxonomy.
-
-    The taxonomy is a small dictionary; both texts enter the query as scalar values.
-    """
-    whole = dictionary(categories).agg(_joined_names().alias("allowed")).scalar()
-    per_section = categories.groupBy("section").agg(_joined_names().alias("allowed"))
-    lists = per_section.agg(F.map_from_entries(F.collect_list(F.struct("section", "allowed"))).alias("m")).scalar()
-    return F.coalesce(F.try_element_at(lists, section), whole)
-
-
 def with_prompt(work: DataFrame, categories: DataFrame, section: str | None = None) -> DataFrame:
     """Add the single-row prompt; ``section`` names a column that narrows the choice."""
-    narrowed = F.col(section) if section else F.lit(None).cast("string")
-    allowed = allowed_for(narrowed, categories)
-    return work.withColumn("prompt", prompts.single_prompt(F.col("title"), F.col("description"), allowed))
+    whole = categories.agg(_joined_names().alias("allowed")).scalar()
+    allowed, rows = whole, work
+    if section:
+        per_section = categories.groupBy(F.col("section").alias("_section")).agg(_joined_names().alias("_allowed"))
+        rows = work.join(per_section, F.col(section) == F.col("_section"), "left")
+        allowed = F.coalesce("_allowed", whole)
+    prompt = prompts.single_prompt(F.col("title"), F.col("description"), allowed)
+    return rows.withColumn("prompt", prompt).select(*work.columns, "prompt")
 
 
 def batch_prompts(work: DataFrame, categories: DataFrame, size: int) -> DataFrame:
@@ -104,7 +101,7 @@ def batch_prompts(work: DataFrame, categories: DataFrame, size: int) -> DataFram
     )
     line = prompts.batch_item(F.col("item"), F.col("title"), F.col("description"))
     packed = placed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("item", "id", line.alias("line")))).alias("rows"))
-    whole = dictionary(categories).agg(_joined_names().alias("allowed")).scalar()
+    whole = categories.agg(_joined_names().alias("allowed")).scalar()
     return packed.select(
         "chunk",
         F.size("rows").alias("n"),
@@ -115,17 +112,29 @@ def batch_prompts(work: DataFrame, categories: DataFrame, size: int) -> DataFram
 
 def normalized(answers: DataFrame, categories: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the canonical ``category`` of a free answer."""
-    named = answers.withColumn("_names", name_lookup(categories))
-    return named.withColumn("category", normalize_answer(F.col(raw), F.col("_names"))).drop("_names")
+    rows = answers.drop("category").withColumn("_row_id", F.monotonically_increasing_id())
+    return named_rows(rows, categories, F.col(raw), ["_row_id"]).drop("_row_id")
 
 
 def parsed_batches(batches: DataFrame, categories: DataFrame, raw: str = "raw", size: str = "n") -> DataFrame:
-    """One row per batch item: the batch columns, ``item`` (from 1) and ``category``."""
-    found = parse_numbered(F.coalesce(F.col(raw), F.lit("")), F.col(size), F.col("_names"))
-    items = batches.withColumn("_names", name_lookup(categories)).select(
-        *batches.columns, F.posexplode(found).alias("_pos", "category")
+    """One row per batch item: the batch columns, ``item`` (from 1) and ``category``.
+
+    The last line that names a valid category wins for its number; numbers outside the batch are ignored.
+    Lines are parsed once each; one shuffle by batch serves all the grouping after the names are found.
+    """
+    packed = batches.select(F.monotonically_increasing_id().alias("_batch"), F.struct(*batches.columns).alias("_cells"))
+    answer = F.coalesce(F.col(f"_cells.{raw}"), F.lit(""))
+    lines = packed.select("_batch", "_cells", F.posexplode_outer(numbered_lines(answer)).alias("_line", "_part"))
+    lines = lines.select("_batch", "_line", "_cells", F.col("_part.item").alias("item"), F.col("_part.text").alias("text"))
+    named = named_rows(lines, categories, F.col("text"), ["_batch", "_line"]).repartition("_batch")
+    usable = F.col("category").isNotNull() & F.col("item").isNotNull()
+    last = named.groupBy("_batch", "item").agg(
+        F.any_value("_cells").alias("_cells"), F.max_by("category", F.when(usable, F.col("_line"))).alias("category")
     )
-    return items.withColumn("item", F.col("_pos") + 1).drop("_pos")
+    pairs = F.collect_list(F.when(F.col("category").isNotNull() & F.col("item").isNotNull(), F.struct("item", "category")))
+    whole = last.groupBy("_batch").agg(F.any_value("_cells").alias("_cells"), F.map_from_entries(pairs).alias("_found"))
+    items = whole.select("_cells", "_found", F.explode(F.sequence(F.lit(1), F.col(f"_cells.{size}").cast("int"))).alias("item"))
+    return items.select("_cells.*", F.try_element_at("_found", F.col("item")).alias("category"), "item")
 
 
 def ask_model(df: DataFrame, ask: Callable[[str], str], workers: int | None = None) -> DataFrame:
@@ -224,16 +233,15 @@ def classify(
     return by_rule.unionByName(by_model.select("id", "url", "route", "category", "error_kind"))
 
 
-def set_categories(urls: DataFrame, answers: DataFrame) -> DataFrame:
+def set_categories(urls: DataFrame, answers: DataFrame, order_by: str | None = None) -> DataFrame:
     """Write ``category`` and ``tagged_by`` by link, only on rows that wait for a category.
 
-    Answers without a category are left out; ``answers`` has one row per link.
+    Answers without a category are left out; of several for a link the last by ``order_by`` counts.
     """
-    news = answers.filter(F.col("category").isNotNull()).select(
-        "url", F.col("category").alias("_category"), F.col("tagged_by").alias("_tagged_by")
-    )
+    named = answers.filter(F.col("category").isNotNull()).select("url", "category", "tagged_by", *([order_by] if order_by else []))
+    news = one_per_key(named, ["url"], order_by).select("url", F.col("category").alias("_category"), F.col("tagged_by").alias("_tagged_by"))
     merged = rewrite(
-        urls.join(broadcast_if_small(news), "url", "left"),
+        urls.join(news, "url", "left"),
         is_unclassified_work() & F.col("_category").isNotNull(),
         {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")},
     )
@@ -259,11 +267,12 @@ def reset_categories(urls: DataFrame, domain: str | None = None, protect_manual:
     return rewrite(urls, where, {"category": None, "tagged_by": None})
 
 
-def edit_categories(urls: DataFrame, edits: DataFrame, manual: bool = True) -> DataFrame:
-    """Apply a table of hand edits (id, category), one row per id."""
-    news = edits.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
+def edit_categories(urls: DataFrame, edits: DataFrame, manual: bool = True, order_by: str | None = None) -> DataFrame:
+    """Apply a table of hand edits (id, category); of several for an id the last by ``order_by`` counts."""
+    last = one_per_key(edits.select("id", "category", *([order_by] if order_by else [])), ["id"], order_by)
+    news = last.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
     merged = rewrite(
-        urls.join(broadcast_if_small(news), "id", "left"),
+        urls.join(news, "id", "left"),
         F.col("_hit"),
         {"category": F.col("_category"), "manual_override": 1 if manual else 0},
     )

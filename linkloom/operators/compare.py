@@ -12,7 +12,6 @@ from linkloom.functions.text import is_filled, percent, round_half_even, strip,
 from linkloom.operators.classify import annotate
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import done, not_manual
-from linkloom.scale import broadcast_if_small
 
 TITLE_CUT = 45
 
@@ -92,7 +91,7 @@ def side_by_side(results: DataFrame, urls: DataFrame, names: list[str], limit: i
 def disagreements(results: DataFrame) -> DataFrame:
     """Links with more than one different answer, ignoring case and empty answers."""
     answer = F.when(is_filled("category"), F.lower("category"))
-    counted = results.groupBy("url_id").agg(F.countDistinct(answer).alias("answers"))
+    counted = results.groupBy("url_id").agg(F.size(F.collect_set(answer)).alias("answers"))
     return counted.filter(F.col("answers") > 1)
 
 
@@ -258,7 +257,7 @@ def accept_model(urls: DataFrame, results: DataFrame, model: str, protect_manual
     where = F.col("_hit").isNotNull()
     if protect_manual:
         where = where & not_manual()
-    merged = rewrite(urls.join(broadcast_if_small(news), "id", "left"), where, {"category": F.col("_category"), "tagged_by": model})
+    merged = rewrite(urls.join(news, "id", "left"), where, {"category": F.col("_category"), "tagged_by": model})
     return merged.select(*urls.columns, "changed")
 
 
@@ -298,7 +297,7 @@ def rows_per_model(results: DataFrame) -> DataFrame:
 
 def most_different(results: DataFrame, urls: DataFrame) -> DataFrame:
     """Links with several different answers, most different first."""
-    counted = results.groupBy("url_id").agg(F.countDistinct("category").alias("unique_results"))
+    counted = results.groupBy("url_id").agg(F.size(F.collect_set("category")).alias("unique_results"))
     return (
         counted.filter(F.col("unique_results") > 1)
         .join(urls.select(F.col("id").alias("url_id"), "url", "title"), "url_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled, percent, strip
 from linkloom.operators.worklists import has_status
-from linkloom.scale import broadcast_if_small, counted_side, rank_by_bucket
+from linkloom.scale import rank_by_bucket
 from linkloom.schema import DONE
 
 TEXT_CUT = 200
@@ -25,7 +25,7 @@ def exportable(urls: DataFrame) -> DataFrame:
 def in_taxonomy(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Rows whose category is a taxonomy name in any case."""
     known = categories.select(F.lower("name").alias("_low")).distinct()
-    return rows.join(broadcast_if_small(known), F.lower("category") == F.col("_low"), "left_semi")
+    return rows.join(known, F.lower("category") == F.col("_low"), "left_semi")
 
 
 def frequent_classes(rows: DataFrame, at_least: int) -> DataFrame:
@@ -33,7 +33,7 @@ def frequent_classes(rows: DataFrame, at_least: int) -> DataFrame:
     if at_least <= 1:
         return rows
     big = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
-    return rows.join(counted_side(big.select("category")), "category", "left_semi")
+    return rows.join(big.select("category"), "category", "left_semi")
 
 
 def skipped(urls: DataFrame, categories: DataFrame, at_least: int = 0) -> DataFrame:
@@ -43,7 +43,7 @@ def skipped(urls: DataFrame, categories: DataFrame, at_least: int = 0) -> DataFr
     """
     sizes = exportable(urls).groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
     known = categories.select(F.lower("name").alias("_low"), F.lit(True).alias("_known")).distinct()
-    marked = sizes.join(broadcast_if_small(known), F.lower("category") == F.col("_low"), "left")
+    marked = sizes.join(known, F.lower("category") == F.col("_low"), "left")
     listed = F.col("_known").isNotNull()
     enough = F.col("_n") >= (at_least if at_least > 1 else 0)
 
@@ -100,7 +100,7 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     weights = class_weights(rows, label).select(F.col("label").alias(label), "weight")
-    return rows.join(counted_side(weights), label)
+    return rows.join(weights, label)
 
 
 def stratified_split(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import find_links
-from linkloom.scale import is_small, number_rows
+from linkloom.scale import number_rows
 from linkloom.schema import PENDING, URLS
 from linkloom.session import durable
 
@@ -70,10 +70,8 @@ def new_rows(
     elif isinstance(high_water, int):
         high_water = F.lit(high_water)
     seen = durable(first_seen(links))
-    known = urls.select("url")
-    if is_small(seen):
-        # a small import looks through the big table without shuffling it
-        known = known.join(F.broadcast(seen.select("url")), "url", "left_semi")
+    # a semi join first: Spark broadcasts a small import, and then the big table is not shuffled
+    known = urls.select("url").join(seen.select("url"), "url", "left_semi")
     fresh = seen.join(known, "url", "left_anti")
     numbered = number_rows(fresh, ["first_doc", "first_pos"])
     now = F.current_timestamp() if now is None else now

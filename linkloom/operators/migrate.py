@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.answers import canonical, name_lookup
+from linkloom.functions.answers import names_by_key
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status
-from linkloom.scale import broadcast_if_small, first_n
+from linkloom.scale import first_n, one_per_key
 from linkloom.schema import DONE, URL_DEFAULTS, URLS
 
 # Fixed pattern: how a failed request names its HTTP code.
@@ -32,11 +32,11 @@ def snapshot_rows(urls: DataFrame, limit: int) -> DataFrame:
 
 def restore(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Put category and tagged_by back from a snapshot."""
-    old = snapshot.select(
+    old = one_per_key(snapshot.select("id", "category", "tagged_by"), ["id"]).select(
         "id", F.col("category").alias("_category"), F.col("tagged_by").alias("_tagged_by"), F.lit(True).alias("_hit")
     )
     merged = rewrite(
-        urls.join(broadcast_if_small(old), "id", "left"), F.col("_hit"), {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")}
+        urls.join(old, "id", "left"), F.col("_hit"), {"category": F.col("_category"), "tagged_by": F.col("_tagged_by")}
     )
     return merged.select(*urls.columns, "changed")
 
@@ -47,20 +47,20 @@ def benchmark_ids(urls: DataFrame, n: int) -> DataFrame:
 
 
 def reset_subset(urls: DataFrame, ids: DataFrame) -> DataFrame:
-    hits = broadcast_if_small(ids.select("id", F.lit(True).alias("_hit")))
+    hits = ids.select("id", F.lit(True).alias("_hit")).distinct()
     merged = rewrite(urls.join(hits, "id", "left"), F.col("_hit"), {"category": None, "tagged_by": None})
     return merged.select(*urls.columns, "changed")
 
 
 def count_classified(urls: DataFrame, ids: DataFrame) -> DataFrame:
-    subset = urls.filter(F.col("category").isNotNull()).join(broadcast_if_small(ids.select("id")), "id", "left_semi")
+    subset = urls.filter(F.col("category").isNotNull()).join(ids.select("id"), "id", "left_semi")
     return subset.agg(F.count(F.lit(1)).alias("classified"))
 
 
 def _mapped(urls: DataFrame, mapping: DataFrame) -> DataFrame:
     """``urls`` with the new category and the action: rename, same or null."""
-    pairs = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    joined = urls.join(broadcast_if_small(pairs), F.col("category") == F.col("_old"), "left")
+    pairs = one_per_key(mapping.select("old", "new"), ["old"]).select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    joined = urls.join(pairs, F.col("category") == F.col("_old"), "left")
     action = F.when(
         is_filled("category"),
         F.when(F.coalesce("_new", F.lit("")) == "", "null")
@@ -123,8 +123,8 @@ def match_cleanup(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     site = norm_domain(F.col("url"))
     return (
-        urls.join(broadcast_if_small(exact), (F.col("error_code") == F.col("_code")) & (site == F.col("_domain")), "left")
-        .join(broadcast_if_small(general), F.col("error_code") == F.col("_any_code"), "left")
+        urls.join(exact, (F.col("error_code") == F.col("_code")) & (site == F.col("_domain")), "left")
+        .join(general, F.col("error_code") == F.col("_any_code"), "left")
         .withColumn("rule_no", F.least("_exact", "_general"))
         .select(*urls.columns, "rule_no")
     )
@@ -144,13 +144,16 @@ def cleanup_counts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def tidy_categories(urls: DataFrame, categories: DataFrame, placeholders: tuple[str, ...] = ("(no title)",)) -> DataFrame:
     """Remove placeholder and comma categories; give the others their taxonomy spelling."""
     name = F.col("category")
-    proper = canonical(name, name_lookup(categories))
+    names = names_by_key(categories).select(F.col("key").alias("_key"), F.col("name").alias("_proper"))
+    spelled = urls.join(names, F.lower("category") == F.col("_key"), "left")
+    proper = F.col("_proper")
     junk = name.isin(*placeholders) | name.contains(",")
-    return rewrite(
-        urls,
+    tidied = rewrite(
+        spelled,
         name.isNotNull() & (junk | (proper.isNotNull() & (proper != name))),
         {"category": F.when(~junk, proper)},
     )
+    return tidied.select(*urls.columns, "changed")
 
 
 def upgrade(urls: DataFrame) -> DataFrame:

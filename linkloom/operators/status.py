@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_empty, is_filled
 from linkloom.operators.worklists import has_status, is_transient
-from linkloom.scale import broadcast_if_small
+from linkloom.scale import one_per_key
 from linkloom.schema import DEFERRED, DONE, ERROR, PENDING
 
 # What a row loses when it goes back to the queue.
@@ -46,7 +46,7 @@ def reset_url(urls: DataFrame, url: str) -> DataFrame:
 def reset_ids(urls: DataFrame, ids: DataFrame) -> DataFrame:
     """Like :func:`reset_url`, for a table of ids."""
     hits = ids.select("id", F.lit(True).alias("_hit")).distinct()
-    return rewrite(urls.join(broadcast_if_small(hits), "id", "left"), F.col("_hit"), _FRESH).select(*urls.columns, "changed")
+    return rewrite(urls.join(hits, "id", "left"), F.col("_hit"), _FRESH).select(*urls.columns, "changed")
 
 
 def reset_errors(urls: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def undefer_all(urls: DataFrame) -> DataFrame:
 
 def delete_urls(urls: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows left after deleting a table of ids."""
-    return urls.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_anti")
+    return urls.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def delete_results(results: DataFrame, ids: DataFrame, cascade: bool = True) -> DataFrame:
@@ -79,16 +79,20 @@ def delete_results(results: DataFrame, ids: DataFrame, cascade: bool = True) ->
     if not cascade:
         return results
     gone = ids.select(F.col("id").alias("url_id")).distinct()
-    return results.join(broadcast_if_small(gone), "url_id", "left_anti")
+    return results.join(gone, "url_id", "left_anti")
 
 
-def apply_fetch(urls: DataFrame, fetched: DataFrame, now: Column | None = None) -> DataFrame:
+_OUTCOME = ("url", "title", "description", "error", "error_code")
+
+
+def apply_fetch(urls: DataFrame, fetched: DataFrame, now: Column | None = None, order_by: str | None = None) -> DataFrame:
     """Write fetch outcomes: done with title and description, or error with message and code.
 
-    ``fetched`` has one row per link; use ``latest_outcome`` first when it may repeat links.
+    Of several outcomes for a link the last by ``order_by`` counts, or the largest row without it.
     """
     now = F.current_timestamp() if now is None else now
-    news = fetched.select(
+    last = one_per_key(fetched.select(*_OUTCOME, *([order_by] if order_by else [])), ["url"], order_by)
+    news = last.select(
         "url",
         F.col("title").alias("_title"),
         F.col("description").alias("_description"),
@@ -114,17 +118,16 @@ def apply_fetch(urls: DataFrame, fetched: DataFrame, now: Column | None = None)
 
 def latest_outcome(fetched: DataFrame, order_by: str) -> DataFrame:
     """Keep the last outcome per link."""
-    rest = [c for c in fetched.columns if c != "url"]
-    last = fetched.groupBy("url").agg(F.max(F.struct(order_by, *[c for c in rest if c != order_by])).alias("_last"))
-    return last.select("url", *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return one_per_key(fetched, ["url"], order_by)
 
 
-def refill_descriptions(urls: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Fill empty descriptions of done rows and touch nothing else.
+def refill_descriptions(urls: DataFrame, fetched: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Fill empty descriptions of done rows and touch nothing else; repeated links as in ``apply_fetch``.
 
     ``outcome`` is got, no_tag or error for rows that were tried, NULL for the others.
     """
-    news = fetched.select(
+    last = one_per_key(fetched.select("url", "description", "error", *([order_by] if order_by else [])), ["url"], order_by)
+    news = last.select(
         "url", F.col("description").alias("_description"), F.col("error").alias("_error"), F.lit(True).alias("_hit")
     )
     tried = has_status(DONE) & is_empty("description") & F.col("_hit").isNotNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain, where_domain
 from linkloom.functions.text import is_empty, is_filled
-from linkloom.scale import ID_SPAN, broadcast_if_small, first_n, rank_by_bucket
+from linkloom.scale import ID_SPAN, first_n, rank_by_bucket
 from linkloom.schema import DONE, ERROR, PENDING, TRANSIENT_CODES
 
 
@@ -107,4 +107,4 @@ def round_robin(work: DataFrame, id_span: int = ID_SPAN) -> DataFrame:
 def urls_by_ids(urls: DataFrame, ids: DataFrame) -> DataFrame:
     """Look up the links of a table of ids."""
     wanted = ids.select("id").distinct()
-    return urls.select("id", "url").join(broadcast_if_small(wanted), "id", "left_semi")
+    return urls.select("id", "url").join(wanted, "id", "left_semi")

@@ -87,8 +87,7 @@ add(
     "d3_report_domain",
     lambda t: t.urls.select("id", domains.report_domain(F.col("url")).alias("domain")),
     "urls",
-    """WITH r AS (SELECT id, substr(url, instr(url, '://') + 3) AS rest FROM urls)
-SELECT id, CASE WHEN instr(rest, '/') > 0 THEN replace(substr(rest, 1, instr(rest, '/') - 1), 'www.', '') ELSE replace(rest, 'www.', '') END AS domain FROM r""",
+    "SELECT id, replace(regexp_extract(url, '://([^/]*)', 1), 'www.', '') AS domain FROM urls",
 )
 add(
     "d4_pending_of_domain",

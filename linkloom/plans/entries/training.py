@@ -39,7 +39,7 @@ def predicted(t):
     """Train on the train part of the split, save, load, and predict the test part."""
     parts = durable(dataset.stratified_split(documents(t)))
     path = scratch(t, "model")
-    train.save(train.train(parts.filter("part = 'train'"), max_iter=10, features=1 << 14), path)
+    train.save(train.train(parts.filter("part = 'train'")), path)
     return train.predict(train.load(path), parts.filter("part = 'test'")).select("id", "label", "prediction", "confidence")
 
 

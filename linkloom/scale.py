@@ -8,43 +8,22 @@ from pyspark.sql import functions as F
 
 from linkloom.session import durable
 
-# A dictionary side is broadcast only after a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 200_000
-
-# Above this many rows, "first N" and deep pages are cut by row number instead of a driver-side top-N.
-TOP_N_ROWS = 100_000
-
-
-# Ids are ranked in ranges of this size: the most rows that one sort group of dense ids can hold.
+# Where rows of one key are ranked in ranges of ids, a range has this many.
 ID_SPAN = 100_000
 
-# The taxonomy travels as one value inside a query, so it must stay a dictionary.
-DICTIONARY_ROWS = 10_000
-
+# Ids are counted in slices of this many binary digits; no task sorts more than one slice.
+SLICE_BITS = 17
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """A count that stops after ``max_rows`` + 1 rows."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
+def one_per_key(df: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
+    """The last row of each key by ``order_by``; equal or missing orders are settled by the other columns.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count proves ``df`` small; otherwise leave the choice open.
-
-    Without the hint the join is a shuffle join, whose hot keys adaptive execution splits.
+    The maximum is merged in the map tasks, so a key may be repeated any number of times.
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def counted_side(df: DataFrame) -> DataFrame:
-    """The join side for a grouped table: computed once, kept, and broadcast if it is small."""
-    return broadcast_if_small(durable(df))
-
-
-def dictionary(df: DataFrame, max_rows: int = DICTIONARY_ROWS) -> DataFrame:
-    """``df`` itself, once a bounded count has shown that it is a dictionary."""
-    if not is_small(df, max_rows):
-        raise ValueError(f"more than {max_rows} rows: not a taxonomy")
-    return df
+    rest = [c for c in df.columns if c not in keys]
+    first = [order_by] if order_by else []
+    last = df.groupBy(*keys).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def rank_by_bucket(
@@ -85,15 +64,36 @@ def rank_by_bucket(
     )
 
 
-def number_by_id(df: DataFrame, id_col: str = "id", name: str = "row_no", span: int = ID_SPAN) -> DataFrame:
-    """Number rows 1, 2, ... in the order of a unique integer id.
+def _slice_starts(df: DataFrame, id_col: str) -> DataFrame:
+    """``_slice`` and ``_before``, the number of rows in all earlier slices of the id.
 
-    Ids are sliced into ranges of ``span``, so no task sorts more than ``span`` rows and the
-    running total has one row per range.
+    Slices are summed up in slices of slices, and those once more. A window then holds at most ``2 ** SLICE_BITS`` rows
+    however the ids are spread; the outermost one has no more rows than a long has values above its lower digits (8192).
     """
-    one = df.withColumn("_all", F.lit(0))
-    ranked = rank_by_bucket(one, ["_all"], F.floor(F.col(id_col) / F.lit(span)), [id_col], name)
-    return ranked.drop("_all", f"{name}_of")
+
+    def up_to(*keys: str, by: str) -> Column:
+        window = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        return F.coalesce(F.sum("_n").over(window.orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    fine = df.groupBy(F.shiftright(F.col(id_col).cast("long"), SLICE_BITS).alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    fine = fine.withColumn("_wide", F.shiftright("_slice", SLICE_BITS))
+    wide = fine.groupBy("_wide").agg(F.sum("_n").alias("_n")).withColumn("_widest", F.shiftright("_wide", SLICE_BITS))
+    widest = wide.groupBy("_widest").agg(F.sum("_n").alias("_n"))
+    outer = widest.select("_widest", up_to(by="_widest").alias("_b3"))
+    middle = wide.select("_wide", "_widest", up_to("_widest", by="_wide").alias("_b2")).join(outer, "_widest")
+    inner = fine.select("_slice", "_wide", up_to("_wide", by="_slice").alias("_b1")).join(middle, "_wide")
+    return inner.select("_slice", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_before"))
+
+
+def _numbered(df: DataFrame, starts: DataFrame, id_col: str, name: str) -> DataFrame:
+    sliced = df.withColumn("_slice", F.shiftright(F.col(id_col).cast("long"), SLICE_BITS)).join(starts, "_slice")
+    within = F.row_number().over(W.partitionBy("_slice").orderBy(id_col))
+    return sliced.withColumn(name, F.col("_before") + within).drop("_slice", "_before")
+
+
+def number_by_id(df: DataFrame, id_col: str = "id", name: str = "row_no") -> DataFrame:
+    """Number rows 1, 2, ... in the order of a unique integer id."""
+    return _numbered(df, _slice_starts(df, id_col), id_col, name)
 
 
 def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
@@ -118,12 +118,11 @@ def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int | None, id_col: str = "id") -> DataFrame:
-    """The first ``n`` rows by id; all rows when ``n`` is None."""
+    """The first ``n`` rows by id; all rows when ``n`` is None. Only slices that can hold them are sorted."""
     if n is None:
         return df
-    if n <= TOP_N_ROWS:
-        return df.orderBy(id_col).limit(n)
-    return number_by_id(df, id_col, "_row").filter(F.col("_row") <= n).drop("_row")
+    starts = _slice_starts(df, id_col).filter(F.col("_before") < n)
+    return _numbered(df, starts, id_col, "_row").filter(F.col("_row") <= n).drop("_row")
 
 
 def affected(df: DataFrame) -> DataFrame:

@@ -64,12 +64,26 @@ def append_dry_run_log(
     workers: int = 1,
 ) -> None:
     """Add a dry run to its log."""
-    config = [f"limit={limit or 'all'}"]
-    config += [f"batch={batch}"] if batch > 1 else []
-    config += [f"workers={workers}"] if workers > 1 else []
-    speed = round(processed / elapsed, 2) if elapsed > 0 and processed > 0 else 0.0
-    row = (date, model, round(float(elapsed), 1), speed, processed, " ".join(config))
-    spark.createDataFrame([row], DRY_RUN_LOG).write.mode("append").option("header", True).csv(path)
+    run = spark.createDataFrame(
+        [(date, model, float(elapsed), processed, limit, batch, workers)],
+        "date string, model string, elapsed double, processed int, `limit` int, batch int, workers int",
+    )
+    log_dry_runs(run, path)
+
+
+def log_dry_runs(runs: DataFrame, path: str) -> None:
+    """Add a table of dry runs (date, model, elapsed, processed, limit, batch, workers) to the log."""
+    several = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f"{name}="), F.col(name).cast("string")))
+    size = F.when(F.col("limit") > 0, F.col("limit").cast("string")).otherwise("all")
+    speed = F.when((F.col("elapsed") > 0) & (F.col("processed") > 0), F.try_divide("processed", "elapsed")).otherwise(0.0)
+    runs.select(
+        "date",
+        "model",
+        F.round("elapsed", 1).alias("elapsed_sec"),
+        F.round(speed, 2).alias("url_per_sec"),
+        F.col("processed").cast("long").alias("processed"),
+        F.concat_ws(" ", F.concat(F.lit("limit="), size), several("batch"), several("workers")).alias("config"),
+    ).write.mode("append").option("header", True).csv(path)
 
 
 def read_log(spark: SparkSession, path: str, schema=BENCH_LOG) -> DataFrame:

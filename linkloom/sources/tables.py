@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.scale import broadcast_if_small
 
 BACKUPS_KEPT = 3
 GONE = "_gone"
@@ -82,8 +81,8 @@ class Table:
         if not changes:
             return base
         latest = self._latest(changes)
-        kept = base.join(broadcast_if_small(latest.select(self.key)), self.key, "left_anti")
-        return kept.select(*base.columns).unionByName(latest.filter(~F.col(GONE)).select(*base.columns))
+        kept = base.join(latest.select(self.key), self.key, "left_anti")
+        return kept.unionByName(latest.filter(~F.col(GONE)).drop(GONE), allowMissingColumns=True)
 
     def _latest(self, names: list[str]) -> DataFrame:
         """The last change per key."""
@@ -110,7 +109,7 @@ class Table:
 
     def delete(self, keys: DataFrame) -> int:
         """Delete the rows of a table of keys that exist. Returns how many there were."""
-        wanted = broadcast_if_small(keys.select(self.key).distinct())
+        wanted = keys.select(self.key).distinct()
         return self._write_set(self.read().join(wanted, self.key, "left_semi").withColumn(GONE, F.lit(True)))
 
     def _write_set(self, rows: DataFrame) -> int:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import scale
-from linkloom.operators import browse, classify, compare, dataset, ingest, migrate, worklists
+from linkloom.operators import browse, classify, compare, dataset, ingest, migrate, status, worklists
 
 
 @pytest.fixture(scope="module")
@@ -41,21 +41,38 @@ def test_numbering(lopsided):
     urls = sorted((r["url"] for r in got), reverse=True)
     assert {r["row_no"]: r["url"] for r in got} == dict(enumerate(urls, 1))
     sparse = lopsided.filter("id % 7 = 3")
-    by_id = scale.number_by_id(sparse, span=50).orderBy("id").collect()
+    by_id = scale.number_by_id(sparse).orderBy("id").collect()
     assert [r["row_no"] for r in by_id] == list(range(1, len(by_id) + 1))
 
 
-def test_first_n_beyond_top_n(lopsided, monkeypatch):
-    monkeypatch.setattr(scale, "TOP_N_ROWS", 10)
+@pytest.mark.parametrize("bits", [2, 17])
+def test_numbering_of_ids_spread_far(spark, monkeypatch, bits):
+    monkeypatch.setattr(scale, "SLICE_BITS", bits)
+    ids = [(-1) ** (i % 5 == 0) * ((i * i * 7919) << (i % 24)) + i for i in range(400)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = [r["row_no"] for r in scale.number_by_id(rows).orderBy("id").collect()]
+    assert got == list(range(1, len(ids) + 1))
+    for n in (0, 1, 7, 400, 500):
+        assert sorted(r["id"] for r in scale.first_n(rows, n).collect()) == sorted(ids)[:n]
+
+
+def test_first_n(lopsided):
     assert sorted(r["id"] for r in scale.first_n(lopsided, 500).collect()) == list(range(1, 501))
 
 
+def test_one_row_per_key(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", None, None), ("b", None, "w"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    assert {(r["k"], r["v"]) for r in scale.one_per_key(df, ["k"], "at").collect()} == {("a", "y"), ("b", "w"), (None, "n")}
+    assert {(r["k"], r["v"]) for r in scale.one_per_key(df.select("k", "v"), ["k"]).collect()} == {("a", "z"), ("b", "w"), (None, "n")}
+
+
 @pytest.mark.parametrize("sort", browse.SORTS)
-def test_deep_pages(tables, monkeypatch, sort):
+def test_deep_pages(tables, sort):
     rows = browse.recent(tables.urls)
-    near = [browse.page(rows, p, 7, sort).collect() for p in (1, 3, 6)]
-    monkeypatch.setattr(browse, "TOP_N_ROWS", 0)
-    assert [browse.page(rows, p, 7, sort).collect() for p in (1, 3, 6)] == near
+    whole = [r["id"] for r in rows.orderBy(*browse.sort_columns(sort)).collect()]
+    for p in (1, 3, 6):
+        assert [r["id"] for r in browse.page(rows, p, 7, sort).collect()] == whole[7 * p - 7 : 7 * p]
 
 
 def test_pages_make_the_whole(tables):
@@ -73,7 +90,7 @@ def test_page_counts(spark):
     assert tuple(browse.page_info(spark.range(201), 500).first()) == (201, 3)
 
 
-def test_same_result_without_broadcast(tables, monkeypatch):
+def test_same_result_without_broadcast(spark, tables):
     """Sides that are too big to broadcast go through shuffle joins with the same result."""
 
     def run():
@@ -90,15 +107,42 @@ def test_same_result_without_broadcast(tables, monkeypatch):
             )
         ]
 
-    hinted = run()
-    monkeypatch.setattr(scale, "is_small", lambda df, max_rows=0: False)
-    monkeypatch.setattr(ingest, "is_small", lambda df, max_rows=0: False)
-    assert run() == hinted
-
-
-def test_taxonomy_must_be_a_dictionary(spark):
-    with pytest.raises(ValueError):
-        scale.dictionary(spark.range(20), 10)
+    usual = run()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_taxonomy(spark):
+    """Names are joined, so a taxonomy may have any size."""
+    categories = spark.range(20_000).select(F.col("id"), F.concat(F.lit("Cat "), "id").alias("name"), F.lit("s").alias("section"), F.col("id").alias("sort_order"))
+    answers = spark.createDataFrame([(1, "cat 19999."), (2, "I say\n**CAT 7**"), (3, "Category: cat 12"), (4, "none"), (5, None), (1, "cat 19999.")], "id int, raw string")
+    got = sorted((r["id"], r["category"]) for r in classify.normalized(answers, categories).collect() if r["category"])
+    assert got == [(1, "Cat 19999"), (1, "Cat 19999"), (2, "Cat 7"), (3, "Cat 12")]
+    batches = spark.createDataFrame([(0, 3, "1. cat 5\n2) nothing\n1. cat 6\n9. cat 7"), (1, 2, None)], "chunk int, n int, raw string")
+    items = sorted((r["chunk"], r["item"], r["category"]) for r in classify.parsed_batches(batches, categories).collect())
+    assert items == [(0, 1, "Cat 6"), (0, 2, None), (0, 3, None), (1, 1, None), (1, 2, None)]
+    assert classify.allowed_lists(categories).count() == 2
+
+
+def test_repeated_keys_make_no_rows(spark, tables):
+    """Several rules, edits or mappings for one key change one row, and the last one counts."""
+    urls, n = tables.urls, tables.urls.count()
+    row = urls.filter("category IS NOT NULL").select("id", "url", "category").first()
+    twice = spark.createDataFrame([(row["id"], "first", 1), (row["id"], "second", 2)], "id int, category string, at int")
+    edited = classify.edit_categories(urls, twice, order_by="at")
+    assert edited.count() == n and edited.filter(F.col("id") == row["id"]).first()["category"] == "second"
+    outcomes = spark.createDataFrame([(row["url"], "old", "d", None, None, 1), (row["url"], "new", "d", None, None, 2)], "url string, title string, description string, error string, error_code int, at int")
+    assert status.apply_fetch(urls, outcomes, order_by="at").filter(F.col("url") == row["url"]).select("title").collect() == [("new",)]
+    assert status.apply_fetch(urls, outcomes).count() == status.refill_descriptions(urls, outcomes).count() == n
+    rules = tables.rules.unionByName(tables.rules)
+    work = worklists.unclassified(urls, ordered=False)
+    assert classify.route_by_rules(work, rules).count() == work.count()
+    mapping = spark.createDataFrame([(row["category"], "a"), (row["category"], "b")], "old string, new string")
+    assert migrate.migrate_categories(urls, mapping).count() == n
 
 
 def test_split_of_a_dominant_class(spark):
