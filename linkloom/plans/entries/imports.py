@@ -122,7 +122,7 @@ add(
 )
 add(
     "d7_numbered",
-    lambda t: scale.number_by_id(t.urls.filter("status = 'done'").select("id"), span=32),
+    lambda t: scale.number_by_id(t.urls.filter("status = 'done'").select("id")),
     "urls",
     "SELECT id, row_number() OVER (ORDER BY id) AS row_no FROM urls WHERE status = 'done'",
 )
