@@ -103,6 +103,15 @@ def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(weights, label)
 
 
+HASH_BITS = 60
+
+
+def _order_hash(id_col: str, seed: int) -> Column:
+    """A seeded number from 0 up to ``2 ** HASH_BITS`` that any engine with MD5 can repeat."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def stratified_split(
     rows: DataFrame,
     label: str = "label",
@@ -117,8 +126,8 @@ def stratified_split(
     Rows are ordered by a seeded hash of the id, in 2^slice_bits hash slices per class, so a
     dominant class is never sorted in one task.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    ranked = rank_by_bucket(hashed, [label], F.shiftright("_h", 64 - slice_bits), ["_h", id_col], "_rank")
+    hashed = rows.withColumn("_h", _order_hash(id_col, seed))
+    ranked = rank_by_bucket(hashed, [label], F.shiftright("_h", HASH_BITS - slice_bits), ["_h", id_col], "_rank")
     test = F.round(F.col("_rank_of") * F.lit(test_share))
     val = F.round(F.col("_rank_of") * F.lit(val_share))
     part = (
@@ -129,8 +138,8 @@ def stratified_split(
 
 def review_sample(rows: DataFrame, label: str = "label", id_col: str = "id", large: int = 100, seed: int = 42) -> DataFrame:
     """Rows to check by hand: all of a rare class (<50), half of a medium one (50-150), ``large`` of a big one."""
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    ranked = rank_by_bucket(hashed, [label], F.shiftright("_h", 48), ["_h", id_col], "_rank")
+    hashed = rows.withColumn("_h", _order_hash(id_col, seed))
+    ranked = rank_by_bucket(hashed, [label], F.shiftright("_h", HASH_BITS - 16), ["_h", id_col], "_rank")
     size = F.col("_rank_of")
     take = F.when(size < 50, size).when(size <= 150, F.ceil(size / 2)).otherwise(F.lit(large))
     return ranked.filter(F.col("_rank") <= take).drop("_h", "_rank", "_rank_of")

@@ -8,6 +8,7 @@ from linkloom.operators import dataset, metrics, train
 from linkloom.plans.catalog import add
 from linkloom.plans.entries.statistics import pct
 from linkloom.plans.views import NORM_DOMAIN
+from linkloom.schema import DRY_RUN_LOG
 from linkloom.session import durable, shared_dir
 from linkloom.sources import files
 
@@ -35,12 +36,57 @@ def documents(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
 
 
-def predicted(t):
-    """Train on the train part of the split, save, load, and predict the test part."""
+def both_predicted(t):
+    """Train on the train part of the split, save, load, and predict the test part with the model as trained and as loaded."""
     parts = durable(dataset.stratified_split(documents(t)))
     path = scratch(t, "model")
-    train.save(train.train(parts.filter("part = 'train'")), path)
-    return train.predict(train.load(path), parts.filter("part = 'test'")).select("id", "label", "prediction", "confidence")
+    model = train.train(parts.filter("part = 'train'"))
+    train.save(model, path)
+    test = parts.filter("part = 'test'")
+    return train.predict(model, test), train.predict(train.load(path), test)
+
+
+def predicted(t):
+    return both_predicted(t)[1].select("id", "label", "prediction", "confidence")
+
+
+def prediction_facts(t):
+    """What SQL can state of each prediction."""
+    trained, loaded = both_predicted(t)
+    first = trained.select("id", F.col("prediction").alias("_first"))
+    return loaded.join(first, "id").select(
+        "id",
+        "label",
+        F.col("prediction").isNotNull().alias("predicted"),
+        F.col("confidence").between(0, 1).alias("confidence_valid"),
+        (F.col("prediction") == F.col("_first")).alias("same_when_loaded"),
+    )
+
+
+def metric_facts(t):
+    """Size of the test part, and whether the accuracy beats always naming the largest class."""
+    rows = durable(predicted(t))
+    sizes = rows.groupBy("label").count()
+    largest = sizes.agg(F.max("count") / F.sum("count")).first()[0]
+    return metrics.summary(rows).select("num_test", (F.col("accuracy") > F.lit(largest)).alias("beats_largest"))
+
+
+def confidence_facts(t):
+    """Every test row and how often it is kept or passed on."""
+    rows = durable(predicted(t))
+    kept, passed = train.split_by_confidence(rows)
+    sides = kept.withColumn("kept", F.lit(1)).unionByName(passed.withColumn("kept", F.lit(0)))
+    right = (F.col("confidence") >= train.CONFIDENCE) == (F.col("kept") == 1)
+    return sides.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.every(right).alias("right_side"))
+
+
+def review_facts(t):
+    """The review list's size, and whether no other row is less confident than its most confident one."""
+    rows = durable(predicted(t))
+    listed = durable(train.least_confident(rows, 20))
+    top = listed.agg(F.max("confidence")).first()[0]
+    others = rows.join(listed.select("id"), "id", "left_anti").filter(F.col("confidence") < F.lit(top))
+    return listed.agg(F.count(F.lit(1)).alias("listed")).crossJoin(others.agg(F.count(F.lit(1)).alias("less_confident")))
 
 
 add("k1_exportable", lambda t: dataset.exportable(t.urls), "urls", f"WITH {EXPORT} SELECT * FROM export")
@@ -77,6 +123,35 @@ add(
     "urls categories",
     f"WITH {EXPORT}, {LISTED} SELECT {TEXT} AS text, category AS label FROM listed",
 )
+
+
+def run_log(t):
+    """Dry runs, one per source of documents, written to the log and read back."""
+    path = scratch(t, "runs")
+    n = F.count(F.lit(1))
+    runs = t.documents.groupBy("source").agg(n.alias("n"), (F.sum("n_chars") / 1000).alias("elapsed"))
+    runs = runs.select(
+        F.lit("2026-04-10").alias("date"),
+        F.col("source").alias("model"),
+        "elapsed",
+        F.col("n").alias("processed"),
+        F.when(F.col("n") % 2 == 0, F.col("n")).alias("limit"),
+        (F.col("n") % 3 + 1).alias("batch"),
+        (F.col("n") % 5 + 1).alias("workers"),
+    )
+    files.log_dry_runs(runs, path)
+    return files.read_log(t.spark, path, DRY_RUN_LOG)
+
+
+add(
+    "s7_run_log",
+    run_log,
+    "",
+    """WITH r AS (SELECT source, count(*) AS n, sum(n_chars) / CAST(1000 AS DOUBLE) AS elapsed FROM documents GROUP BY source)
+SELECT '2026-04-10' AS date, source AS model, round(elapsed, 1) AS elapsed_sec, round(n / elapsed, 2) AS url_per_sec, n AS processed,
+  concat_ws(' ', 'limit=' || CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) ELSE 'all' END, CASE WHEN n % 3 > 0 THEN 'batch=' || (n % 3 + 1) END,
+    CASE WHEN n % 5 > 0 THEN 'workers=' || (n % 5 + 1) END) AS config FROM r""",
+)
 add(
     "k5_class_distribution",
     lambda t: dataset.class_distribution(listed(t)),
@@ -90,7 +165,15 @@ add(
     "",
     "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM (SELECT DISTINCT lang AS label FROM documents) d",
 )
-add("k7_stratified_split", lambda t: dataset.stratified_split(documents(t)).select("id", "label", "part"))
+SPLIT = """split AS (SELECT id, label, CASE WHEN n <= p THEN 'test' WHEN n <= 2 * p THEN 'val' ELSE 'train' END AS part
+  FROM (SELECT doc_id AS id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id) AS n,
+    round(count(*) OVER (PARTITION BY lang) * CAST(0.15 AS DOUBLE)) AS p FROM documents) d)"""
+add(
+    "k7_stratified_split",
+    lambda t: dataset.stratified_split(documents(t)).select("id", "label", "part"),
+    "",
+    f"WITH {SPLIT} SELECT * FROM split",
+)
 add(
     "k7_split_sizes",
     lambda t: dataset.stratified_split(documents(t)).groupBy("label", "part").agg(F.count(F.lit(1)).alias("count")),
@@ -105,8 +188,13 @@ add(
     """WITH c AS (SELECT lang AS label, count(*) AS count FROM documents GROUP BY lang)
 SELECT label, count, (SELECT count(*) FROM documents) / ((SELECT count(*) FROM c) * count) AS weight, (SELECT count(*) FROM documents) / ((SELECT count(*) FROM c) * count) > 3 AS rare FROM c""",
 )
-add("k9_k10_k14_predictions", predicted)
-add("k9_metrics", lambda t: metrics.summary(predicted(t)))
+add(
+    "k9_k10_k14_predictions",
+    prediction_facts,
+    "",
+    f"WITH {SPLIT} SELECT id, label, true AS predicted, true AS confidence_valid, true AS same_when_loaded FROM split WHERE part = 'test'",
+)
+add("k9_metrics", metric_facts, "", f"WITH {SPLIT} SELECT count(*) AS num_test, true AS beats_largest FROM split WHERE part = 'test'")
 add(
     "k11_metrics",
     lambda t: metrics.summary(t.predictions),
@@ -147,8 +235,13 @@ add(
     "predictions",
     "SELECT count(*) AS num_test, count(*) FILTER (label = 'A') AS support_a FROM predictions",
 )
-add("o1_confident", lambda t: train.split_by_confidence(predicted(t))[0])
-add("o2_least_confident", lambda t: train.least_confident(predicted(t), 20))
+add("o1_confident", confidence_facts, "", f"WITH {SPLIT} SELECT id, CAST(1 AS BIGINT) AS times, true AS right_side FROM split WHERE part = 'test'")
+add(
+    "o2_least_confident",
+    review_facts,
+    "",
+    f"WITH {SPLIT} SELECT least(count(*), 20) AS listed, CAST(0 AS BIGINT) AS less_confident FROM split WHERE part = 'test'",
+)
 add(
     "o3_review_sample_sizes",
     lambda t: dataset.review_sample(documents(t)).groupBy("label").agg(F.count(F.lit(1)).alias("count")),
