@@ -33,7 +33,7 @@ SAME = 0.6  # of the aligned pages: from this share on a slot's text is template
 LEAST_PAGES = 3
 BROADCAST_BYTES = 16 << 20
 DEEPEST = 150  # elements nested deeper become siblings
-MOST_CELLS = 20_000  # of one alignment; longer lists of children are aligned from both ends instead
+MOST_CELLS = 20_000  # of one alignment; longer lists of unequal children are aligned one by one
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -61,15 +61,22 @@ _NOT_CONTENT_NAMES = set(
 class Node:
     """An element, or a text when ``tag`` is ``#text``."""
 
-    __slots__ = ("tag", "names", "children", "text")
+    __slots__ = ("tag", "names", "label", "children", "text", "shape", "size")
 
     def __init__(self, tag: str, names: str = "", text: str = ""):
-        self.tag, self.names, self.text = tag, names, text
+        self.tag, self.names, self.label, self.text = tag, names, f"{tag}.{names}", text
         self.children: list[Node] = []
+        self.shape = self.size = 0
 
-    @property
-    def label(self) -> tuple[str, str]:
-        return self.tag, self.names
+    def measure(self) -> None:
+        """Set ``size``, the number of nodes, and ``shape``, equal for trees of equal labels, from the leaves up."""
+        for child in self.children:
+            child.measure()
+        self.size = 1 + sum(c.size for c in self.children)
+        self.shape = hash((self.label, *[c.shape for c in self.children]))
+
+    def texts(self) -> list[Node]:
+        return [self] if self.tag == "#text" else [t for c in self.children for t in c.texts()]
 
 
 def parse(html: str) -> Node:
@@ -105,6 +112,7 @@ def parse(html: str) -> Node:
             node.text, at = html[at : close.start() if close else end], close.end() if close else end
         elif tag not in _VOID and not token[3].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
+    root.measure()
     return root
 
 
@@ -118,36 +126,42 @@ def _close(stack: list[Node], tags: set[str], scopes: set[str]) -> None:
 
 
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the number of matched nodes and the matched texts."""
+    """Simple tree matching: the number of matched nodes and the matched texts.
+
+    Trees of equal shape match as wholes. So do equal children at either end of two lists, which no alignment can better;
+    what lies between is aligned by dynamic programming.
+    """
     if a.label != b.label:
         return 0, []
+    if a.shape == b.shape:
+        return a.size, list(zip(a.texts(), b.texts(), strict=True))
     left, right = a.children, b.children
+    total, pairs = 1, []
+    most = min(len(left), len(right))
+    head = next((i for i in range(most) if left[i].shape != right[i].shape), most)
+    tail = next((i for i in range(most - head) if left[-1 - i].shape != right[-1 - i].shape), most - head)
+    ends = [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    if len(left) * len(right) > MOST_CELLS:  # in order, as far as labels agree
+        ends += [(x, y) for x, y in zip(left, right, strict=False) if x.label == y.label]
+        left = []
+    for x, y in ends:
+        size, found = align(x, y)
+        total, pairs = total + size, pairs + found
     if not left or not right:
-        return 1, [(a, b)] if a.tag == "#text" else []
-    pairs: list[tuple[Node, Node]] = []
-    total = 1
-    head = 0
-    if len(left) * len(right) > MOST_CELLS:
-        while head < min(len(left), len(right)) and left[head].label == right[head].label:
-            size, found = align(left[head], right[head])
-            total, pairs, head = total + size, pairs + found, head + 1
-        left, right = left[head:], right[head:]
-        tail = 0
-        while tail < min(len(left), len(right)) and left[-1 - tail].label == right[-1 - tail].label:
-            size, found = align(left[-1 - tail], right[-1 - tail])
-            total, pairs, tail = total + size, pairs + found, tail + 1
         return total, pairs
-    matched = [[align(x, y) if x.label == y.label else (0, []) for y in right] for x in left]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, row in enumerate(matched):
-        above, here = best[i], best[i + 1]
+    matched = [[_match(x, y) for y in right] for x in left]
+    best = [[0] * (len(right) + 1)]
+    for row in matched:
+        above, here = best[-1], [0]
         for j, (size, _) in enumerate(row):
-            here[j + 1] = max(above[j] + size, above[j + 1], here[j])
+            here.append(max(above[j] + size, above[j + 1], here[j]))
+        best.append(here)
     i, j = len(left), len(right)
     while i and j:
         size, found = matched[i - 1][j - 1]
         if size and best[i][j] == best[i - 1][j - 1] + size:
-            pairs += found
+            pairs += align(left[i - 1], right[j - 1])[1] if found is None else found
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
@@ -156,6 +170,13 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return total + best[-1][-1], pairs
 
 
+def _match(x: Node, y: Node) -> tuple[int, list | None]:
+    """The size of a match, and its texts unless they can be had later at no cost."""
+    if x.shape == y.shape:
+        return x.size, None
+    return align(x, y)
+
+
 def _slots(root: Node) -> dict[int, str]:
     """Texts outside landmarks by node, each named by its path of labels and its text."""
     out: dict[int, str] = {}
@@ -165,7 +186,7 @@ def _slots(root: Node) -> dict[int, str]:
         if node.tag == "#text":
             out[id(node)] = f"{path}|{' '.join(node.text.split())}"
         elif node.tag not in _LANDMARKS and node.tag not in _RAW:
-            todo += [(c, f"{path}/{node.tag}.{node.names}") for c in node.children]
+            todo += [(c, f"{path}/{node.label}") for c in node.children]
     return out
 
 
