@@ -271,7 +271,7 @@ def templates(pages: DataFrame) -> DataFrame:
             )
 
     counted = pages.select("host", "html").join(refs, "host").mapInArrow(count, "host string, slot string, n long")
-    sums = counted.groupBy("host", "slot").agg(F.sum("n").alias("n"))
+    sums = durable(counted.groupBy("host", "slot").agg(F.sum("n").alias("n")))  # read twice below
     whole = sums.filter("slot = ''").select("host", F.col("n").alias("pages"))
     constant = sums.filter("slot <> ''").join(whole, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= SAME * F.col("pages")))
     # A host's template has at most as many texts as its references.
