@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.domains import norm_domain
 from linkloom.functions.text import is_filled, percent, strip
 from linkloom.operators.worklists import has_status
-from linkloom.scale import rank_by_bucket
+from linkloom.scale import number_rows, rank_by_bucket
 from linkloom.schema import DONE
 
 TEXT_CUT = 200
@@ -77,24 +76,25 @@ def dataset(
 
 
 def class_distribution(rows: DataFrame, label: str = "category") -> DataFrame:
-    """Rank, size and percent per class; the windows run over one row per class."""
+    """Rank, size and percent per class. Classes are numbered by a range shuffle, so there may be any number of them."""
     sizes = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("_first"))
-    whole = F.sum("count").over(W.partitionBy(F.lit(0)))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("count"), "_first"))
-    return sizes.withColumns({"rank": place, "pct": percent(F.col("count"), whole)}).drop("_first").orderBy("rank")
+    whole = rows.agg(F.count(F.lit(1)).alias("whole")).scalar()
+    ranked = number_rows(sizes, [F.desc("count"), F.asc("_first")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return ranked.withColumn("pct", percent(F.col("count"), whole)).drop("_first").orderBy("rank")
 
 
 def label_map(rows: DataFrame, label: str = "label") -> DataFrame:
     """Label ids in code-point order; one row per class."""
     named = rows.select(F.col(label).alias("label")).distinct()
-    return named.withColumn("label_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("label")) - 1)
+    return number_rows(named, ["label"], "label_id").withColumn("label_id", (F.col("label_id") - 1).cast("int"))
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Inverse-frequency weight per class; ``rare`` marks weights above 3."""
     sizes = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    every = W.partitionBy(F.lit(0))
-    weight = F.sum("count").over(every) / (F.count(F.lit(1)).over(every) * F.col("count"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    classes = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    weight = whole / (classes * F.col("count"))
     return sizes.withColumn("weight", weight).withColumn("rare", F.col("weight") > RARE_WEIGHT)
 
 

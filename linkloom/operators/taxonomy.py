@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import strip
 from linkloom.operators.stats import category_counts
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status
+from linkloom.scale import number_rows
 from linkloom.schema import DONE
 
 # Sections and their categories, in order.
@@ -112,12 +112,9 @@ def seed(sections: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     if existing is not None:
         sections = sections.filter(existing.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() == 0)
     entries = sections.select("section", "position", F.posexplode("names").alias("place", "name"))
-    order = ["position", "place"]
-    placed = entries.withColumn("sort_order", F.row_number().over(W.orderBy(*order)).cast("long") - 1)
-    kept = placed.withColumn("_nth", F.row_number().over(W.partitionBy("name").orderBy("sort_order"))).filter("_nth = 1")
-    return kept.select(
-        F.row_number().over(W.orderBy("sort_order")).cast("long").alias("id"), "name", "section", "sort_order"
-    )
+    placed = number_rows(entries, ["position", "place"], "sort_order").withColumn("sort_order", F.col("sort_order") - 1)
+    kept = placed.groupBy("name").agg(F.min("sort_order").alias("sort_order"), F.min_by("section", "sort_order").alias("section"))
+    return number_rows(kept, ["sort_order"], "id").select("id", "name", "section", "sort_order")
 
 
 def flat(categories: DataFrame) -> DataFrame:

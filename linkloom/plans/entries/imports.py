@@ -91,9 +91,9 @@ add(
 )
 add(
     "d4_pending_of_domain",
-    lambda t: worklists.pending(t.urls, domain="WWW.Spam-Farm.example.org"),
+    lambda t: worklists.pending(t.urls, domain="WWW.Blog.ththan.example.net"),
     "urls",
-    f"SELECT id, url FROM urls WHERE status = 'pending' AND {NORM_DOMAIN} = 'spam-farm.example.org'",
+    f"SELECT id, url FROM urls WHERE status = 'pending' AND {NORM_DOMAIN} = 'blog.ththan.example.net'",
 )
 add(
     "d5_errors_of_domain",

@@ -42,9 +42,9 @@ FROM (SELECT DISTINCT page_id % 12 AS k FROM pages) t WHERE k <> 10""",
     ),
     "rules": (
         ("pages",),
-        f"""SELECT domain, CASE WHEN length(domain) % 5 IN (1, 2) THEN 's1' END AS section, CASE WHEN length(domain) % 5 IN (0, 2) THEN 'cat3' END AS category
+        f"""SELECT domain, CASE WHEN length(domain) % 5 IN (1, 2) OR domain LIKE 'blog.%' THEN 's1' END AS section, CASE WHEN length(domain) % 5 IN (0, 2) THEN 'cat3' END AS category
 FROM (SELECT DISTINCT {RULE_DOMAIN} AS domain FROM pages) t
-WHERE length(domain) % 5 IN (0, 1, 2)""",
+WHERE length(domain) % 5 IN (0, 1, 2) OR domain LIKE 'blog.%'""",
     ),
     # rules that partly name what the taxonomy does not have
     "loose_rules": (
