@@ -16,6 +16,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -75,13 +76,13 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> None:
-    """Write archives of about ``FILE_BYTES`` each."""
+    """Write gzipped archives of about ``FILE_BYTES`` each before compression."""
     payload = F.coalesce(F.col(html), F.lit(""))
     read = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     read = read.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     mean = pages.agg(F.avg(F.octet_length(F.col(html)))).first()[0] or 0
     per_file = max(1, int(FILE_BYTES / (mean + 600)))
-    _records(read, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    _records(read, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -101,7 +102,7 @@ def _page(value: bytes | None) -> int | None:
 
 
 def parse(data: bytes, file: str) -> Iterator[tuple]:
-    """Index lines of one archive, found by the lengths that the records state."""
+    """Index lines of one archive, found by the lengths that the records state; offsets are those of the unpacked bytes."""
     at = 0
     while at < len(data):
         if not data.startswith(b"WARC/", at):
@@ -140,7 +141,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                lines = sorted(parse(content.as_py(), path.as_py().rpartition("/")[2]), key=_order)
+                data = gzip.decompress(content.as_py()) if path.as_py().endswith(".gz") else content.as_py()
+                lines = sorted(parse(data, path.as_py().rpartition("/")[2]), key=_order)
                 if lines:
                     yield _batch(lines, _ARROW)
 

@@ -1,6 +1,7 @@
 """URL filters, main texts, mixing, languages and archives."""
 
 import base64
+import gzip
 import hashlib
 import random
 from collections import defaultdict
@@ -192,7 +193,7 @@ def test_archives_come_back_whole(spark, tmp_path, monkeypatch):
     runs = warc.read(spark, str(tmp_path / "w"))
     index = warc.merge(runs).collect()
     assert [(r["url_key"], r["captured"]) for r in index] == sorted((r["url_key"], r["captured"]) for r in index)
-    data = {p.name: p.read_bytes() for p in (tmp_path / "w").iterdir()}
+    data = {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*")}
     largest = {}
     for page, _, html in CAPTURES:
         largest[html or ""] = max(largest.get(html or "", -1), -1 if page is None else page)
