@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm import oracles as oracles_of
 from linkloom.llm import decontaminate, language, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc, wrappers
 from linkloom.session import durable
 
@@ -72,7 +73,15 @@ firsts AS (SELECT payload_digest, max(page_id) AS first FROM digests GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM digests JOIN firsts USING (payload_digest)"""
 
-_ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.oracle(), "op5_mixing": mixing.oracle(), "op9_warc": _WARC_SQL}
+_ORACLES: dict[str, str] = {
+    "op1_decontamination": oracles_of.decontamination(),
+    "op2_url_filters": urlfilter.oracle(),
+    "op3_ngram_jaccard_join": oracles_of.similarity_join(),
+    "op5_mixing": mixing.oracle(),
+    "op7_license_scan": oracles_of.license_scan(),
+    "op9_warc": _WARC_SQL,
+    "op10_substring_dedup": oracles_of.substring_dedup(),
+}
 
 
 def queries() -> dict[str, Query]:

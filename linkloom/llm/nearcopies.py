@@ -123,7 +123,7 @@ def _compare(table: pa.Table) -> pa.Table:
     right_all = np.flatnonzero(block == high)
     for i in np.flatnonzero(block == low):
         right = right_all[right_all > i] if low == high else right_all
-        near = (np.minimum(sizes[right], sizes[i]) >= THRESHOLD * np.maximum(sizes[right], sizes[i])) & (paths[right] == paths[i]).any(1)
+        near = (np.minimum(sizes[right], sizes[i]) / np.maximum(sizes[right], sizes[i]) >= THRESHOLD) & (paths[right] == paths[i]).any(1)
         right = right[near]
         if not len(right):
             continue
@@ -131,7 +131,7 @@ def _compare(table: pa.Table) -> pa.Table:
         marks[own] = True
         both = np.array([np.count_nonzero(marks[local[begin[j] : begin[j + 1]]]) for j in right])
         marks[own] = False
-        right = right[both >= THRESHOLD * (sizes[right] + sizes[i] - both)]
+        right = right[both / (sizes[right] + sizes[i] - both) >= THRESHOLD]
         if len(right):
             links[i] += copies[right].sum()
             links[right] += copies[i]

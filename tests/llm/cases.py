@@ -89,7 +89,7 @@ def near_classes(rows, threshold=0.8):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and len(a & b) >= threshold * len(a | b):
+            if a and b and len(a & b) / len(a | b) >= threshold:
                 links[i].add(j)
                 links[j].add(i)
     classes = [None] * len(rows)
