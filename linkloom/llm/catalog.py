@@ -78,6 +78,7 @@ _ORACLES: dict[str, str] = {
     "op2_url_filters": urlfilter.oracle(),
     "op3_ngram_jaccard_join": oracles_of.similarity_join(),
     "op5_mixing": mixing.oracle(),
+    "op6_quality_rules": oracles_of.quality_rules(),
     "op7_license_scan": oracles_of.license_scan(),
     "op9_warc": _WARC_SQL,
     "op10_substring_dedup": oracles_of.substring_dedup(),

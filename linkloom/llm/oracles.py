@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from linkloom.llm import decontaminate, licenses, nearcopies, substrings
+from linkloom.llm import decontaminate, licenses, nearcopies, quality, substrings
 
 _SPACED = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -70,3 +70,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM starts x WHERE x.r = d.r)), '') AS base_labels,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM named x WHERE x.r = d.r), '') AS labels,
   round(coalesce((SELECT max(score) FROM scores x WHERE x.r = d.r), 0), 6) AS score FROM d LEFT JOIN base USING (r)"""
+
+
+def quality_rules() -> str:
+    """The label model in SQL: one pair of steps per round, over the counts of vote patterns."""
+    wordy = "regexp_matches({}, '[^\\x20\\x09-\\x0D]')"
+    vote = "CASE WHEN {} THEN -1 WHEN {} THEN 1 ELSE 0 END"
+    votes = {
+        "symbols": vote.format("10 * n_symbols > n_words", "n_words > 0 AND 50 * n_symbols <= n_words"),
+        "repeats": vote.format("2 * n_repeat_words > n_words", "n_words > 0 AND 10 * n_repeat_words <= n_words"),
+        "lines": vote.format("2 * n_dup_lines > n_lines", "n_lines > 2 AND 10 * n_dup_lines <= n_lines"),
+        "capitals": vote.format("10 * n_capitals > 3 * n_letters", "n_letters > 0 AND 10 * n_capitals <= n_letters"),
+        "shouts": vote.format("10 * n_shouts > 3 * n_words", "n_words > 0 AND 20 * n_shouts <= n_words"),
+        "word_length": vote.format("word_chars < 3 * n_words OR word_chars > 10 * n_words", "n_words > 0 AND word_chars BETWEEN 4 * n_words AND 6 * n_words"),
+        "closed_lines": vote.format("n_lines > 2 AND 10 * n_closed < 3 * n_lines", "n_lines > 0 AND 10 * n_closed >= 8 * n_lines"),
+    }
+    listed = ", ".join(votes[r] for r in quality.RULES)
+    low, weak = 1 - quality.FALSE_ALARMS, quality.WEAKNESS
+    steps = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_SPACED} AS w FROM documents)",
+        "triples AS MATERIALIZED (SELECT r, s, w[s:s + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM d))",
+        "again AS (SELECT r, s FROM triples SEMI JOIN (SELECT r, g FROM triples GROUP BY ALL HAVING count(*) > 1) USING (r, g))",
+        "repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([s, s + 1, s + 2]) AS p FROM again) GROUP BY r)",
+        f"""lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (regexp_matches(line, '[.!?:;"'')][\\x20\\x09-\\x0D]*$')) AS closed
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE {wordy.format('line')} GROUP BY r)""",
+        """counts AS MATERIALIZED (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+  coalesce(l.closed, 0) AS n_closed, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(text, '!')) AS n_shouts
+  FROM d LEFT JOIN lines l USING (r) LEFT JOIN repeated p USING (r))""",
+        f"voted AS MATERIALIZED (SELECT *, [{listed}] AS votes FROM counts)",
+        "patterns AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted GROUP BY 1)",
+        "cast_votes AS MATERIALIZED (SELECT votes, n, unnest(votes) AS v, generate_subscripts(votes, 1) AS rule FROM patterns)",
+        f"t0 AS MATERIALIZED (SELECT unnest(range(1, {len(quality.RULES) + 1})) AS rule, CAST(0.85 AS DOUBLE) AS bad, CAST(0.995 AS DOUBLE) AS good, CAST(0.8 AS DOUBLE) AS share)",
+    ]
+
+    def posterior(k: int) -> str:
+        logs = "sum(CASE v WHEN 1 THEN ln(bad) - ln(good) WHEN -1 THEN ln(1 - bad) - ln(1 - good) ELSE 0 END)"
+        return f"p{k} AS MATERIALIZED (SELECT votes, any_value(n) AS n, 1 / (1 + exp(ln(1 - any_value(share)) - ln(any_value(share)) + {logs})) AS p FROM cast_votes JOIN t{k} USING (rule) GROUP BY votes)"
+
+    for k in range(quality.ROUNDS):
+        steps.append(posterior(k))
+        steps.append(
+            f"t{k + 1} AS MATERIALIZED (SELECT rule, least(greatest(b, {weak} * greatest(g, {low})), 1 - 1e-6) AS bad, least(greatest(g, {low}), 1 - 1e-6) AS good, "
+            f"(SELECT (sum(n * p) + 8) / (sum(n) + 10) FROM p{k}) AS share FROM (SELECT rule, "
+            f"(sum(c.n * (1 - p)) FILTER (v = 1) + 8.5) / (coalesce(sum(c.n * (1 - p)) FILTER (v <> 0), 0) + 10) AS b, "
+            f"(sum(c.n * p) FILTER (v = 1) + 9.95) / (coalesce(sum(c.n * p) FILTER (v <> 0), 0) + 10) AS g "
+            f"FROM cast_votes c JOIN p{k} USING (votes) GROUP BY rule))".replace("sum(c.n * (1 - p)) FILTER (v = 1)", "coalesce(sum(c.n * (1 - p)) FILTER (v = 1), 0)").replace("sum(c.n * p) FILTER (v = 1)", "coalesce(sum(c.n * p) FILTER (v = 1), 0)")
+        )
+    steps.append(posterior(quality.ROUNDS))
+    failed = f"n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, round(p, 9) AS quality, NOT ({failed}) AND round(p, 9) >= {quality.KEEP_FROM} AS kept
+FROM voted JOIN p{quality.ROUNDS} USING (votes)"""
