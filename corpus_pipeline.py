@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, mixing, nearcopies, quality, substrings
+from linkloom.llm import decontaminate, mixing, nearcopies, oracles, quality, substrings
 from linkloom.session import shared_dir
 
 
@@ -38,8 +38,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the target weights, with its weights and probabilities."""
-    return mixing.sample(mixing.measure(docs)).filter("sampled").drop("sampled")
+    """The sample that meets the target weights, with its weights and probabilities (to nine digits)."""
+    sampled = mixing.sample(mixing.measure(docs)).filter("sampled").drop("sampled")
+    return sampled.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
 
 
 STAGES = [
@@ -50,8 +51,7 @@ STAGES = [
     ("mixing sources to target weights", mixing_to_targets),
 ]
 
-# Classes of near copies are connected components of a similarity join, which SQL can't state at table size.
-ORACLE_SQL = None
+ORACLE_SQL = oracles.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

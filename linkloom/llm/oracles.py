@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from linkloom.llm import decontaminate, licenses, nearcopies, quality, substrings
+from linkloom.llm import decontaminate, licenses, mixing, nearcopies, quality, substrings
 
 _SPACED = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -38,14 +38,15 @@ classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1)
 SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE x = c.doc_id) AS n_links FROM classes c"""
 
 
-def substring_dedup(window: int = substrings.WINDOW) -> str:
+def substring_dedup(window: int = substrings.WINDOW, whole: bool = False) -> str:
+    """``whole`` returns the words that are left instead of their hash."""
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, {_SPACED} AS w FROM documents),
 places AS MATERIALIZED (SELECT doc_id, s, array_to_string(w[s:s + {window - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS s FROM d)),
 firsts AS (SELECT g, min(doc_id) AS doc, arg_min(s, (doc_id, s)) AS first FROM places GROUP BY g),
 gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS p FROM places JOIN firsts USING (g) WHERE doc_id <> doc OR s <> first),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed, {'coalesce(kept, $$$$) AS kept' if whole else "sha256(coalesce(kept, '')) AS kept_sha256"}
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
@@ -122,3 +123,18 @@ def quality_rules() -> str:
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, round(p, 9) AS quality, NOT ({failed}) AND round(p, 9) >= {quality.KEEP_FROM} AS kept
 FROM voted JOIN p{quality.ROUNDS} USING (votes)"""
+
+
+def pipeline() -> str:
+    """The five stages, each of the statements above over what the stage before has kept."""
+
+    def over(sql: str, table: str) -> str:
+        return sql.replace("FROM documents", f"FROM {table}")
+
+    return f"""WITH stage1 AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({quality_rules()}) q USING (doc_id) WHERE q.kept),
+stage2 AS MATERIALIZED (SELECT d.* FROM stage1 d JOIN ({over(similarity_join(), "stage1")}) j USING (doc_id) WHERE j.class_id = d.doc_id),
+stage3 AS MATERIALIZED (SELECT d.doc_id, CASE WHEN c.n_removed > 0 THEN c.kept ELSE d.text END AS text, d.lang, d.source
+  FROM stage2 d JOIN ({over(substring_dedup(whole=True), "stage2")}) c USING (doc_id) WHERE c.n_removed = 0 OR c.n_removed < c.n_words),
+stage4 AS MATERIALIZED (SELECT d.* FROM stage3 d JOIN ({over(decontamination(), "stage3")}) h USING (doc_id) WHERE NOT h.contaminated)
+SELECT d.doc_id, d.text, d.lang, d.source, length(d.text) AS n_chars, m.n_tokens, m.topic, m.weight, m.probability
+FROM stage4 d JOIN ({mixing.oracle(documents="stage4")}) m USING (doc_id) WHERE m.sampled"""
