@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkloom.functions import answers as texts
+from linkloom.functions import prompts
 from linkloom.operators import classify, worklists
 from linkloom.plans.catalog import add
 from linkloom.plans.views import NORM_DOMAIN, RULE_DOMAIN
@@ -11,10 +12,14 @@ WORK = "work AS (SELECT * FROM urls WHERE status = 'done' AND coalesce(category,
 ROUTED = f"""routed AS (SELECT w.id, w.url, w.title, w.description, r.section AS rule_section, r.category AS rule_category,
   CASE WHEN r.category IS NOT NULL THEN 'rule' WHEN r.section IS NOT NULL THEN 'section' ELSE 'open' END AS route
   FROM work w LEFT JOIN rules r ON r.domain = {RULE_DOMAIN.replace('url', 'w.url')})"""
-HEAD = (
-    "'You are a professional librarian organizing a database of web pages.' || chr(10) || 'Assign exactly ONE category from the list below{}.' || chr(10) || chr(10) || "
-    "'STRICT RULE: You MUST choose from this list. Do NOT invent new categories.' || chr(10)"
-)
+
+
+def _literal(text: str) -> str:
+    """A text of the prompts as an SQL string."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+SINGLE_HEAD, BATCH_HEAD, BATCH_TAIL = (_literal(x) for x in (prompts.SINGLE_HEAD, prompts.BATCH_HEAD, prompts.BATCH_TAIL))
 WHOLE = "(SELECT string_agg(name, ', ' ORDER BY sort_order, id) FROM categories)"
 SECTION = "(SELECT string_agg(name, ', ' ORDER BY sort_order, id) FROM categories c WHERE c.section = rule_section)"
 
@@ -88,7 +93,7 @@ add(
     "c5_prompts",
     lambda t: classify.with_prompt(classify.route_by_rules(work(t), t.rules), t.categories, "rule_section").select("id", "prompt"),
     "urls rules categories",
-    f"""WITH {WORK}, {ROUTED} SELECT id, {HEAD.format('')} || 'Allowed categories: ' || coalesce({SECTION}, {WHOLE}) || chr(10) || chr(10) || 'Title: ' || title || chr(10) ||
+    f"""WITH {WORK}, {ROUTED} SELECT id, {SINGLE_HEAD} || 'Allowed categories: ' || coalesce({SECTION}, {WHOLE}) || chr(10) || chr(10) || 'Title: ' || title || chr(10) ||
   CASE WHEN coalesce(description, '') <> '' THEN 'Description: ' || substring(description, 1, 200) || chr(10) ELSE '' END || 'Category:' AS prompt FROM routed""",
 )
 add(
@@ -99,7 +104,7 @@ add(
 items AS (SELECT id, r // 10 AS chunk, r % 10 + 1 AS item, CAST(r % 10 + 1 AS VARCHAR) || '. Title: ' || title ||
   CASE WHEN coalesce(description, '') <> '' THEN chr(10) || '   Description: ' || substring(description, 1, 150) || chr(10) ELSE '' END AS line FROM placed)
 SELECT chunk, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(id AS VARCHAR), '|' ORDER BY item) AS ids,
-  {HEAD.format(' to each item')} || 'Allowed categories: ' || {WHOLE} || chr(10) || chr(10) || 'Respond with ONLY a numbered list. Format: 1. Category name' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY item) AS prompt
+  {BATCH_HEAD} || 'Allowed categories: ' || {WHOLE} || chr(10) || {BATCH_TAIL} || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY item) AS prompt
 FROM items GROUP BY chunk""",
 )
 add(
