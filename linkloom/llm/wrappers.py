@@ -1,12 +1,13 @@
 """Main-text extraction by wrapper induction.
 
-Three pages of each host are its references: the shortest, and two picked by hashes. Every other page of the host is aligned with them by simple tree matching: two
-nodes match if their labels agree, and the children of matched nodes are aligned in order for the largest number of matches. A text slot
-that holds the same text on most aligned pages belongs to the template; slots that vary hold content. Article landmarks mark
-the content where a page has them; elsewhere it is the body. Menus, forms, notices and the like are recognised by element and by class
-or id, and template texts outside landmarks are left out.
-
-Pages are parsed one at a time where they lie. Only counts per host and slot are shuffled, added up per batch first, so a host
+Three pages of each host are its references, and so are three of each layout that the host has (the pairs of containers that follow each other, with
+their names): the shortest, and two picked by hashes. Every other page is aligned with those of its host and layout by simple tree matching: two
+nodes match if their labels agree, and the children of matched nodes are aligned in order for the largest number of matches and, among
+these, of equal texts. A text slot that holds the same text on most of the pages where it was aligned belongs to the template; slots that vary
+hold content. Article landmarks mark where the content is if a page has them; elsewhere it is the body. Menus, forms, notices and
+the like are recognised by element and by class or id, and template texts are left out inside and outside landmarks.
+
+Pages are parsed one at a time where they lie. Only counts per host and slot (a digest) are shuffled, added up per batch first, so a host
 with a third of all pages is no bottleneck. References and templates reach the pages by a join on the host, broadcast only if their measured size is
 at most ``BROADCAST_BYTES``.
 
@@ -17,23 +18,27 @@ extracted on its own, so repeated rows give repeated results; an empty table giv
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.urlfilter import host_and_path
 from linkloom.session import durable
 
-SAME = 0.6  # of the aligned pages: from this share on a slot's text is template
+SAME = 0.6  # of the pages where a slot was aligned: from this share on its text is template
 LEAST_PAGES = 3
 BROADCAST_BYTES = 16 << 20
 DEEPEST = 150  # elements nested deeper become siblings
-MOST_CELLS = 20_000  # of one alignment; longer lists of unequal children are aligned one by one
+MOST_CELLS = 1 << 18  # of one table; the alignment of longer lists is split
+MOST_TREES = 3000  # references held by a task
+_NODE = 1 << 24  # what a matched node weighs; an equal text weighs 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -47,6 +52,8 @@ _BLOCKS = {
 _SCOPES = {"article", "body", "button", "caption", "html", "main", "section", "table", "td", "th"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LISTS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu"}
+_CONTAINER = r"(?i)<(/?(?:body|div|section|article|main|nav|aside|header|footer|form|table|ul|ol|dl)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_NAMES_IN_TAG = r"""(?i)(\b(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))"""
 _LANDMARKS = {"article", "main"}
 _NOT_CONTENT = {
     "head", "nav", "aside", "footer", "form", "button", "select", "input", "label", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map",
@@ -61,19 +68,27 @@ _NOT_CONTENT_NAMES = set(
 class Node:
     """An element, or a text when ``tag`` is ``#text``."""
 
-    __slots__ = ("tag", "names", "label", "children", "text", "shape", "size")
+    __slots__ = ("tag", "names", "label", "children", "text", "shape", "size", "whole", "said")
 
     def __init__(self, tag: str, names: str = "", text: str = ""):
         self.tag, self.names, self.label, self.text = tag, names, f"{tag}.{names}", text
         self.children: list[Node] = []
-        self.shape = self.size = 0
+        self.shape = self.size = self.whole = 0
+        self.said: frozenset[str] = frozenset()
 
     def measure(self) -> None:
-        """Set ``size``, the number of nodes, and ``shape``, equal for trees of equal labels, from the leaves up."""
+        """From the leaves up, set ``size``, the number of nodes, ``shape``, equal for trees of equal labels, ``said``, the texts, and ``whole``, equal for equal trees."""
         for child in self.children:
             child.measure()
         self.size = 1 + sum(c.size for c in self.children)
         self.shape = hash((self.label, *[c.shape for c in self.children]))
+        if self.tag == "#text":
+            words = " ".join(self.text.split())
+            self.said = frozenset((words,) if words else ())
+            self.whole = hash((self.label, words))
+        else:
+            self.said = self.children[0].said if len(self.children) == 1 else frozenset().union(*[c.said for c in self.children])
+            self.whole = hash((self.label, *[c.whole for c in self.children]))
 
     def texts(self) -> list[Node]:
         return [self] if self.tag == "#text" else [t for c in self.children for t in c.texts()]
@@ -125,68 +140,175 @@ def _close(stack: list[Node], tags: set[str], scopes: set[str]) -> None:
             return
 
 
-def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+def align(a: Node, b: Node, known: dict[tuple[int, int], int] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the number of matched nodes and the matched texts.
 
-    Trees of equal shape match as wholes. So do equal children at either end of two lists, which no alignment can better;
-    what lies between is aligned by dynamic programming.
+    Of the largest matchings, one with the most equal texts is taken. Trees of equal shape match as wholes. So do equal
+    children at either end of two lists, which no alignment can better; what lies between is aligned by dynamic programming.
+    ``known`` keeps what pairs of trees weigh for further calls.
     """
-    if a.label != b.label:
-        return 0, []
-    if a.shape == b.shape:
-        return a.size, list(zip(a.texts(), b.texts(), strict=True))
+    total, pairs, todo, known = 0, [], [(a, b)], {} if known is None else known
+    while todo:
+        x, y = todo.pop()
+        if x.shape == y.shape:
+            total += x.size
+            pairs += zip(x.texts(), y.texts(), strict=True)
+        elif x.label == y.label:
+            total += 1
+            ends, left, right = _ends(x, y)
+            todo += ends
+            if left and right:
+                todo += [(left[i], right[j]) for i, j in _Weights(left, right, known).matched(0, len(left), 0, len(right))]
+    return total, pairs
+
+
+def _ends(a: Node, b: Node) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """Equal children at either end of two nodes, and the children between."""
     left, right = a.children, b.children
-    total, pairs = 1, []
     most = min(len(left), len(right))
-    head = next((i for i in range(most) if left[i].shape != right[i].shape), most)
-    tail = next((i for i in range(most - head) if left[-1 - i].shape != right[-1 - i].shape), most - head)
+    head = next((i for i in range(most) if left[i].whole != right[i].whole), most)
+    tail = next((i for i in range(most - head) if left[-1 - i].whole != right[-1 - i].whole), most - head)
     ends = [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
-    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-    if len(left) * len(right) > MOST_CELLS:  # in order, as far as labels agree
-        ends += [(x, y) for x, y in zip(left, right, strict=False) if x.label == y.label]
-        left = []
-    for x, y in ends:
-        size, found = align(x, y)
-        total, pairs = total + size, pairs + found
-    if not left or not right:
-        return total, pairs
-    matched = [[_match(x, y) for y in right] for x in left]
-    best = [[0] * (len(right) + 1)]
-    for row in matched:
-        above, here = best[-1], [0]
-        for j, (size, _) in enumerate(row):
-            here.append(max(above[j] + size, above[j + 1], here[j]))
-        best.append(here)
-    i, j = len(left), len(right)
-    while i and j:
-        size, found = matched[i - 1][j - 1]
-        if size and best[i][j] == best[i - 1][j - 1] + size:
-            pairs += align(left[i - 1], right[j - 1])[1] if found is None else found
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return total + best[-1][-1], pairs
-
-
-def _match(x: Node, y: Node) -> tuple[int, list | None]:
-    """The size of a match, and its texts unless they can be had later at no cost."""
-    if x.shape == y.shape:
-        return x.size, None
-    return align(x, y)
+    return ends, left[head : len(left) - tail], right[head : len(right) - tail]
 
 
-def _slots(root: Node) -> dict[int, str]:
-    """Texts outside landmarks by node, each named by its path of labels and its text."""
-    out: dict[int, str] = {}
+def _weigh(a: Node, b: Node, known: dict[tuple[int, int], int]) -> int:
+    """What the best matching of two trees weighs: ``_NODE`` for each matched node and 1 for each equal text."""
+    if a.label != b.label:
+        return 0
+    if a.shape == b.shape:
+        if a.said.isdisjoint(b.said):
+            return a.size * _NODE
+        return a.size * _NODE + sum(x.said == y.said != frozenset() for x, y in zip(a.texts(), b.texts(), strict=True))
+    common = a.said & b.said
+    key = (_masked(a, common), _masked(b, common))
+    if key not in known:
+        ends, left, right = _ends(a, b)
+        known[key] = _NODE + sum(_weigh(x, y, known) for x, y in ends) + (_Weights(left, right, known).best() if left and right else 0)
+    return known[key]
+
+
+def _masked(node: Node, kept: frozenset[str] | set[str]) -> int:
+    """A hash of a tree's labels and of those of its texts that are in ``kept``."""
+    if node.said.isdisjoint(kept):
+        return node.shape
+    return hash((node.label, *[_masked(c, kept) for c in node.children])) if node.children else node.whole
+
+
+class _Weights:
+    """The weights of all pairs from two lists of nodes, a row at a time."""
+
+    def __init__(self, left: list[Node], right: list[Node], known: dict[tuple[int, int], int]):
+        self.left, self.known = left, known
+        common = set().union(*[x.said for x in left]) & set().union(*[y.said for y in right])
+        # Texts that only one list has make no difference, so nodes that differ in nothing else are of one kind.
+        self.row_kind = [_masked(x, common) for x in left]
+        kinds: dict[int, int] = {}
+        self.kinds: list[Node] = []
+        kind = []
+        for y in right:
+            kind.append(kinds.setdefault(_masked(y, common), len(kinds)))
+            if kind[-1] == len(self.kinds):
+                self.kinds.append(y)
+        self.kind = np.array(kind)
+        self.saying: dict[str, list[int]] = {}
+        for k, y in enumerate(self.kinds):
+            for text in y.said & common:
+                self.saying.setdefault(text, []).append(k)
+        self.rows: dict[int, np.ndarray] = {}
+        self.bare: dict[int, list[int]] = {}
+
+    def row(self, i: int) -> np.ndarray:
+        x, kind = self.left[i], self.row_kind[i]
+        if kind not in self.rows:
+            if x.shape not in self.bare:
+                self.bare[x.shape] = [_bare(x, y, self.known) for y in self.kinds]
+            weights = self.bare[x.shape]
+            alike = {k for text in x.said if text in self.saying for k in self.saying[text]}
+            if alike:
+                weights = weights.copy()
+                for k in alike:
+                    weights[k] = _weigh(x, self.kinds[k], self.known)
+            if len(self.rows) * len(self.kind) > 4 * MOST_CELLS:
+                self.rows.clear()
+            self.rows[kind] = np.array(weights, np.int64)[self.kind]
+        return self.rows[kind]
+
+    def last(self, rows: Iterable[int], columns: slice) -> np.ndarray:
+        """What the best alignment of these rows with the first 0, 1, ... of these columns weighs."""
+        best = None
+        for i in rows:
+            row = self.row(i)[columns]
+            best = np.zeros(len(row) + 1, np.int64) if best is None else best
+            best[1:] = np.maximum.accumulate(np.maximum(best[:-1] + row, best[1:]))
+        return best
+
+    def best(self) -> int:
+        return int(self.last(range(len(self.left)), slice(None))[-1])
+
+    def matched(self, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+        """The pairs of a best alignment of rows ``a`` to ``b`` with columns ``c`` to ``d``."""
+        out, todo = [], [(a, b, c, d)]
+        while todo:
+            a, b, c, d = todo.pop()
+            if a == b or c == d:
+                continue
+            if b - a > 1 and (b - a) * (d - c) > MOST_CELLS:  # where the columns part between two halves of the rows
+                middle = (a + b) // 2
+                upper = self.last(range(a, middle), slice(c, d))
+                lower = self.last(range(b - 1, middle - 1, -1), slice(d - 1, c - 1 if c else None, -1))[::-1]
+                cut = c + int(np.argmax(upper + lower))
+                todo += [(a, middle, c, cut), (middle, b, cut, d)]
+                continue
+            best = np.zeros((b - a + 1, d - c + 1), np.int64)
+            for i in range(a, b):
+                best[i - a + 1, 1:] = np.maximum.accumulate(np.maximum(best[i - a, :-1] + self.row(i)[c:d], best[i - a, 1:]))
+            i, j = b - a, d - c
+            while i and j:
+                if best[i, j] == best[i - 1, j]:
+                    i -= 1
+                elif best[i, j] == best[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, c + j))
+        return out
+
+
+def _bare(a: Node, b: Node, known: dict[tuple[int, int], int]) -> int:
+    """What two trees weigh by their shapes alone."""
+    if a.label != b.label:
+        return 0
+    if a.shape == b.shape:
+        return a.size * _NODE
+    key = (a.shape, b.shape)
+    if key not in known:
+        left, right = a.children, b.children
+        best = [0] * (len(right) + 1)
+        rows: dict[int, list[int]] = {}
+        for x in left:
+            if x.shape not in rows:
+                rows[x.shape] = [_bare(x, y, known) for y in right]
+            here = [0]
+            for j, weight in enumerate(rows[x.shape]):
+                here.append(max(best[j] + weight, best[j + 1], here[j]))
+            best = here
+        known[key] = _NODE + best[-1]
+    return known[key]
+
+
+def _slots(root: Node) -> dict[int, bytes]:
+    """The texts by node, each named by a digest of its path of labels and its text."""
+    out: dict[int, bytes] = {}
     todo = [(root, "")]
     while todo:
         node, path = todo.pop()
         if node.tag == "#text":
-            out[id(node)] = f"{path}|{' '.join(node.text.split())}"
-        elif node.tag not in _LANDMARKS and node.tag not in _RAW:
-            todo += [(c, f"{path}/{node.label}") for c in node.children]
+            if node.said:
+                out[id(node)] = hashlib.blake2b(f"{path}|{' '.join(node.text.split())}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        elif node.children:
+            path = f"{path}/{node.label}"
+            todo += [(c, path) for c in node.children]
     return out
 
 
@@ -203,13 +325,13 @@ def _landmarks(node: Node) -> list[Node]:
     return [x for c in node.children if _is_content(c, False) for x in _landmarks(c)]
 
 
-def extract(html: str | None, template: frozenset[str] = frozenset()) -> str:
+def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
     """The main text of a page, one block a line."""
     root = parse(html or "")
     marked = _landmarks(root)
-    slots = {} if marked else {k: s for k, s in _slots(root).items() if s in template}
+    slots = {k: s for k, s in _slots(root).items() if s in template} if template else {}
 
-    def blocks(skipped: dict[int, str]) -> list[str]:
+    def blocks(skipped: dict[int, bytes]) -> list[str]:
         out: list[list[str]] = [[]]
         todo: list[Node | None] = list(reversed(marked or root.children))
         while todo:
@@ -235,45 +357,61 @@ def _sized(df: DataFrame, size) -> DataFrame:
     return F.broadcast(kept) if (kept.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else kept
 
 
+def layout(html: str) -> Column:
+    """A hash of the containers that follow each other in a page, by tag and names; how often does not count, nor do digits."""
+    tags = F.regexp_extract_all(html, F.lit(_CONTAINER), F.lit(1))
+    tags = F.transform(tags, lambda t: F.lower(F.regexp_replace(F.concat(F.regexp_extract(t, r"^/?\w+", 0), F.array_join(F.regexp_extract_all(t, F.lit(_NAMES_IN_TAG), F.lit(1)), " ")), r"\d+", "")))
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), tags), F.concat(tags, F.array(F.lit(""))), lambda a, b: F.concat_ws(">", a, b))
+    return F.xxhash64(F.array_sort(F.array_distinct(pairs)))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``host`` and ``template``, the named texts that its pages share, from ``host``, ``page_id`` and ``html``."""
-    full = pages.filter("html <> ''").withColumn("version", F.xxhash64("html"))
+    full = pages.filter("html <> ''").withColumns({"version": F.xxhash64("html"), "layout": layout("html")})
     orders = [F.length("html").cast("long"), F.xxhash64(F.lit(1), "html"), F.xxhash64(F.lit(2), "html")]
-    chosen = full.groupBy("host").agg(F.array(*[F.min(F.struct(o.alias("o"), "version"))["version"] for o in orders]).alias("versions"))
-    chosen = _sized(chosen.select("host", F.explode(F.array_distinct("versions")).alias("version")), F.length("host") + 8)
-    same = full.join(chosen, ["host", "version"]).select("host", "html").distinct()
-    refs = _sized(same.groupBy("host").agg(F.array_sort(F.collect_set("html")).alias("references")), F.length(F.concat_ws("", "references")) + F.length("host"))
+    firsts = [F.min(F.struct(o.alias("o"), "version")).alias(f"r{i}") for i, o in enumerate(orders)]
+    of_layout = durable(full.groupBy("host", "layout").agg(*firsts))
+    of_host = of_layout.groupBy("host").agg(*[F.min(f"r{i}").alias(f"h{i}") for i in range(len(orders))])
+    versions = F.array_distinct(F.array(*[F.col(f"{x}{i}.version") for x in "rh" for i in range(len(orders))]))
+    wanted = durable(of_layout.join(of_host, "host").select("host", "layout", F.explode(versions).alias("version")))
+    chosen = _sized(wanted.select("host", "version").distinct(), F.length("host") + 8)
+    same = full.join(chosen, ["host", "version"]).select("host", "version", "html").distinct()
+    gathered = wanted.join(same, ["host", "version"]).groupBy("host", "layout").agg(F.array_sort(F.collect_set("html")).alias("references"))
+    refs = _sized(gathered, F.length(F.concat_ws("", "references")) + F.length("host"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, list[tuple[str, Node, dict[int, str]]]] = {}
+        trees: dict[str, tuple[Node, dict[int, bytes]]] = {}
+        known: dict[tuple[int, int], int] = {}
         for batch in batches:
-            pages_seen, equal = Counter(), Counter()
+            aligned, equal = Counter(), Counter()
             for host, html, references in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references")), strict=True):
                 others = [r for r in references if r != html]
-                if not html or not others:
+                if not others:
                     continue
-                if host not in trees:
-                    if len(trees) >= 1000:
-                        trees.clear()
-                    parsed = [(r, parse(r)) for r in references]
-                    trees[host] = [(r, tree, _slots(tree)) for r, tree in parsed]
-                page = parse(html)
-                own, shared = _slots(page), set()
-                for reference, tree, names in trees[host]:
-                    if reference != html:
-                        shared |= {names[id(x)] for x, y in align(tree, page)[1] if id(x) in names and names[id(x)] == own.get(id(y))}
-                pages_seen[host, ""] += 1
-                equal.update((host, name) for name in shared)
-            rows = [*pages_seen.items(), *equal.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
-                names=["host", "slot", "n"],
-            )
-
-    counted = pages.select("host", "html").join(refs, "host").mapInArrow(count, "host string, slot string, n long")
-    sums = durable(counted.groupBy("host", "slot").agg(F.sum("n").alias("n")))  # read twice below
-    whole = sums.filter("slot = ''").select("host", F.col("n").alias("pages"))
-    constant = sums.filter("slot <> ''").join(whole, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= SAME * F.col("pages")))
+                page, met, same_text = parse(html), set(), set()
+                for reference in others:
+                    if reference not in trees:
+                        if len(trees) >= MOST_TREES:
+                            trees.clear()
+                        tree = parse(reference)
+                        trees[reference] = (tree, _slots(tree))
+                    tree, names = trees[reference]
+                    if len(known) > MOST_CELLS:
+                        known.clear()
+                    for x, y in align(tree, page, known)[1]:
+                        if x.said:
+                            met.add(names[id(x)])
+                            if x.said == y.said:
+                                same_text.add(names[id(x)])
+                aligned.update((host, name) for name in met)
+                equal.update((host, name) for name in same_text)
+            columns = [[k[0] for k in aligned], [k[1] for k in aligned], list(aligned.values()), [equal[k] for k in aligned]]
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "slot", "pages", "n"])
+
+    counted = full.select("host", "layout", "html").join(refs, ["host", "layout"]).select("host", "html", "references")
+    sums = counted.mapInArrow(count, "host string, slot binary, pages long, n long").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    constant = sums.filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= SAME * F.col("pages")))
     # A host's template has at most as many texts as its references.
     return constant.groupBy("host").agg(F.collect_set("slot").alias("template"))
 
@@ -282,7 +420,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """Per page: id, url, ``text`` and ``n_chars``."""
     host, _ = host_and_path(F.col(url))
     read = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    known = read.join(_sized(templates(read), F.length(F.concat_ws("", "template")) + F.length("host")), "host", "left")
+    known = read.join(_sized(templates(read), F.size("template") * 16 + F.length("host")), "host", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

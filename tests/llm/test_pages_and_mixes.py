@@ -100,6 +100,40 @@ def test_alignment_matches_the_largest_common_tree():
     assert wrappers.align(a, a)[0] == size
 
 
+def test_alignment_prefers_equal_texts_and_is_exact_for_long_lists():
+    a = wrappers.parse("<div><p>1</p><p>2</p><p>Notice</p></div>")
+    b = wrappers.parse("<div><p>3</p><p>4</p><p>5</p><p>6</p><p>Notice</p></div>")
+    size, pairs = wrappers.align(a, b)
+    assert size == 1 + 7 and ["Notice", "Notice"] in [[x.text, y.text] for x, y in pairs]
+    left = [f"<li>{'<b>x</b>' * (i % 3)}{i}</li>" for i in range(700)]
+    right = [*left[:100], "<li><i>new</i></li>", *left[150:400], "<li><u>new</u></li>", *left[450:]]
+    a, b = (wrappers.parse(f"<ul>{''.join(x)}</ul>") for x in (left, right))
+    size, pairs = wrappers.align(a, b)
+    assert size == b.size - 4  # of the new items only <li> has a partner
+    assert sum(x.text == y.text for x, y in pairs if x.text.isdigit()) == 600
+
+
+def _notes(rng, n):
+    return "".join(f"<p>{rng.random()} words</p>" for _ in range(n))
+
+
+def test_constant_slots_decide_inside_landmarks(spark):
+    rng = random.Random(3)
+    rows = [(i, f"https://h.com/{i}", f"<body><article><h1>Title {i}</h1>{_notes(rng, 1 + i % 4)}<p>Read our terms</p></article></body>") for i in range(12)]
+    for r in wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect():
+        assert r["text"].split("\n")[0] == f"Title {r['page_id']}" and "terms" not in r["text"]
+        assert r["text"].count("words") == 1 + r["page_id"] % 4
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    rng = random.Random(4)
+    many = [(i, "https://h.com/a", f"<body><div><span>Front</span></div><div>{_notes(rng, 1 + i % 4)}</div><div>Ours</div></body>") for i in range(60)]
+    few = [(100 + i, "https://h.com/b", f"<body><section><div><table><tr><td>Shop menu</td><td>{_notes(rng, 4 + i % 4)}</td></tr></table></div></section><span>Call us</span></body>") for i in range(4)]
+    for r in wrappers.main_texts(spark.createDataFrame(many + few, PAGES)).collect():
+        assert not any(x in r["text"] for x in ("Front", "Ours", "Shop", "Call")), r
+        assert r["text"].count("words") == (1 + r["page_id"] % 4 if r["page_id"] < 100 else 4 + r["page_id"] % 4)
+
+
 def test_every_article_is_found(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in catalog.op4_html_extraction(spark, sf_dir).collect():
