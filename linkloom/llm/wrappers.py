@@ -5,14 +5,16 @@ their names): the shortest, and two picked by hashes. Every other page is aligne
 nodes match if their labels agree, and the children of matched nodes are aligned in order for the largest number of matches and, among
 these, of equal texts. A text slot that holds the same text on most of the pages where it was aligned belongs to the template; slots that vary
 hold content. Article landmarks mark where the content is if a page has them; elsewhere it is the body. Menus, forms, notices and
-the like are recognised by element and by class or id, and template texts are left out inside and outside landmarks.
+the like are recognised by element, and template texts are left out inside and outside landmarks. A class, id or role drops a block if all of its
+words are those of a menu, notice or the like, or if one of them is and the block holds a template text but not most of the content;
+it never drops html, body, headings or landmarks.
 
 Pages are parsed one at a time where they lie. Only counts per host and slot (a digest) are shuffled, added up per batch first, so a host
 with a third of all pages is no bottleneck. References and templates reach the pages by a join on the host, broadcast only if their measured size is
 at most ``BROADCAST_BYTES``.
 
 Defined cases: a NULL or empty html gives the empty text; a NULL url, or one without a host, puts a page among those of
-the empty host; pages equal to a reference say nothing about the template; if all text is template, it is kept; every row is
+the empty host; pages equal to a reference say nothing about the template; if all text is template, it is kept, and so is all in blocks dropped by name if nothing else is left; every row is
 extracted on its own, so repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,13 +37,14 @@ from linkloom.session import durable
 SAME = 0.6  # of the pages where a slot was aligned: from this share on its text is template
 LEAST_PAGES = 3
 BROADCAST_BYTES = 16 << 20
-DEEPEST = 150  # elements nested deeper become siblings
+DEEPEST = 150  # elements nested deeper become siblings; their end tags are still theirs
 MOST_CELLS = 1 << 18  # of one table; the alignment of longer lists is split
 MOST_TREES = 3000  # references held by a task
 _NODE = 1 << 24  # what a matched node weighs; an equal text weighs 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORD = re.compile(r"[^a-z0-9]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
@@ -63,6 +66,9 @@ _NOT_CONTENT_NAMES = set(
     "footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related reply replies "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+_PLACES = set("bar bottom box global left main mobile page primary right secondary site sticky top".split())  # may stand beside such a name
+_IN_ARTICLES = {"header", "related", "social", "widget"}  # there these may be content
+_NEVER_BY_NAME = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"} | _LANDMARKS
 
 
 class Node:
@@ -97,43 +103,46 @@ class Node:
 def parse(html: str) -> Node:
     """A forgiving tree: blocks end open paragraphs, list items end their like, stray end tags are ignored."""
     root = Node("#root")
-    stack = [root]
+    stack, opened = [root], Counter()
     at, end = 0, len(html)
     while at < end:
         token = _TOKEN.match(html, at)
         at = token.end()
         tag = token[2]
         if tag is None:
+            inside = stack[min(len(stack), DEEPEST) - 1].children
             if token[0][:2] not in ("<!", "<?") and token[0].strip():
-                stack[-1].children.append(Node("#text", text=token[0]))
-            elif token[0][:2] not in ("<!", "<?") and stack[-1].children:
-                stack[-1].children.append(Node("#text", text=" "))
+                inside.append(Node("#text", text=token[0]))
+            elif token[0][:2] not in ("<!", "<?") and inside:
+                inside.append(Node("#text", text=" "))
             continue
         tag = tag.lower()
         if token[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if opened[tag]:
+                _close(stack, opened, {tag}, set())
             continue
-        if tag in _BLOCKS:
-            _close(stack, {"p"}, _SCOPES)
+        if tag in _BLOCKS and opened["p"]:
+            _close(stack, opened, {"p"}, _SCOPES)
         if tag in _SIBLINGS:
-            _close(stack, _SIBLINGS[tag], _LISTS)
+            _close(stack, opened, _SIBLINGS[tag], _LISTS)
         names = " ".join(sorted(" ".join(a or b or c for a, b, c in _NAMES.findall(token[3])).lower().split())) if token[3].strip() else ""
         node = Node(tag, names)
-        stack[-1].children.append(node)
+        stack[min(len(stack), DEEPEST) - 1].children.append(node)
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             node.text, at = html[at : close.start() if close else end], close.end() if close else end
-        elif tag not in _VOID and not token[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in _VOID and not token[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     root.measure()
     return root
 
 
-def _close(stack: list[Node], tags: set[str], scopes: set[str]) -> None:
+def _close(stack: list[Node], opened: Counter[str], tags: set[str], scopes: set[str]) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in tags:
+            for node in stack[depth:]:
+                opened[node.tag] -= 1
             del stack[depth:]
             return
         if stack[depth].tag in scopes:
@@ -312,28 +321,45 @@ def _slots(root: Node) -> dict[int, bytes]:
     return out
 
 
-def _is_content(node: Node, in_landmark: bool) -> bool:
+def _is_content(node: Node, in_landmark: bool, by_name: bool = True) -> bool:
     if node.tag in _NOT_CONTENT or node.tag == "header" and not in_landmark:
         return False
-    return not node.names or _NOT_CONTENT_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", node.names))
+    if not by_name or not node.names or node.tag in _NEVER_BY_NAME:
+        return True
+    listed = _NOT_CONTENT_NAMES - _IN_ARTICLES if in_landmark else _NOT_CONTENT_NAMES
+    names = ({w for w in _WORD.split(name) if w} for name in node.names.split())
+    return not any(words & listed and words <= listed | _PLACES for words in names)
 
 
-def _landmarks(node: Node) -> list[Node]:
+def _is_furniture(node: Node, template: dict[int, bytes], content: int) -> bool:
+    """Whether a block has a suspect word among its names and a template text, but not half of the ``content`` (characters that vary)."""
+    if not node.names or node.tag in _NEVER_BY_NAME or _NOT_CONTENT_NAMES.isdisjoint(_WORD.split(node.names)):
+        return False
+    texts = node.texts()
+    return any(id(t) in template for t in texts) and 2 * _varying(texts, template) < content and not _landmarks(node, False)
+
+
+def _varying(texts: list[Node], template: dict[int, bytes]) -> int:
+    return sum(len(t.text) for t in texts if t.said and id(t) not in template)
+
+
+def _landmarks(node: Node, by_name: bool) -> list[Node]:
     if node.tag in _LANDMARKS:
-        inner = [x for c in node.children for x in _landmarks(c)] if node.tag == "main" else []
+        inner = [x for c in node.children for x in _landmarks(c, by_name)] if node.tag == "main" else []
         return inner or [node]
-    return [x for c in node.children if _is_content(c, False) for x in _landmarks(c)]
+    return [x for c in node.children if _is_content(c, False, by_name) for x in _landmarks(c, by_name)]
 
 
 def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
     """The main text of a page, one block a line."""
     root = parse(html or "")
-    marked = _landmarks(root)
+    marked = _landmarks(root, True) or _landmarks(root, False)
     slots = {k: s for k, s in _slots(root).items() if s in template} if template else {}
 
-    def blocks(skipped: dict[int, bytes]) -> list[str]:
+    def blocks(skipped: dict[int, bytes], by_name: bool) -> list[str]:
         out: list[list[str]] = [[]]
         todo: list[Node | None] = list(reversed(marked or root.children))
+        content = _varying([t for n in todo for t in n.texts()], skipped) if skipped else 0
         while todo:
             node = todo.pop()
             if node is None:
@@ -343,12 +369,12 @@ def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
                     out[-1].append(entities.unescape(node.text))
             elif node.tag == "br":
                 out[-1].append(" ")
-            elif _is_content(node, bool(marked)):
+            elif _is_content(node, bool(marked), by_name) and not (skipped and _is_furniture(node, skipped, content)):
                 edge = [None] if node.tag in _BLOCKS else []
                 todo += [*edge, *reversed(node.children), *edge]
         return [t for t in (" ".join("".join(b).split()) for b in out) if t]
 
-    return "\n".join(blocks(slots) or (blocks({}) if slots else []))
+    return "\n".join((slots and blocks(slots, True)) or blocks({}, True) or blocks({}, False))
 
 
 def _sized(df: DataFrame, size) -> DataFrame:

@@ -100,6 +100,34 @@ def test_alignment_matches_the_largest_common_tree():
     assert wrappers.align(a, a)[0] == size
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<body class="right-sidebar"><article><p>a</p></article></body>', "a"), ('<html class="has-header"><body id=widget><p>a</p></body></html>', "a"),
+    ('<article class="post no-comments"><p>a</p></article>', "a"), ('<main class="sidebar"><p>a</p><div class="sidebar">b</div></main>', "a"),
+    ('<article><h1 class="header">a</h1><div class="article-header">b</div><div class="social">c</div><div class="related">d</div><div class="widget">e</div></article>', "a\nb\nc\nd\ne"),
+    ('<div class="elementor-widget-text"><p>a</p></div><div class="site-header">b</div>', "a"), ('<div class="menu"><p>a</p></div>', "a"),
+    ('<div class="menu"><article>a</article></div>', "a"),
+])
+def test_names_alone_lose_no_article(page, text):
+    assert wrappers.extract(page) == text
+
+
+def test_end_tags_of_deep_elements_close_nothing_else():
+    for deep in (5, 160, 20_000):
+        page = f"<div id=w><article>{'<div>' * deep}x{'</div>' * deep}<p>after</p></article></div><p>outside</p>"
+        assert wrappers.extract(page) == "x\nafter"
+        assert [n.tag for n in wrappers.parse(page).children] == ["div", "p"]
+    page = f"<div id=w><article>{'<div>' * 160}x</article><p>b</p></div><p>c</p>"
+    assert [n.tag for n in wrappers.parse(page).children] == ["div", "p"]
+
+
+def test_suspect_names_count_together_with_a_constant_slot(spark):
+    rng = random.Random(6)
+    links = lambda: f"<div class='related-posts'><h3>Read on</h3><a>{rng.random()} link</a></div>"
+    rows = [(i, f"https://h.com/{i}", f"<body><div class='has-sidebar'><p>Top</p><article><div class='article-header'>{i} head</div>{_notes(rng, 2 + i % 3)}{links()}</article></div></body>") for i in range(9)]
+    for r in wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect():
+        assert "link" not in r["text"] and r["text"].startswith(f"{r['page_id']} head") and r["text"].count("words") == 2 + r["page_id"] % 3
+
+
 def test_alignment_prefers_equal_texts_and_is_exact_for_long_lists():
     a = wrappers.parse("<div><p>1</p><p>2</p><p>Notice</p></div>")
     b = wrappers.parse("<div><p>3</p><p>4</p><p>5</p><p>6</p><p>Notice</p></div>")
