@@ -1,5 +1,6 @@
 """Near copies and substrings against all-pairs and dictionary versions."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from cases import cut_repeats, near_classes, ordered, rows_of, sha
@@ -30,6 +31,29 @@ def test_join_in_many_blocks(spark, monkeypatch):
     assert got == [(i, min(classes[i]), links[i]) for i in range(80)]
 
 
+def test_all_links_between_compared_texts_count():
+    """Texts at the threshold and above, whatever trees they share; none of the pairs counted by hand may be missing."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, 45, np.uint64))]
+    for _ in range(39):
+        old = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.concatenate((old[rng.random(len(old)) > rng.choice([0.02, 0.1])], rng.integers(0, 1 << 62, rng.integers(0, 4), np.uint64)))))
+    sets += [np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64), np.arange(1, dtype=np.uint64)]  # 8 of 10 are exactly the threshold
+    lone = [np.full(18, i, "<u8").tobytes() for i in range(len(sets))]  # no two texts share a tree
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 5 * len(both := np.intersect1d(a, b)) >= 4 * (len(a) + len(b) - len(both))}
+    assert (40, 41) in near and len(near) > 50
+    n = len(sets)
+    for blocks in (1, 3):
+        got = np.zeros(n, int)
+        for low in range(blocks):
+            for high in range(low, blocks):
+                at = [i for i in range(n) if i % blocks in (low, high)]
+                table = pa.table({"low": [low] * len(at), "high": [high] * len(at), "block": [i % blocks for i in at], "node": at, "copies": [1] * len(at), "paths": [lone[i] for i in at], "codes": [sets[i].astype("<u8").tobytes() for i in at]})
+                out = nearcopies._compare(table)
+                got[out["node"].to_numpy()] += out["n_links"].to_numpy()
+        assert list(got) == [sum(i == x for x, _ in near) for i in range(n)]
+
+
 def test_one_of_each_keeps_one_row_per_class_and_all_columns(docs, awkward):
     clashing = docs.withColumns({c: F.lit("mine") for c in ("node", "key", "version", "component")})
     kept = nearcopies.one_of_each(clashing)
