@@ -9,7 +9,10 @@ the windows that straddle it.
 
 A window of ``WINDOW`` words is a repeat if the same words also start earlier: under a smaller doc_id, or in the same
 document at a smaller position. A block sends each of its windows at most once, so a passage that a third of all documents
-share is one entry per block; blocks, index entries and documents are all processed in bounded pieces.
+share is one entry per block. Different windows that straddle a frequent phrase share its anchor; so the anchors of most windows are
+looked for in a sample of the documents, and each is split by bits of the windows' own codes, which parts no equal windows. The sample only
+decides how evenly the work is dealt. Blocks and documents are processed in bounded pieces; index entries in pieces of ``PIECE_WINDOWS`` and
+at most one anchor more, which has about ``ANCHOR_WINDOWS`` windows (or a 65536th of all, or a single window's copies, one a block).
 
 Defined cases: a NULL text has no words; rows with a NULL doc_id come after all others and count as one document; rows that
 repeat a doc_id start at the same places, so they are not repeats of each other; texts of fewer than ``WINDOW`` words lose nothing; an
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.rows import pack, unpack
 from linkloom.llm.textscan import Scan, chunks, inside, long_windows, mix, repeats, runs, sliding_min, windows
+from linkloom.session import durable
 
 WINDOW, ANCHOR = 20, 5
 PIECE_WINDOWS = 1 << 19
+ANCHOR_WINDOWS = 1 << 16  # an anchor that seems to have more is split
+MOST_SPLIT = 1 << 16  # an anchor that has a smaller share of all windows is not split, nor is one into more
+SAMPLED = 32  # one document of so many is looked at for frequent anchors
 _CODE_BYTES = 6  # a window code's bytes in the index; the 64 bits of the anchor come on top
 _LAST = (1 << 63) - 1
 
@@ -79,13 +86,48 @@ def _entries(doc, version, pos, anchor, codes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
-def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: the number of different windows under each anchor, and of all under a NULL."""
+    for _, scan in chunks(batches):
+        n = len(scan.codes)
+        if n < WINDOW:
+            continue
+        at = np.flatnonzero(inside(scan.first, WINDOW, n)[: n - WINDOW + 1])
+        at = at[np.unique(long_windows(scan.codes, WINDOW)[at], return_index=True)[1]]
+        anchors, counts = np.unique(sliding_min(windows(scan.codes, ANCHOR), WINDOW - ANCHOR + 1)[at], return_counts=True)
+        listed = pa.concat_arrays([pa.array(anchors.view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([listed, pa.array(np.append(counts, len(at)), pa.int64())], names=["anchor", "n"])
+
+
+def split_anchors(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors to split, in order, and into how many (a power of two), from ``doc``, ``version`` and ``text``."""
+    some = keyed.filter(F.pmod(F.xxhash64("doc", "version"), F.lit(SAMPLED)) == 0)
+    counts = durable(some.mapInArrow(_frequent, "anchor long, n long").groupBy("anchor").agg((F.sum("n") * SAMPLED).alias("n")))
+    total = counts.filter("anchor IS NULL").first()
+    least = max(ANCHOR_WINDOWS, (total["n"] if total else 0) / MOST_SPLIT)
+    found = counts.filter(F.col("anchor").isNotNull() & (F.col("n") > least)).collect()
+    anchors, n = (np.array([r[c] for r in found], np.int64) for c in ("anchor", "n"))
+    order = np.argsort(anchors.view(np.uint64))
+    parts = np.exp2(np.ceil(np.log2(n[order] / least))).astype(np.uint64)
+    return anchors.view(np.uint64)[order], np.minimum(parts, np.uint64(MOST_SPLIT))
+
+
+def _split(anchors: np.ndarray, codes: np.ndarray, frequent: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """``anchors`` of windows, each frequent one replaced by as many as it has parts."""
+    at = np.minimum(np.searchsorted(frequent, anchors), len(frequent) - 1)
+    hot = np.flatnonzero(frequent[at] == anchors)
+    out = anchors.copy()
+    out[hot] = mix(anchors[hot] + mix(codes[hot]) % parts[at[hot]] * np.uint64(0x9E3779B97F4A7C55))
+    return out
+
+
+def _index(batches: Iterable[pa.RecordBatch], frequent: np.ndarray | None = None, parts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Per reference block: the factors within the block, and index entries for the windows it explains no other way."""
     for batch, scan in chunks(batches):
-        yield from _index_block(scan, batch.column("doc").to_numpy(), batch.column("version").to_numpy())
+        yield from _index_block(scan, batch.column("doc").to_numpy(), batch.column("version").to_numpy(), frequent, parts)
 
 
-def _index_block(scan: Scan, docs: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _index_block(scan: Scan, docs: np.ndarray, versions: np.ndarray, frequent: np.ndarray | None, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     n = len(scan.codes)
     if n < WINDOW:
         return
@@ -99,7 +141,10 @@ def _index_block(scan: Scan, docs: np.ndarray, versions: np.ndarray) -> Iterator
     left[again] = False
     if left.any():
         anchors = sliding_min(windows(scan.codes, ANCHOR), WINDOW - ANCHOR + 1)[at]
-        yield _entries(doc[left], version[left], pos[left], anchors[left], codes[left])
+        anchors, codes = anchors[left], codes[left]
+        if frequent is not None and len(frequent):
+            anchors = _split(anchors, codes, frequent, parts)
+        yield _entries(doc[left], version[left], pos[left], anchors, codes)
 
 
 def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +199,8 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     not joined again; they overlap by ``WINDOW`` - 1 words.
     """
     keyed = _keyed(docs, doc_id, text).select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.col(text).alias("text"))
-    entries = keyed.mapInArrow(_index, _DDL).repartition("anchor").sortWithinPartitions("anchor")
+    frequent, parts = split_anchors(keyed)
+    entries = keyed.mapInArrow(lambda batches: _index(batches, frequent, parts), _DDL).repartition("anchor").sortWithinPartitions("anchor")
     return entries.mapInArrow(_resolve, _DDL).drop("anchor", "codes")
 
 

@@ -1,5 +1,7 @@
 """Near copies and substrings against all-pairs and dictionary versions."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -120,6 +122,32 @@ def test_empty_table(no_docs, run):
     assert run(no_docs).count() == 0
 
 
+def test_frequent_anchors_are_split_and_no_equal_windows_parted(spark, monkeypatch):
+    """A phrase in every document, with other words around it: its windows share an anchor but are dealt apart."""
+    rng = random.Random(8)
+    phrase = [f"p{i}" for i in range(14)]
+    rows = [(i, " ".join([*[f"w{rng.randrange(10**6)}" for _ in range(20)], *phrase, *[f"w{rng.randrange(10**6)}" for _ in range(20)]])) for i in range(400)]
+    rows += [(1000 + i, rows[i * 7][1]) for i in range(40)]
+    monkeypatch.setattr(substrings, "ANCHOR_WINDOWS", 16)
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = substrings._keyed(docs, "doc_id", "text").select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), "text")
+    frequent, parts = substrings.split_anchors(keyed)
+    assert len(frequent) >= 1 and parts.max() >= 16 and list(frequent) == sorted(frequent)
+    batch = pa.record_batch({"doc": [i for i, _ in rows], "version": pa.array([0] * len(rows), pa.int32()), "text": [t for _, t in rows]})
+
+    def largest(*split):
+        held = {}
+        for b in substrings._index([batch], *split):
+            for anchor, codes in zip(b.column("anchor").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                held[anchor] = held.get(anchor, 0) + len(codes or b"")
+        return max(held.values()) // 6
+
+    assert largest(frequent, parts) * 8 < largest()
+    got = rows_of(substrings.cut(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("sha")), "doc_id", "n_words", "n_removed", "sha")
+    assert got == ordered([(i, n, gone, sha(kept)) for (i, _), (n, gone, kept) in zip(rows, cut_repeats(rows), strict=True)])
+
+
 def test_queries_match_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     cut = [(i, n, gone, sha(kept)) for (i, _), (n, gone, kept) in zip(rows, cut_repeats(rows), strict=True)]
