@@ -6,6 +6,9 @@ block (distrust). Personalised PageRank carries trust along links, from a host t
 against them, from a host to those that link to it. A page without a rule is blocked if its host's distrust is above its
 trust and at least ``BLOCK_FROM``; otherwise it is allowed.
 
+Rounds go on until what is still to come can turn no host's verdict, or is ``SETTLED`` at most. Scores only grow, and what is to
+come is at most ``DAMPING / (1 - DAMPING)`` times the last round's growth over all hosts, since a host shares out what it has.
+
 Edges are counted per pair of hosts before anything else, so a host with a third of all pages is a few rows of the
 graph. All steps are columns, joins and aggregates; every round is written to the shared folder.
 
@@ -24,7 +27,7 @@ from linkloom.session import durable
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 20
+ROUNDS = 20  # of the SQL counterpart
 SETTLED = 1e-9
 BLOCK_FROM = 0.075  # a host of which half the pages are blocked has this much by itself
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -57,7 +60,11 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _blocked(trust: Column, distrust: Column) -> Column:
+    return (distrust > trust) & (distrust >= BLOCK_FROM)
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """``host``, ``trust`` and ``distrust`` from ``seeds`` (host, good, bad) and ``edges`` (src, dst, n)."""
     sent = edges.groupBy("src").agg(F.sum("n").alias("sent"))
     got = edges.groupBy("dst").agg(F.sum("n").alias("got"))
@@ -66,16 +73,20 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     zero, rest = F.lit(0.0), F.lit(1 - damping)
     hosts = seeds.join(named, "host", "full").select("host", F.coalesce("good", zero).alias("good"), F.coalesce("bad", zero).alias("bad"))
     now = durable(hosts.withColumns({"trust": rest * F.col("good"), "distrust": rest * F.col("bad")}))
-    for _ in range(rounds):
+    while True:
         scores = now.select("host", "trust", "distrust")
         forth = graph.join(scores.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("trust") * F.col("forth")).alias("in"))
         back = graph.join(scores.withColumnRenamed("host", "dst"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("distrust") * F.col("back")).alias("out"))
         trust = rest * F.col("good") + F.lit(damping) * F.coalesce("in", zero)
         distrust = rest * F.col("bad") + F.lit(damping) * F.coalesce("out", zero)
-        change = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
-        step = now.join(forth, "host", "left").join(back, "host", "left").select("host", "good", "bad", trust.alias("trust"), distrust.alias("distrust"), change.alias("change"))
+        grown = [F.abs(trust - F.col("trust")).alias("trust_grown"), F.abs(distrust - F.col("distrust")).alias("distrust_grown")]
+        step = now.join(forth, "host", "left").join(back, "host", "left").select("host", "good", "bad", trust.alias("trust"), distrust.alias("distrust"), *grown)
         now = durable(step)
-        if (now.agg(F.max("change")).first()[0] or 0.0) <= SETTLED:
+        to_come = [damping / (1 - damping) * (x or 0.0) for x in now.agg(F.sum("trust_grown"), F.sum("distrust_grown")).first()]
+        if sum(to_come) <= SETTLED:
+            break
+        most_trust, most_distrust = F.col("trust") + F.lit(to_come[0]), F.col("distrust") + F.lit(to_come[1])
+        if now.filter(_blocked(F.col("trust"), most_distrust) & ~_blocked(most_trust, F.col("distrust"))).isEmpty():
             break
     return now.select("host", "trust", "distrust")
 
@@ -87,7 +98,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     share = lambda what: F.avg(F.when(F.col("decided") == what, 1.0).otherwise(0.0))
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     scores = propagate(seeds, host_edges(ruled))
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= BLOCK_FROM)
+    blocked = _blocked(F.col("trust"), F.col("distrust"))
     judged = ruled.drop("html").join(scores, "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
 
