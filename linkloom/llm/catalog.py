@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import oracles as oracles_of
-from linkloom.llm import decontaminate, language, licenses, mixing, nearcopies, quality, substrings, urlfilter, warc, wrappers
+from linkloom.llm import conversations, crosspolytope, decontaminate, language, licenses, mixing, nearcopies, periodic, quality, substrings, urlfilter, warc, wrappers
 from linkloom.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op4_html_extraction, op5_mixing, op6_quality_rules, op7_license_scan, op8_language_id, op9_warc, op10_substring_dedup)
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.summarise(conversations.damage(rows), rows)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+_QUERIES: tuple[Query, ...] = (op1_decontamination, op2_url_filters, op3_ngram_jaccard_join, op4_html_extraction, op5_mixing, op6_quality_rules, op7_license_scan, op8_language_id, op9_warc, op10_substring_dedup, op11_nearest_neighbours, op12_conversation_repair, op13_periodic_runs)
 # DuckDB has no SHA-1 in base32, but the bits can be cut out of its hexadecimal digest.
 _WARC_SQL = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 digests AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
@@ -82,6 +95,7 @@ _ORACLES: dict[str, str] = {
     "op7_license_scan": oracles_of.license_scan(),
     "op9_warc": _WARC_SQL,
     "op10_substring_dedup": oracles_of.substring_dedup(),
+    "op12_conversation_repair": oracles_of.conversation_repair(),
 }
 
 

@@ -138,3 +138,45 @@ stage3 AS MATERIALIZED (SELECT d.doc_id, CASE WHEN c.n_removed > 0 THEN c.kept E
 stage4 AS MATERIALIZED (SELECT d.* FROM stage3 d JOIN ({over(decontamination(), "stage3")}) h USING (doc_id) WHERE NOT h.contaminated)
 SELECT d.doc_id, d.text, d.lang, d.source, length(d.text) AS n_chars, m.n_tokens, m.topic, m.weight, m.probability
 FROM stage4 d JOIN ({mixing.oracle(documents="stage4")}) m USING (doc_id) WHERE m.sampled"""
+
+
+def conversation_repair() -> str:
+    """CRC-32 bit by bit, backward costs and the least trace as two recursions over the rows of a conversation."""
+    crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+    kept = lambda initials: " ".join(f"WHEN initial = '{i}' THEN late + c.{to}" for i, to in initials.items())
+    best = lambda state, initials, given: f"least(3 + c.{state}, CASE WHEN fault IN (1, 2) THEN 99 + c.{state} ELSE least(2 + late + c.{given}, CASE {kept(initials)} ELSE 2 + late + c.{given} END) END) AS g_{state}"
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (SELECT *, {crc} % 20 AS kind FROM raw),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE kind <> 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i,
+  dense_rank() OVER (ORDER BY conv_id) AS k FROM damaged),
+faulty AS MATERIALIZED (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS earlier,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+sizes AS (SELECT k, any_value(conv_id) AS conv_id, max(i) AS n FROM faulty GROUP BY 1),
+rows_ AS MATERIALIZED (SELECT k, i, role, text, initial, fault, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS late FROM faulty),
+costs AS (SELECT k, n + 1 AS i, CAST(0 AS BIGINT) AS o, CAST(4 AS BIGINT) AS s, CAST(2 AS BIGINT) AS u, CAST(0 AS BIGINT) AS a FROM sizes
+  UNION ALL SELECT k, i, least(g_o, 2 + g_u, 4 + g_a), least(g_s, 2 + g_u, 4 + g_a), least(g_u, 2 + g_a), least(g_a, 2 + g_u)
+  FROM (SELECT r.k, r.i, {best("o", {"s": "s", "u": "u"}, "u")}, {best("s", {"u": "u"}, "u")}, {best("u", {"a": "a"}, "a")}, {best("a", {"u": "u"}, "u")}
+    FROM costs c JOIN rows_ r ON r.k = c.k AND r.i = c.i - 1)),
+grid AS MATERIALIZED (SELECT c.k, c.i, [c.o, c.s, c.u, c.a] AS here, [d.o, d.s, d.u, d.a] AS next, r.role, r.text, r.initial, r.fault, r.late
+  FROM costs c LEFT JOIN costs d ON d.k = c.k AND d.i = c.i + 1 LEFT JOIN rows_ r ON r.k = c.k AND r.i = c.i),
+traced AS (SELECT k, CAST(1 AS BIGINT) AS i, 1 AS state, '' AS audit, CAST([] AS VARCHAR[]) AS said, false AS ended FROM sizes
+  UNION ALL SELECT k, CASE WHEN edit = 'I' OR edit = '' THEN i ELSE i + 1 END,
+    CASE edit WHEN 'D' THEN state WHEN '' THEN state WHEN 'K' THEN to_state ELSE given END, audit || edit,
+    CASE edit WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'I' THEN list_append(said, name || ':') WHEN 'R' THEN list_append(said, name || ':' || text) ELSE said END, edit = ''
+  FROM (SELECT *, CASE WHEN role IS NULL THEN CASE WHEN state IN (1, 4) THEN '' ELSE 'I' END WHEN 3 + next[state] = here[state] THEN 'D'
+      WHEN 2 + here[given] = here[state] THEN 'I' WHEN fault NOT IN (1, 2) AND to_state > 0 AND late + next[to_state] = here[state] THEN 'K' ELSE 'R' END AS edit
+    FROM (SELECT t.k, t.i, t.state, t.audit, t.said, g.* EXCLUDE (k, i), [3, 3, 4, 3][t.state] AS given, CASE WHEN t.state = 3 THEN 'assistant' ELSE 'user' END AS name,
+      CASE WHEN t.state = 1 AND initial = 's' THEN 2 WHEN t.state <> 3 AND initial = 'u' THEN 3 WHEN t.state = 3 AND initial = 'a' THEN 4 ELSE 0 END AS to_state
+      FROM traced t JOIN grid g ON g.k = t.k AND g.i = t.i WHERE NOT t.ended))),
+counts AS (SELECT k, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1),
+done AS (SELECT s.conv_id, c.*, f.o AS cost, t.audit, sha256(array_to_string(t.said, chr(10))) AS repaired_sha256
+  FROM sizes s JOIN counts c USING (k) JOIN (SELECT * FROM traced WHERE ended) t USING (k) JOIN (SELECT k, o FROM costs WHERE i = 1) f USING (k))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done d ON o.conv_id IS NOT DISTINCT FROM d.conv_id"""
