@@ -40,16 +40,22 @@ def candidates(raw: Column) -> Column:
     return F.transform(F.concat(first, by_line), lambda c: F.lower(c))
 
 
-def named_rows(rows: DataFrame, categories: DataFrame, raw: Column, keys: list[str]) -> DataFrame:
-    """``rows`` with the canonical ``category`` of ``raw``, or NULL; ``keys`` tell the rows apart.
+def fingerprint(raw: Column) -> Column:
+    """What stands for an answer in joins, so that its text, and the row it belongs to, stay where they are."""
+    return F.sha2(F.coalesce(raw, F.lit("")), 256)
 
-    Every candidate is a row that meets the names by an equal key; the most preferred one that is found wins.
+
+def named(texts: DataFrame, categories: DataFrame, text: str, keys: list[str], rank: list[Column] | None = None) -> DataFrame:
+    """``keys`` with the ``category`` that their texts name; keys without a name are left out.
+
+    Every candidate is a row of keys, ranks and the candidate alone, and only candidates that are a name go on. Of several the largest
+    by ``rank`` counts, then the most preferred one; repeats of a key are merged in the map tasks.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    listed = rows.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer(candidates(F.coalesce(raw, F.lit("")))).alias("_pos", "key"))
-    found = listed.join(names_by_key(categories), "key", "left")
-    best = F.min_by("name", F.when(F.col("name").isNotNull(), F.col("_pos")))
-    return found.groupBy(*keys).agg(F.any_value("_row").alias("_row"), best.alias("category")).select(*keys, "_row.*", "category")
+    ranks = {f"_rank{i}": c for i, c in enumerate(rank or [])}
+    listed = texts.select(*keys, *[c.alias(n) for n, c in ranks.items()], F.posexplode(candidates(F.col(text))).alias("_pos", "key"))
+    found = listed.join(names_by_key(categories), "key")
+    best = F.max_by("name", F.struct(*ranks, (-F.col("_pos")).alias("_preferred")))
+    return found.groupBy(*keys).agg(best.alias("category"))
 
 
 def numbered_lines(raw: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.domains import enrich
 from linkloom.functions.text import is_empty, like_anywhere
 from linkloom.operators.worklists import has_status
+from linkloom.scale import number_rows
 from linkloom.schema import DONE
 
 PER_PAGE_DEFAULT = 20
@@ -15,6 +19,9 @@ PER_PAGE_MAX = 100
 SORT_DEFAULT = "newest"
 SORTS = ("newest", "oldest", "title", "id_desc", "id_asc")
 
+# An index keeps so many neighbouring rows in one slice; a page lies in one or two.
+SLICE_ROWS = 1 << 17
+
 COLUMNS = ["id", "url", "title", "description", "category", "processed_at", "added_at"]
 
 
@@ -48,28 +55,51 @@ def uncategorized(urls: DataFrame) -> DataFrame:
     return listing(urls).filter(is_empty("category"))
 
 
+# What a search may name instead of a category: the listing to search in.
+SCOPES = {"": recent, "recent": recent, "uncategorized": uncategorized}
+
+
 def search(urls: DataFrame, query: str = "", category: str = "") -> DataFrame:
     """Substring search in title, description and link, in all rows, a category or those without one."""
-    scopes = {"": lambda: F.lit(True), "recent": lambda: F.lit(True), "uncategorized": lambda: is_empty("category")}
-    in_scope = scopes.get(category, lambda: F.col("category") == category)()
-    hits = [F.coalesce(like_anywhere(F.col(c), query), F.lit(False)) for c in ("title", "description", "url")] if query else [F.lit(True)]
-    return listing(urls).filter(in_scope & F.array_contains(F.array(*hits), True))
+    rows = SCOPES[category](urls) if category in SCOPES else by_category(urls, category)
+    if not query:
+        return rows
+    return rows.filter(reduce(or_, [like_anywhere(F.col(c), query) for c in ("title", "description", "url")]))
+
+
+def ranked(rows: DataFrame, sort: str = SORT_DEFAULT) -> DataFrame:
+    """The order of a listing as an index: ``id``, its place ``row_no`` (from 1), and ``slice``, which holds ``SLICE_ROWS`` places.
+
+    Ids and sort columns are sorted once over many tasks, so equal titles or times may be any share of the rows.
+    """
+    keys = rows.select("id", "added_at", "title", "url")
+    numbered = number_rows(keys, sort_columns(sort))
+    return numbered.select("id", "row_no", F.floor((F.col("row_no") - 1) / F.lit(SLICE_ROWS)).alias("slice"))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Store an index by slice, so that a page reads the slices it lies in and no others."""
+    index.repartitionByRange("slice").sortWithinPartitions("row_no").write.partitionBy("slice").mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, row_no long, slice long").parquet(path)
 
 
 def page(
-    rows: DataFrame, page: int = 1, per_page: int = PER_PAGE_DEFAULT, sort: str = SORT_DEFAULT
+    rows: DataFrame, page: int = 1, per_page: int = PER_PAGE_DEFAULT, sort: str = SORT_DEFAULT, index: DataFrame | None = None
 ) -> DataFrame:
     """One page of a listing, enriched.
 
-    The sort and the cut use ids and sort columns alone; at most ``per_page`` ids then find their rows. A task keeps
-    the rows up to the page's end, so the cost of a page grows with how far down it is.
+    The places of the page are looked up in ``index``, made by :func:`ranked` for these rows and kept for any number of pages, or made here
+    for this one. At most ``per_page`` ids then find their rows, so no page costs more than the first, however far down it is.
     """
     per_page = min(per_page, PER_PAGE_MAX)
-    skip = (page - 1) * per_page
-    order = sort_columns(sort)
-    keys = [F.col(c).alias(c) for c in ("id", "added_at", "title", "url")]
-    wanted = rows.select(*keys).orderBy(*order).offset(skip).limit(per_page).select("id")
-    return enrich(rows.join(F.broadcast(wanted), "id", "left_semi").orderBy(*order))
+    first, last = (page - 1) * per_page + 1, page * per_page
+    index = ranked(rows, sort) if index is None else index
+    slices = F.col("slice").between((first - 1) // SLICE_ROWS, (last - 1) // SLICE_ROWS)
+    wanted = index.filter(slices & F.col("row_no").between(first, last)).select("id", "row_no")
+    return enrich(rows.join(F.broadcast(wanted), "id").orderBy("row_no").drop("row_no"))
 
 
 def page_info(rows: DataFrame, per_page: int = PER_PAGE_DEFAULT) -> DataFrame:

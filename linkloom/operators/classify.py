@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import prompts
-from linkloom.functions.answers import named_rows, numbered_lines
+from linkloom.functions.answers import fingerprint, named, numbered_lines
 from linkloom.functions.domains import norm_domain, rule_domain
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import has_status, is_unclassified_work, not_manual, unclassified
@@ -20,6 +22,12 @@ from linkloom.session import durable
 
 RULE_TAG = "domain_rule"
 
+# Fixed value: failed connections in a row after which a model counts as gone.
+PATIENCE = 3
+
+# One row in so many is asked before the rest.
+PROBES = 64
+
 
 class ModelError(Exception):
     """Raised by a model function when the model itself refuses or fails (not the connection)."""
@@ -111,62 +119,114 @@ def batch_prompts(work: DataFrame, categories: DataFrame, size: int) -> DataFram
 
 
 def normalized(answers: DataFrame, categories: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add the canonical ``category`` of a free answer."""
-    rows = answers.drop("category").withColumn("_row_id", F.monotonically_increasing_id())
-    return named_rows(rows, categories, F.col(raw), ["_row_id"]).drop("_row_id")
+    """Add the canonical ``category`` of a free answer.
+
+    Names are looked for once per different answer and joined back by its fingerprint, so no row is copied per candidate.
+    """
+    rows = answers.drop("category").withColumn("_answer", fingerprint(F.col(raw)))
+    texts = rows.select("_answer", F.coalesce(raw, F.lit("")).alias("_text"))
+    return rows.join(named(texts, categories, "_text", ["_answer"]), "_answer", "left").drop("_answer")
 
 
 def parsed_batches(batches: DataFrame, categories: DataFrame, raw: str = "raw", size: str = "n") -> DataFrame:
     """One row per batch item: the batch columns, ``item`` (from 1) and ``category``.
 
-    The last line that names a valid category wins for its number; numbers outside the batch are ignored.
-    Lines are parsed once each; one shuffle by batch serves all the grouping after the names are found.
+    The last line that names a valid category wins for its number; numbers outside the batch are ignored. As in
+    :func:`normalized`, only lines and their candidates are multiplied; the batches meet a map from item to name, one per different answer.
     """
-    packed = batches.select(F.monotonically_increasing_id().alias("_batch"), F.struct(*batches.columns).alias("_cells"))
-    answer = F.coalesce(F.col(f"_cells.{raw}"), F.lit(""))
-    lines = packed.select("_batch", "_cells", F.posexplode_outer(numbered_lines(answer)).alias("_line", "_part"))
-    lines = lines.select("_batch", "_line", "_cells", F.col("_part.item").alias("item"), F.col("_part.text").alias("text"))
-    named = named_rows(lines, categories, F.col("text"), ["_batch", "_line"]).repartition("_batch")
-    usable = F.col("category").isNotNull() & F.col("item").isNotNull()
-    last = named.groupBy("_batch", "item").agg(
-        F.any_value("_cells").alias("_cells"), F.max_by("category", F.when(usable, F.col("_line"))).alias("category")
-    )
-    pairs = F.collect_list(F.when(F.col("category").isNotNull() & F.col("item").isNotNull(), F.struct("item", "category")))
-    whole = last.groupBy("_batch").agg(F.any_value("_cells").alias("_cells"), F.map_from_entries(pairs).alias("_found"))
-    items = whole.select("_cells", "_found", F.explode(F.sequence(F.lit(1), F.col(f"_cells.{size}").cast("int"))).alias("item"))
-    return items.select("_cells.*", F.try_element_at("_found", F.col("item")).alias("category"), "item")
+    rows = batches.drop("item", "category").withColumn("_answer", fingerprint(F.col(raw)))
+    lines = rows.select("_answer", F.posexplode(numbered_lines(F.coalesce(raw, F.lit("")))).alias("_line", "_part"))
+    lines = lines.select("_answer", "_line", F.col("_part.item").alias("_item"), F.col("_part.text").alias("_text")).filter("_item IS NOT NULL")
+    last = named(lines, categories, "_text", ["_answer", "_item"], [F.col("_line")])
+    found = last.groupBy("_answer").agg(F.map_from_entries(F.collect_list(F.struct("_item", "category"))).alias("_found"))
+    joined = rows.join(found, "_answer", "left").withColumn("item", F.explode(F.sequence(F.lit(1), F.col(size).cast("int"))))
+    return joined.withColumn("category", F.try_element_at("_found", F.col("item"))).drop("_answer", "_found")
 
 
-def ask_model(df: DataFrame, ask: Callable[[str], str], workers: int | None = None) -> DataFrame:
-    """Replace the ``prompt`` column by ``raw``, the answer, and ``failure`` (api_err, conn_err or NULL).
+@dataclass(frozen=True)
+class Model:
+    """A model that is set up once per worker process and asked in lists.
 
-    One failing call does not stop the others. ``workers`` sets how many calls may run at once.
-    The answers are written to the shared checkpoint folder, so later steps and lost executors
-    do not make the model run again.
+    ``open`` returns the call: a function from prompts to as many answers, each a text or a :class:`ModelError`. ``at_once`` is the longest list.
     """
-    kept = [f for f in df.schema.fields if f.name != "prompt"]
-    schema = T.StructType([*kept, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
 
-    def one(prompt: str) -> tuple[str | None, str | None]:
+    open: Callable[[], Callable[[list[str]], list[str | ModelError]]]
+    at_once: int = 64
+    name: str = field(default_factory=lambda: uuid4().hex)
+
+
+Ask = Callable[[str], str] | Model
+
+# Per worker process: opened models, and the failed calls in a row of each run. All tasks of a process share them.
+_OPENED: dict[str, Callable[[list[str]], list[str | ModelError]]] = {}
+_FAILED: dict[str, int] = {}
+
+
+def _call(ask: Ask, prompts: list[str]) -> list[str | ModelError]:
+    if not isinstance(ask, Model):
+        return [ask(p) for p in prompts]
+    if ask.name not in _OPENED:
+        _OPENED[ask.name] = ask.open()
+    return _OPENED[ask.name](prompts)
+
+
+def _answers(ask: Ask, run: str, prompts: list[str], patience: int) -> list[tuple[str | None, str | None]]:
+    """Answer and failure of each prompt; after ``patience`` calls in a row without a connection the rest is skipped."""
+    size, out = ask.at_once if isinstance(ask, Model) else 1, []
+    for at in range(0, len(prompts), size):
+        some = prompts[at : at + size]
+        if _FAILED.get(run, 0) >= patience:
+            out += [(None, "skipped")] * len(some)
+            continue
         try:
-            return ask(prompt), None
+            got = _call(ask, some)
+            out += [(None, "api_err") if isinstance(g, ModelError) else (g, None) for _, g in zip(some, got, strict=True)]
+            _FAILED[run] = 0
         except ModelError:
-            return None, "api_err"
+            out += [(None, "api_err")] * len(some)
+            _FAILED[run] = 0
         except Exception:
-            return None, "conn_err"
+            out += [(None, "conn_err")] * len(some)
+            _FAILED[run] = _FAILED.get(run, 0) + 1
+    return out
+
+
+def ask_model(df: DataFrame, ask: Ask, workers: int | None = None, patience: int = PATIENCE) -> DataFrame:
+    """Replace the ``prompt`` column by ``raw``, the answer, and ``failure`` (api_err, conn_err, skipped or NULL).
+
+    One failing call does not stop the others, but a model that is gone is not asked for every row: a worker process ends its calls after
+    ``patience`` failed connections in a row, and one row in ``PROBES`` (by a hash of the prompt) is asked before all others. If
+    that finds the model gone, the others are skipped at once. So the calls to a dead model are bounded by the number
+    of worker processes, whatever the number of rows. ``workers`` sets how many calls may run at once.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The answers are written to the shared checkpoint folder, so later steps and lost executors do not make the model run again.
+    """
+    kept = [f for f in df.schema.fields if f.name != "prompt"]
+    schema = T.StructType([*kept, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
+    run = uuid4().hex
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [one(p) for p in frame["prompt"]]
+            got = _answers(ask, run, list(frame["prompt"]), patience)
             yield frame.drop(columns="prompt").assign(raw=[g[0] for g in got], failure=[g[1] for g in got])
 
-    spread = df.repartition(workers, df.columns[0]) if workers else df
-    return durable(spread.mapInPandas(run, schema))
+    def asked(rows: DataFrame) -> DataFrame:
+        spread = rows.repartition(workers, rows.columns[0]) if workers else rows
+        return durable(spread.mapInPandas(answer, schema))
+
+    probed = F.pmod(F.xxhash64("prompt"), F.lit(PROBES)) == 0
+    first = asked(df.filter(probed))
+    counts = first.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("failure").isin("conn_err", "skipped")).alias("down")).first()
+    rest = df.filter(~probed)
+    if counts["down"] >= patience and counts["down"] == counts["n"]:
+        untouched = rest.drop("prompt").withColumns({"raw": F.lit(None).cast("string"), "failure": F.lit("skipped")})
+        return first.unionByName(untouched.select(*schema.names))
+    return first.unionByName(asked(rest))
 
 
 def annotate(
     work: DataFrame,
-    ask: Callable[[str], str],
+    ask: Ask,
     categories: DataFrame,
     batch_size: int = 1,
     section: str | None = None,
@@ -174,7 +234,7 @@ def annotate(
 ) -> DataFrame:
     """Categorise ``work`` (id, url, title, description) with a model.
 
-    Adds ``category`` and ``error_kind`` (ok, api_err, empty or conn_err). With a batch size,
+    Adds ``category`` and ``error_kind`` (ok, api_err, empty, conn_err or skipped). With a batch size,
     rows go to the model in numbered lists first; what a list leaves open is asked singly, as
     are the rows of a narrowed section.
     """
@@ -195,7 +255,7 @@ def annotate(
 
 
 def _annotate_single(
-    work: DataFrame, ask: Callable[[str], str], categories: DataFrame, section: str | None, workers: int | None
+    work: DataFrame, ask: Ask, categories: DataFrame, section: str | None, workers: int | None
 ) -> DataFrame:
     answered = ask_model(with_prompt(work, categories, section), ask, workers)
     named = normalized(answered, categories)
@@ -207,7 +267,7 @@ def classify(
     urls: DataFrame,
     rules: DataFrame,
     categories: DataFrame,
-    ask: Callable[[str], str],
+    ask: Ask,
     limit: int | None = None,
     with_description: bool = True,
     batch_size: int = 1,

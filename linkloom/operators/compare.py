@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_filled, percent, round_half_even, strip, word_count
-from linkloom.operators.classify import annotate
+from linkloom.operators.classify import Ask, annotate
 from linkloom.operators.status import rewrite
 from linkloom.operators.worklists import done, not_manual
+from linkloom.scale import first_n
 
 TITLE_CUT = 45
 
@@ -78,9 +77,12 @@ def short_names(models: list[str]) -> list[str]:
 
 def side_by_side(results: DataFrame, urls: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
     """The comparison view: a cut title (or link) and one column per short model name."""
-    rows = wide(results, urls, names).orderBy("id")
     if limit:
-        rows = rows.limit(limit)
+        # The first links that have results, found by their ids alone; only their results are pivoted.
+        linked = urls.select("id").join(results.select(F.col("url_id").alias("id")), "id", "left_semi")
+        first = first_n(linked, limit).select(F.col("id").alias("url_id"))
+        results = results.join(first, "url_id", "left_semi")
+    rows = wide(results, urls, names).orderBy("id")
     shown = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
     cells = [
         F.when(F.col(f"`{m}`") == "", "—").otherwise(F.col(f"`{m}`")).alias(s) for m, s in zip(names, short_names(names))
@@ -268,7 +270,7 @@ def cleared(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def run_models(
     urls: DataFrame,
-    asks: dict[str, Callable[[str], str]],
+    asks: dict[str, Ask],
     wanted: list[str],
     categories: DataFrame,
     now: Column,
@@ -277,7 +279,10 @@ def run_models(
     with_description: bool = True,
     workers: int | None = None,
 ) -> DataFrame:
-    """Run the wanted models that exist over the done links; long rows of the valid answers."""
+    """Run the wanted models that exist over the done links; long rows of the valid answers.
+
+    A model that is gone is given up after a bounded number of calls and leaves what it has answered until then.
+    """
     work = done(urls, domain, limit, with_description, ordered=False)
     out = None
     for model in wanted:

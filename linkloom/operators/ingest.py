@@ -57,6 +57,11 @@ def import_summary(split: DataFrame) -> DataFrame:
     )
 
 
+def largest_id(urls: DataFrame) -> DataFrame:
+    """One row: the largest id in the table, 0 if it is empty."""
+    return urls.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+
+
 def new_rows(
     urls: DataFrame, links: DataFrame, now: Column | None = None, high_water: int | Column | None = None
 ) -> DataFrame:
@@ -66,10 +71,15 @@ def new_rows(
     because the largest id still present would be given out twice.
     """
     if high_water is None:
-        high_water = F.coalesce(urls.agg(F.max("id").alias("top")).scalar(), F.lit(0))
+        high_water = largest_id(urls).scalar()
     elif isinstance(high_water, int):
         high_water = F.lit(high_water)
-    seen = durable(first_seen(links))
+    return pending_rows(urls, first_seen(links), now, high_water)
+
+
+def pending_rows(urls: DataFrame, seen: DataFrame, now: Column | None, high_water: Column) -> DataFrame:
+    """Rows for the links of ``seen`` (distinct, with the place of their first occurrence) that ``urls`` does not have."""
+    seen = durable(seen)
     # a semi join first: Spark broadcasts a small import, and then the big table is not shuffled
     known = urls.select("url").join(seen.select("url"), "url", "left_semi")
     fresh = seen.join(known, "url", "left_anti")

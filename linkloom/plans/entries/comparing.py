@@ -1,5 +1,7 @@
 """Model comparison."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linkloom.operators import compare
@@ -7,6 +9,8 @@ from linkloom.plans.catalog import add
 from linkloom.plans.entries.categorising import STUB, stub_model
 from linkloom.plans.entries.imports import NOW, now
 from linkloom.plans.entries.statistics import pct
+from linkloom.plans.entries.training import scratch
+from linkloom.sources import results
 
 RETAGGED = "tagged_at < TIMESTAMP '1996-01-01 00:00:00'"
 MODELS = [f"model_{i}:latest" for i in range(1, 8)]
@@ -46,6 +50,11 @@ def reasons(df):
     return df.withColumn("knockout_reasons", F.array_join("knockout_reasons", "; "))
 
 
+def placed(t):
+    """The results stored by link."""
+    return results.write_placed(t.latest, f"placed_{uuid.uuid4().hex}", scratch(t, "placed"), 8)
+
+
 add("j1_latest_results", lambda t: t.latest, "model_results", "SELECT * FROM model_results")
 add(
     "j1_upsert",
@@ -91,6 +100,8 @@ add("j6_plurality", lambda t: compare.plurality(t.latest), "model_results", f"WI
 add("j6_plurality_panel", lambda t: compare.plurality(t.panel), "panel", f"WITH {_votes('panel')} SELECT * FROM led")
 add("j7_model_scores", lambda t: reasons(compare.model_scores(t.latest)), "model_results", f"WITH {_votes('model_results')} {SCORES}")
 add("j7_model_scores_panel", lambda t: reasons(compare.model_scores(t.panel)), "panel", f"WITH {_votes('panel')} {SCORES}")
+add("j6_plurality_placed", lambda t: compare.plurality(placed(t), placed=True), "model_results", f"WITH {_votes('model_results')} SELECT * FROM led")
+add("j7_model_scores_placed", lambda t: reasons(compare.model_scores(placed(t), placed=True)), "model_results", f"WITH {_votes('model_results')} {SCORES}")
 add(
     "j8_knockouts",
     lambda t: reasons(compare.knockouts(t.panel)),

@@ -1,5 +1,7 @@
 """Streaming jobs run over everything available; the oracle is the batch result."""
 
+from pyspark.sql import functions as F
+
 from linkloom.operators import pages
 from linkloom.plans.catalog import add
 from linkloom.plans.entries.categorising import ROUTED, WORK, work
@@ -9,18 +11,22 @@ from linkloom.plans.entries.training import scratch
 from linkloom.streaming import jobs
 
 
-def arriving(t, frame, name: str):
-    """Write ``frame`` in a few files and open them as a stream of one file per batch."""
+FILES = 3
+
+
+def arriving(t, frame, name: str, by: str):
+    """Write ``frame`` in a few files, one after the other, and open them as a stream of one file per batch."""
     path = scratch(t, name)
-    frame.repartition(3).write.parquet(path)
+    for part in range(FILES):
+        frame.filter(F.pmod(F.col(by), F.lit(FILES)) == part).coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def imported(t):
     path = scratch(t, "imported")
-    texts = arriving(t, t.raw_links, "texts")
+    texts = arriving(t, t.raw_links, "texts", "doc_id")
     jobs.run_available(jobs.import_links(texts, t.urls, path, now()), scratch(t, "progress"))
-    return jobs.imported(t.spark, path).select("url", "status", "added_at")
+    return jobs.imported(t.spark, path).select("id", "url", "status", "added_at")
 
 
 def parsed(t):
@@ -32,23 +38,25 @@ def parsed(t):
 
 def labelled(t):
     path = scratch(t, "labelled")
-    stream = jobs.label_by_rules(arriving(t, work(t), "work"), t.rules)
+    stream = jobs.label_by_rules(arriving(t, work(t), "work", "id"), t.rules)
     jobs.run_available(jobs.append_to(stream, path), scratch(t, "progress"))
     return t.spark.read.parquet(path)
 
 
 def collected(t):
-    path = scratch(t, "results")
+    checkpoint = scratch(t, "progress")
     stamped = t.model_results_raw.select("url_id", "model", "category", "tagged_at")
-    jobs.run_available(jobs.collect_results(arriving(t, stamped, "answers"), path), scratch(t, "progress"))
-    return jobs.current_results(t.spark, path)
+    jobs.run_available(jobs.collect_results(arriving(t, stamped, "answers", "url_id")), checkpoint)
+    return jobs.current_results(t.spark, checkpoint)
 
 
 add(
     "r1_stream_import",
     imported,
     "raw_links urls",
-    LINKS + f" SELECT url, 'pending' AS status, TIMESTAMP '{NOW}' AS added_at FROM seen WHERE url NOT IN (SELECT url FROM urls)",
+    LINKS
+    + f""", arrived AS (SELECT url, min({{'b': doc_id % {FILES}, 'd': doc_id, 'p': pos}}) AS f FROM links WHERE url NOT IN (SELECT url FROM urls) GROUP BY url)
+SELECT (SELECT max(id) FROM urls) + row_number() OVER (ORDER BY f) AS id, url, 'pending' AS status, TIMESTAMP '{NOW}' AS added_at FROM arrived""",
 )
 add("r2_stream_pages", parsed, "", f"SELECT page_id, {TITLE} AS title, {H1} AS description FROM pages")
 add("r3_stream_rules", labelled, "urls rules", f"WITH {WORK}, {ROUTED} SELECT * FROM routed")

@@ -5,8 +5,6 @@ Each reads the latest rows and writes only the rows it adds or changes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +76,7 @@ def classify_links(
     urls: Table,
     rules: DataFrame,
     categories: DataFrame,
-    ask: Callable[[str], str],
+    ask: classify.Ask,
     model: str,
     limit: int | None = None,
     with_description: bool = True,

@@ -1,8 +1,9 @@
 """Continuous versions of import, page parsing, rule labelling and result upsert.
 
-Each job takes what has newly arrived and can be stopped and restarted. Tables fed in batches
-keep one folder per batch, overwritten when a batch is repeated, so a repeat changes nothing.
-``compact`` merges the folders of finished batches into one.
+What a job has to remember is Spark's own stream state: one row per link that an import has seen, one row per (link, model) of the
+results. A job can be stopped and restarted; a batch that is repeated starts from the state of the batch before and so does the same
+again. The state belongs to the checkpoint of the job. :func:`run_available` keeps it in RocksDB, on disk, so it may outgrow memory;
+jobs that are started by hand should set ``spark.sql.streaming.stateStore.providerClass`` alike.
 """
 
 from __future__ import annotations
@@ -11,76 +12,65 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from linkloom.operators.classify import route_by_rules
-from linkloom.operators.compare import latest_results
-from linkloom.operators.ingest import extract_links, new_rows
+from linkloom.operators.ingest import extract_links, largest_id, pending_rows
 from linkloom.operators.pages import page_meta
 from linkloom.schema import MODEL_RESULTS, URLS
-from linkloom.sources.tables import Folder
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _batch_folder(path: str, batch: int) -> str:
-    return f"{path.rstrip('/')}/batch={batch:010d}"
+_IMPORTED = T.StructType([*URLS.fields, T.StructField("batch", T.LongType())])
 
 
-def _complete(folder: Folder, kind: str) -> list[str]:
-    return [n for n in folder.names() if n.startswith(f"{kind}=") and folder.exists(f"{n}/_SUCCESS")]
+def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """One partition per batch, replaced as a whole when the batch is repeated."""
+    writer = rows.withColumn("batch", F.lit(batch).cast("long")).write.partitionBy("batch")
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def _number(name: str) -> int:
-    return int(name.split("=")[1])
+def import_links(
+    texts: DataFrame, urls: DataFrame, path: str, now: Column | None = None, high_water: int | None = None
+) -> DataStreamWriter:
+    """Mine arriving texts (doc_id, text) for links and store the unseen ones as pending rows under ``path``.
 
+    The state holds each link with the times of the first and the last batch that had it, so a link is new where both are this
+    batch's. Links that ``urls``, the table the job starts from, already has are looked up once per batch. Nothing that an earlier
+    batch wrote is read again but its high-water mark: the largest id ever given out, one row per batch. Rows
+    may therefore be deleted without their ids coming back; a deleted link counts as seen. ``high_water`` is the mark before
+    the first batch, by default the largest id in ``urls``. Ids follow first-seen order within a batch.
 
-def _older_batches(spark: SparkSession, path: str, schema, batch: int | None = None) -> DataFrame:
-    """Rows of the batches before ``batch``, or of all batches.
-
-    The newest complete ``upto=N`` folder stands for all batches before N.
-    """
-    folder = Folder(spark, path)
-    merged = _complete(folder, "upto")[-1:]
-    start = _number(merged[0]) if merged else 0
-    names = merged + [n for n in _complete(folder, "batch") if start <= _number(n) and (batch is None or _number(n) < batch)]
-    if not names:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{folder.path}/{n}" for n in names])
-
-
-def compact(
-    spark: SparkSession, path: str, schema, before: int, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows
-) -> None:
-    """Merge the batches before ``before``, all finished, into one folder and drop their folders.
-
-    Readers keep using the old folders until the new one is complete.
-    """
-    folder = Folder(spark, path)
-    old = [n for n in _complete(folder, "batch") if _number(n) < before] + _complete(folder, "upto")
-    name = f"upto={before:010d}"
-    if name not in old:
-        merge(_older_batches(spark, path, schema, before)).write.mode("overwrite").parquet(f"{folder.path}/{name}")
-    for done in old:
-        if done != name:
-            folder.drop(done)
-
-
-def import_links(texts: DataFrame, urls: DataFrame, path: str, now: Column | None = None) -> DataStreamWriter:
-    """Mine arriving texts (doc_id, text) for links and store the unseen ones as pending rows.
-
-    ``urls`` is the table the job starts from; the rows added later are read from the batches.
     The stream's checkpoint numbers the batches, so it belongs to ``path``: keep or drop both.
     """
+    rows_path, marks = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/marks"
+    spark = texts.sparkSession
+    spark.createDataFrame([], _IMPORTED).write.mode("append").partitionBy("batch").parquet(rows_path)
 
-    def merge(links: DataFrame, batch: int) -> None:
-        spark = links.sparkSession
-        known = urls.select("id", "url").unionByName(_older_batches(spark, path, URLS, batch).select("id", "url"))
-        new_rows(known, links, now).write.mode("overwrite").parquet(_batch_folder(path, batch))
+    def mark_before(session: SparkSession, batch: int) -> int:
+        if batch == 0:
+            return largest_id(urls).first()[0] if high_water is None else high_water
+        return session.read.schema("high long").parquet(f"{marks}/batch={batch - 1}").first()["high"]
 
-    return extract_links(texts).writeStream.foreachBatch(merge)
+    def store(found: DataFrame, batch: int) -> None:
+        session = found.sparkSession
+        fresh = found.filter("first_time = last_time").select("url", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+        high = mark_before(session, batch)
+        _write_batch(pending_rows(urls, fresh, now, F.lit(high)), rows_path, batch)
+        written = session.read.schema(_IMPORTED).parquet(rows_path).filter(F.col("batch") == batch).count()
+        _write_batch(session.range(1).select(F.lit(high + written).cast("long").alias("high")), marks, batch)
+
+    timed = extract_links(texts).filter("url <> ''").withColumn("time", F.current_timestamp())
+    first = F.min(F.struct("doc", "pos")).alias("first")
+    seen = timed.groupBy("url").agg(first, F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    return seen.writeStream.outputMode("update").foreachBatch(store)
 
 
 def imported(spark: SparkSession, path: str) -> DataFrame:
-    return _older_batches(spark, path, URLS)
+    """The rows that an import has added."""
+    return spark.read.schema(_IMPORTED).parquet(f"{path.rstrip('/')}/rows").select(*URLS.names)
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -93,30 +83,36 @@ def label_by_rules(work: DataFrame, rules: DataFrame) -> DataFrame:
     return route_by_rules(work, rules)
 
 
-def merge_results(rows: DataFrame) -> DataFrame:
-    return latest_results(rows, ["tagged_at", "category"], ["category", "tagged_at"])
+def last_results(rows: DataFrame) -> DataFrame:
+    """(url_id, model) with ``last``, its greatest (tagged_at, category): the last write wins, in a batch or over a stream."""
+    return rows.groupBy("url_id", "model").agg(F.max(F.struct("tagged_at", "category")).alias("last"))
 
 
-def collect_results(rows: DataFrame, path: str) -> DataStreamWriter:
-    """Append arriving model results (url_id, model, category, tagged_at), already merged per batch.
+def collect_results(rows: DataFrame) -> DataStreamWriter:
+    """Merge arriving model results (url_id, model, category, tagged_at) into the state of the stream.
 
-    Nothing stored is rewritten; :func:`current_results` merges on read.
+    The state is the table: :func:`current_results` reads it. Each batch also puts out the pairs it has touched, which a caller may
+    send on by giving the writer another format or ``foreachBatch``.
     """
-
-    def store(batch_rows: DataFrame, batch: int) -> None:
-        merge_results(batch_rows).write.mode("overwrite").parquet(_batch_folder(path, batch))
-
-    return rows.writeStream.foreachBatch(store)
+    return last_results(rows).writeStream.outputMode("update").format("noop")
 
 
-def current_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row per (url_id, model): the last write wins."""
-    return merge_results(_older_batches(spark, path, MODEL_RESULTS))
+def current_results(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row per (url_id, model) as of the last finished batch of the stream with this checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint).select("key.url_id", "key.model", "value.*")
+    merged = state.toDF("url_id", "model", "last").select("url_id", "model", "last.category", "last.tagged_at")
+    return merged.select(*[F.col(f.name).cast(f.dataType) for f in MODEL_RESULTS.fields])
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Process everything that has arrived and stop."""
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = SparkSession.active()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def append_to(rows: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataStreamWriter:

@@ -1,8 +1,15 @@
 """Model scores against a brute-force count, and small hand-made cases."""
 
+import os
 import random
+import re
+import uuid
 
-from linkloom.operators import compare, metrics
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.operators import classify, compare, metrics
+from linkloom.sources import results
 
 SCHEMA = "url_id long, model string, category string"
 
@@ -89,17 +96,138 @@ def test_metrics_by_hand(spark):
     assert wide == {"a": (3, 1, 0, 0), "b": (0, 2, 0, 2), "c": (2, 0, 0, 0), "x": (0, 0, 0, 0)}
 
 
-def test_bucketed_results_need_no_shuffle_by_link(spark, tables, tmp_path):
+def shuffles(df):
+    """Exchanges of the final plan that deal rows by link."""
+    df.collect()
+    return re.findall(r"Exchange hashpartitioning\(url_id[^)]*\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_comparisons_read_placed_results_without_a_shuffle(spark, tables, tmp_path):
     path = str(tmp_path / "results")
-    tables.latest.write.option("path", path).bucketBy(4, "url_id").saveAsTable("bucketed_results")
+    stored = results.write_placed(tables.latest, "placed_results", path, 4)
     try:
-        stored = spark.table("bucketed_results")
-        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-        best = compare.plurality(stored, placed=True)
-        assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
-        assert best.exceptAll(compare.plurality(tables.latest)).isEmpty()
-        scores = compare.model_scores(stored, placed=True).collect()
-        assert scores == compare.model_scores(tables.latest).collect()
+        results.drop_entry(spark, "placed_results")
+        stored = results.open_placed(spark, "placed_results", path, 4)  # as another session would
+        assert stored.exceptAll(tables.latest).isEmpty() and stored.count() == tables.latest.count()
+        assert len(list((tmp_path / "results").glob("*.parquet"))) == 4
+        names = [r["model"] for r in compare.models(tables.latest).collect()]
+        readers = {
+            "J1": lambda r, p: compare.latest_results(r, ["tagged_at"]),
+            "J2": lambda r, p: compare.wide_by_id(r, names),
+            "J5": lambda r, p: compare.disagreements(r),
+            "J6": compare.plurality,
+            "J7": compare.model_scores,
+            "J8": compare.knockouts,
+            "J17": compare.consensus_depth,
+            "J19": lambda r, p: compare.scores_with_speed(r, tables.speeds, p),
+        }
+        for name, reader in readers.items():
+            got, usual = reader(stored, True), reader(tables.latest, False)
+            assert shuffles(got) == [], name
+            assert shuffles(usual) != [], name
+            assert sorted(got.collect(), key=str) == sorted(usual.collect(), key=str), name
+        results.write_placed(tables.latest.limit(10), "placed_results", path, 4)
+        assert spark.table("placed_results").count() == 10
     finally:
-        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
-        spark.sql("DROP TABLE bucketed_results")
+        results.drop_entry(spark, "placed_results")
+
+
+def test_side_by_side_pivots_the_first_links_only(spark, tables):
+    names = [r["model"] for r in compare.models(tables.latest).collect()]
+    whole = compare.side_by_side(tables.latest, tables.urls, names).collect()
+    for limit in (1, 3, 7):
+        cut = compare.side_by_side(tables.latest, tables.urls, names, limit)
+        assert cut.collect() == whole[:limit]
+    marked = tables.latest.withColumn("category", F.when(F.col("url_id") > whole[2]["id"], F.raise_error(F.lit("read"))).otherwise(F.col("category")))
+    assert len(compare.side_by_side(marked, tables.urls, names, 3).collect()) == 3
+
+
+# what the workers of the tests were asked, one file per call
+def noting(folder, answer):
+    def ask(prompt):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        return answer(prompt)
+
+    return ask
+
+
+@pytest.fixture
+def down():
+    def ask(prompt):
+        raise ConnectionError("no such host")
+
+    return ask
+
+
+def some_work(spark, n):
+    return spark.range(n).select("id", F.concat(F.lit("prompt "), "id").alias("prompt")).repartition(8)
+
+
+def test_a_dead_model_is_asked_a_bounded_number_of_times(spark, tmp_path, down):
+    calls = []
+    for n in (300, 20_000):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        got = classify.ask_model(some_work(spark, n), noting(folder, down))
+        assert {r["failure"]: r["count"] for r in got.groupBy("failure").count().collect()}.keys() == {"conn_err", "skipped"}
+        assert got.count() == n and got.filter("raw IS NOT NULL").isEmpty()
+        calls.append(len(list(folder.iterdir())))
+    workers = spark.sparkContext.defaultParallelism * 2  # idle processes may be replaced
+    assert max(calls) <= classify.PATIENCE * workers
+
+
+def test_a_model_that_dies_on_the_way_keeps_its_answers(spark, tmp_path):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+
+    def dies(prompt):
+        if len(os.listdir(folder)) > 400:
+            raise ConnectionError("gone")
+        return "cat1"
+
+    got = classify.ask_model(some_work(spark, 5000), noting(folder, dies)).cache()
+    kinds = {r["failure"]: r["count"] for r in got.groupBy("failure").count().collect()}
+    assert kinds[None] >= 390 and kinds["skipped"] > 4000 and sum(kinds.values()) == 5000
+    assert len(os.listdir(folder)) < 500
+    assert got.filter("failure IS NULL").filter("raw <> 'cat1'").isEmpty()
+
+
+def test_single_failures_stop_nothing(spark):
+    def moody(prompt):
+        number = int(prompt.split()[1])
+        if number % 3 == 0:
+            raise ConnectionError("once")
+        if number % 3 == 1:
+            raise classify.ModelError("refused")
+        return "x"
+
+    got = classify.ask_model(some_work(spark, 600), moody, patience=40)
+    assert {r["failure"]: r["count"] for r in got.groupBy("failure").count().collect()} == {"conn_err": 200, "api_err": 200, None: 200}
+
+
+def test_a_model_is_set_up_once_per_worker_and_asked_in_lists(spark, tmp_path):
+    setups, lists = tmp_path / "setups", tmp_path / "lists"
+    setups.mkdir(), lists.mkdir()
+
+    def set_up():
+        (setups / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def call(prompts):
+            (lists / f"{len(prompts)}-{uuid.uuid4().hex}").touch()
+            return [classify.ModelError("no") if p.endswith("7") else p.upper() for p in prompts]
+
+        return call
+
+    model = classify.Model(set_up, at_once=50)
+    got = classify.ask_model(some_work(spark, 1000), model).collect()
+    assert {r["id"]: (r["raw"], r["failure"]) for r in got} == {i: (None, "api_err") if i % 10 == 7 else (f"PROMPT {i}", None) for i in range(1000)}
+    pids = [p.name.split("-")[0] for p in setups.iterdir()]
+    assert len(pids) == len(set(pids))
+    sizes = [int(p.name.split("-")[0]) for p in lists.iterdir()]
+    assert sum(sizes) == 1000 and max(sizes) <= 50 and len(sizes) < 100
+
+
+def test_run_models_goes_on_after_a_dead_model(tables, down):
+    found = compare.run_models(tables.urls, {"dead": down, "live": lambda p: "cat1"}, ["dead", "live", "unknown"], tables.categories, F.lit(None).cast("timestamp"))
+    assert [r["model"] for r in found.select("model").distinct().collect()] == ["live"]

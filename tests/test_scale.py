@@ -1,5 +1,7 @@
 """Ranking, numbering and joins with one dominant key, against brute force."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,27 @@ def test_pages_make_the_whole(tables):
     assert ids == whole
 
 
+def test_one_plan_for_pages_at_any_depth(spark, tmp_path, monkeypatch):
+    """A stored index: no limit or offset in the plan, no task that keeps the rows before the page, and only the page's slices are read."""
+    monkeypatch.setattr(browse, "SLICE_ROWS", 100)
+    rows = spark.range(1, 5001).select(
+        "id", F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 3 > 0, "same title").alias("title"), F.lit(None).cast("string").alias("category"),
+        F.timestamp_seconds(F.col("id") % 2).alias("added_at"),
+    )
+    path = str(tmp_path / "index")
+    browse.write_index(browse.ranked(rows, "title"), path)
+    index = browse.read_index(spark, path)
+    whole = [r["id"] for r in rows.orderBy(*browse.sort_columns("title")).collect()]
+    plans = set()
+    for p in (1, 2, 77, 250, 251):
+        page = browse.page(rows, p, 20, index=index)
+        assert [r["id"] for r in page.collect()] == whole[20 * p - 20 : 20 * p]
+        text = page._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in text and "Offset" not in text and "slice" in text
+        plans.add(re.sub(r"#\d+L?|\d+", "", text))
+    assert len(plans) == 1
+
+
 def test_page_counts(spark):
     empty = spark.createDataFrame([], "id int")
     assert tuple(browse.page_info(empty, 20).first()) == (0, 1)
@@ -128,6 +151,27 @@ def test_large_taxonomy(spark):
     assert classify.allowed_lists(categories).count() == 2
 
 
+def test_answers_are_not_copied_per_candidate(spark, tables):
+    """Where lines and candidates are rows, they carry no payload; long answers only add light rows."""
+    payload = F.concat("raw", F.lit("!")).alias("payload")
+    single = classify.normalized(tables.answers.select("*", payload), tables.categories)
+    listed = classify.parsed_batches(tables.batch_answers.select("*", payload), tables.categories)
+    for df in (single, listed):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        fed = [below for line, below in zip(lines, lines[1:], strict=False) if "Generate posexplode" in line]
+        assert fed and not any("payload" in below for below in fed)
+        assert {"raw", "payload"} <= set(df.columns) and not any("monotonically" in line for line in lines)
+
+
+def test_long_batches(spark):
+    categories = spark.range(90).select("id", F.concat(F.lit("Cat "), "id").alias("name"), F.lit("s").alias("section"), F.col("id").alias("sort_order"))
+    rows = [(size, size, "\n".join(f"{i}. {'junk' if i % 9 == 0 else f'**cat {i}**'}" for i in range(1, size + 1)) + "\n2. cat 89") for size in (20, 80)]
+    batches = spark.createDataFrame([*rows, rows[0]], "chunk int, n int, raw string")
+    got = sorted((r["chunk"], r["item"], r["category"]) for r in classify.parsed_batches(batches, categories).collect())
+    want = [(n, i, "Cat 89" if i == 2 else None if i % 9 == 0 else f"Cat {i}") for n in (20, 20, 80) for i in range(1, n + 1)]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
 def test_repeated_keys_make_no_rows(spark, tables):
     """Several rules, edits or mappings for one key change one row, and the last one counts."""
     urls, n = tables.urls, tables.urls.count()

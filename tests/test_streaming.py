@@ -1,4 +1,8 @@
-"""Streams give what the batch operators give, also after a restart and a repeated batch."""
+"""Streams give what the batch operators give, also after a restart, a repeated batch and deleted rows."""
+
+import glob
+import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -18,61 +22,130 @@ def stream(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_import(spark, tables, tmp_path):
-    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
-    texts = tables.raw_links
-    texts.repartition(2).write.parquet(folder)
+def forget_last_batch(checkpoint):
+    """As after a crash: the batch has run, but the stream does not know."""
+    last = max(glob.glob(f"{checkpoint}/commits/[0-9]*"), key=lambda f: int(os.path.basename(f)))
+    for name in (last, os.path.join(os.path.dirname(last), f".{os.path.basename(last)}.crc")):
+        if os.path.exists(name):
+            os.remove(name)
+    return int(os.path.basename(last))
 
-    def run():
-        jobs.run_available(jobs.import_links(stream(spark, folder, texts.schema), tables.urls, out, now()), mark)
 
-    run()
+def paths(tmp_path):
+    return (str(tmp_path / n) for n in ("in", "out", "mark"))
+
+
+def importer(spark, tables, folder, out, mark, **kw):
+    schema = tables.raw_links.schema
+
+    def run(*news):
+        for frame in news:
+            frame.coalesce(1).write.mode("append").parquet(folder)
+        jobs.run_available(jobs.import_links(stream(spark, folder, schema), tables.urls, out, now(), **kw), mark)
+        return jobs.imported(spark, out)
+
+    return run
+
+
+def test_import(spark, tables, tmp_path):
+    run = importer(spark, tables, *paths(tmp_path))
+    texts = tables.raw_links
     extra = texts.selectExpr("doc_id", "concat(text, ' https://later.example/', doc_id % 3) AS text")
-    extra.repartition(1).write.mode("append").parquet(folder)
-    run()  # a restart that finds one more file
-    got = jobs.imported(spark, out)
+    run(texts.filter("doc_id % 2 = 0"), texts.filter("doc_id % 2 = 1"))
+    got = run(extra)  # a restart that finds one more file
     want = ingest.new_rows(tables.urls, ingest.extract_links(extra), now())
     assert same(got.select("url", "status", "added_at"), want.select("url", "status", "added_at"))
     ids = [r["id"] for r in got.collect()]
     top = tables.urls.agg(F.max("id")).first()[0]
     assert sorted(ids) == list(range(top + 1, top + 1 + len(ids)))
+    later = [r["url"] for r in got.filter("url like '%later%'").orderBy("id").collect()]
+    assert later == ["https://later.example/0", "https://later.example/1", "https://later.example/2"]
+
 
+def test_one_batch_numbers_like_the_batch_import(spark, tables, tmp_path):
+    got = importer(spark, tables, *paths(tmp_path))(tables.raw_links)
+    assert same(got, ingest.new_rows(tables.urls, ingest.extract_links(tables.raw_links), now()))
 
-def test_a_repeated_batch_changes_nothing(spark, tables, tmp_path):
-    out = str(tmp_path / "out")
-    links = ingest.extract_links(tables.raw_links)
+
+def test_a_repeated_import_batch_changes_nothing(spark, tables, tmp_path):
+    folder, out, mark = paths(tmp_path)
+    run = importer(spark, tables, folder, out, mark)
+    texts = tables.raw_links
+    extra = texts.selectExpr("doc_id", "concat('https://again.example/', doc_id) AS text")
+    before = run(texts, extra).collect()
     for _ in range(2):
-        known = tables.urls.select("id", "url").unionByName(jobs._older_batches(spark, out, jobs.URLS, 0).select("id", "url"))
-        ingest.new_rows(known, links, now()).write.mode("overwrite").parquet(jobs._batch_folder(out, 0))
-    assert same(jobs.imported(spark, out), ingest.new_rows(tables.urls, links, now()))
+        assert forget_last_batch(mark) == 1
+        assert sorted(run().collect()) == sorted(before)
+
+
+def test_ids_of_deleted_rows_never_return(spark, tables, tmp_path):
+    folder, out, mark = paths(tmp_path)
+    run = importer(spark, tables, folder, out, mark, high_water=10_000)
+    first = [r["id"] for r in run(tables.raw_links).collect()]
+    assert min(first) == 10_001
+    shutil.rmtree(f"{out}/rows/batch=0")  # all rows of the first batch are deleted
+    fresh = tables.raw_links.limit(4).selectExpr("doc_id", "concat('https://fresh.example/', doc_id) AS text")
+    assert sorted(r["id"] for r in run(tables.raw_links, fresh).collect()) == [max(first) + 1 + i for i in range(4)]
+
+
+def test_a_batch_reads_only_its_own_texts(spark, tables, tmp_path):
+    """What earlier batches have written can be out of reach; only the last mark is needed."""
+    folder, out, mark = paths(tmp_path)
+    run = importer(spark, tables, folder, out, mark)
+    run(tables.raw_links, tables.raw_links)
+    for old in glob.glob(f"{out}/rows/batch=0/*.parquet"):
+        with open(old, "wb") as f:
+            f.write(b"not parquet")
+    shutil.rmtree(f"{out}/marks/batch=0")
+    fresh = tables.raw_links.limit(1).selectExpr("doc_id", "'https://only.example/' AS text")
+    run(fresh)
+    assert spark.read.parquet(f"{out}/rows/batch=2").count() == 1
+
+
+def test_an_import_without_texts(spark, tables, tmp_path):
+    folder, out, mark = paths(tmp_path)
+    os.mkdir(folder)
+    assert importer(spark, tables, folder, out, mark)().collect() == []
 
 
 def test_pages(spark, tables, tmp_path):
-    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    folder, out, mark = paths(tmp_path)
     tables.pages.repartition(3).write.parquet(folder)
     jobs.run_available(jobs.append_to(jobs.parse_pages(stream(spark, folder, tables.pages.schema)), out), mark)
     assert same(spark.read.parquet(out), pages.page_meta(tables.pages))
 
 
 def test_results(spark, tables, tmp_path):
-    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    folder, _, mark = paths(tmp_path)
     rows = tables.model_results_raw.select("url_id", "model", "category", "tagged_at")
-    rows.repartition(4).write.parquet(folder)
-    jobs.run_available(jobs.collect_results(stream(spark, folder, rows.schema), out), mark)
-    want = compare.latest_results(rows, ["tagged_at", "category"], ["category", "tagged_at"])
-    assert same(jobs.current_results(spark, out), want)
-    for before in (2, 2, 4):
-        jobs.compact(spark, out, jobs.MODEL_RESULTS, before, jobs.merge_results)
-        assert same(jobs.current_results(spark, out), want)
-    assert jobs.Folder(spark, out).names() == ["upto=0000000004"]
-
-
-def test_import_after_compaction(spark, tables, tmp_path):
-    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
-    texts = tables.raw_links
-    for part in range(3):
-        texts.repartition(1).write.mode("append").parquet(folder)
-        jobs.run_available(jobs.import_links(stream(spark, folder, texts.schema), tables.urls, out, now()), mark)
-        jobs.compact(spark, out, jobs.URLS, part + 1)
-    want = ingest.new_rows(tables.urls, ingest.extract_links(texts), now())
-    assert same(jobs.imported(spark, out), want)
+
+    def want(seen):
+        return compare.latest_results(seen, ["tagged_at", "category"], ["category", "tagged_at"])
+
+    def run():
+        jobs.run_available(jobs.collect_results(stream(spark, folder, rows.schema)), mark)
+        return jobs.current_results(spark, mark)
+
+    half = rows.filter("url_id % 2 = 0")
+    half.repartition(2).write.parquet(folder)
+    assert same(run(), want(half))
+    rows.filter("url_id % 2 = 1").repartition(2).write.mode("append").parquet(folder)
+    assert same(run(), want(rows))
+    for _ in range(2):  # a batch that is repeated changes nothing
+        assert forget_last_batch(mark) == 3
+        assert same(run(), want(rows))
+    late = half.limit(5).selectExpr("url_id", "model", "'too late' AS category", "tagged_at - INTERVAL 30 YEARS AS tagged_at")
+    late.coalesce(1).write.mode("append").parquet(folder)
+    assert same(run(), want(rows))
+    update = half.limit(5).selectExpr("url_id", "model", "'new' AS category", "tagged_at + INTERVAL 30 YEARS AS tagged_at")
+    update.coalesce(1).write.mode("append").parquet(folder)
+    assert same(run(), want(rows.unionByName(update)))
+
+
+def test_touched_pairs_can_be_sent_on(spark, tables, tmp_path):
+    folder, _, mark = paths(tmp_path)
+    rows = tables.model_results_raw.select("url_id", "model", "category", "tagged_at").limit(200)
+    rows.coalesce(1).write.parquet(folder)
+    sent = []
+    jobs.run_available(jobs.collect_results(stream(spark, folder, rows.schema)).foreachBatch(lambda df, n: sent.append(df.count())), mark)
+    assert sent == [rows.select("url_id", "model").distinct().count()]
