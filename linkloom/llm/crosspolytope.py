@@ -17,8 +17,8 @@ each deal gives each query its best k + 1. What reaches the driver is bounded: t
 ``GROUP_ROWS`` or a ``MOST_SPLIT``-th of all rows. Queries that found fewer than k are searched once more in all buckets.
 
 Defined cases: rows without an id, and vectors that are NULL, empty, zero or hold NULL or a value that is not finite, take no part; shorter
-vectors count as filled up with zeros; rows that repeat an id and a vector are one row, different vectors of one id are merged (the best
-score of an id counts, a query gets the nearest of any of its vectors); an empty table gives an empty result; other columns are ignored.
+vectors count as filled up with zeros; of rows that repeat an id the one with the greatest vector counts (by its first component, then the
+second and so on); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,10 +138,12 @@ def _better(scores: np.ndarray, k: int, slack: np.ndarray) -> tuple[np.ndarray,
 
 def _best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Which rows are the ``k`` best of what is asked; ids are counted once."""
+    if not len(asked):
+        return np.zeros(0, np.int64)
     order = np.lexsort((ids, -scores, asked))
-    again = np.concatenate(([False], (asked[order][1:] == asked[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (scores[order][1:] == scores[order][:-1])))
-    order = order[~again]
-    begins = np.flatnonzero(np.concatenate(([True], asked[order][1:] != asked[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    same = lambda x: x[order][1:] == x[order][:-1]
+    order = order[np.concatenate(([True], ~(same(asked) & same(ids))))]  # found in two buckets, with the same score
+    begins = np.flatnonzero(np.concatenate(([True], asked[order][1:] != asked[order][:-1])))
     rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
     return order[rank < k]
 
@@ -197,11 +199,11 @@ class _Deal:
         return pa.RecordBatch.from_arrays([pa.array(reps[q[best]]), pa.array(i[best]), pa.array(s[best])], schema=_FOUND)
 
 
-def usable(rows: DataFrame, asked: Column, vec_id: str, vector: str) -> DataFrame:
-    """``id``, vector ``v`` and ``asked`` of the rows that take part."""
+def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """``id`` and vector ``v`` of the rows that take part."""
     kind = dict(rows.dtypes)[vector]
     v = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
-    base = rows.select(F.col(vec_id).cast("long").alias("id"), v.alias("v"), asked.alias("asked")).filter("id IS NOT NULL AND v IS NOT NULL")
+    base = rows.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return base.filter(finite & F.exists("v", lambda x: x != 0))
 
@@ -286,6 +288,10 @@ def _search(dealt: DataFrame, size: int, k: int) -> DataFrame:
     return dealt.repartition("deal").sortWithinPartitions("deal", "kind").mapInArrow(run, "rep long, id long, score double")
 
 
+def _one_per_id(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("id").agg(F.max("v").alias("v")).withColumn("code", F.xxhash64("v"))
+
+
 def _top(found: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` best of each key, each id once, with their rank."""
     once = found.groupBy(key, "id").agg(F.max("score").alias("score"))
@@ -339,20 +345,21 @@ def probes_needed(hasher: Hasher, queries: list[tuple[int, np.ndarray]], neighbo
 
 
 def nearest(rows: DataFrame, k: int, asked: Column, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest found of each row that is ``asked`` for: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``."""
-    base = usable(rows, asked, vec_id, vector)
+    """The ``k`` nearest found of each row that is ``asked`` for: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
+
+    ``asked`` is a condition on the id.
+    """
+    base = usable(rows, vec_id, vector)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     facts = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size"), F.min(length).alias("low"), F.max(length).alias("high")).first()
     n, size = facts["n"], facts["size"] or 1
     longest = facts["high"] if n and facts["high"] < float("inf") and facts["low"] < facts["high"] * (1 - 1e-6) else None
     hasher = Hasher(size, -(-n // BUCKET_ROWS), longest)
 
-    by_vector = [F.xxhash64("v").alias("code"), "v", "id"]
-    once = base.select(*by_vector).distinct()
     rank = F.row_number().over(W.partitionBy("code", "v").orderBy("id"))
-    kept = once.withColumn("_copy", rank).filter(F.col("_copy") <= k + 1).select("id", "v")
+    kept = _one_per_id(base).withColumn("_copy", rank).filter(F.col("_copy") <= k + 1).select("id", "v")
     coded = durable(kept.mapInArrow(_coder(hasher), f"id long, v {dict(kept.dtypes)['v']}, codes array<long>"))
-    queries = durable(base.filter("asked").select(*by_vector).distinct())
+    queries = durable(_one_per_id(usable(rows.filter(asked), vec_id, vector)))
     reps = durable(queries.groupBy("code", "v").agg(F.min("id").alias("id")).select("id", "v", "code"))
 
     sample = [(r["id"], np.append(np.array(r["v"], np.float64), np.zeros(size - len(r["v"])))) for r in reps.orderBy(F.xxhash64("id"), "id").limit(CALIBRATED).collect()]
