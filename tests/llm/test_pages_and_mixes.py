@@ -201,6 +201,38 @@ def test_raking_meets_the_marginals(spark):
         assert all(abs(got[k] - s**power / whole) < 1e-3 for k, s in shares.items())
 
 
+def test_skewed_sources_meet_the_budget(spark):
+    """Many cells are full: they give all they have, the others make up for it, and what no weight can meet is named."""
+    rng = random.Random(1)
+    cells = [
+        (f"s{i}", lang, topic, max(1, int(1e6 / (i + 1) ** 1.5 * a * b * rng.uniform(0.5, 1.5))))
+        for i in range(60) for lang, a in (("en", 0.6), ("de", 0.3), ("fr", 0.1)) for topic, b in (("note", 0.1), ("article", 0.9)) if rng.random() < 0.75
+    ]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    raked = mixing.rake(df, budget=0.5).collect()
+    total = sum(c[3] for c in cells)
+    chances = [0.5 * total * r["weight"] / r["tokens"] for r in raked]
+    assert max(chances) <= 1 + 1e-9 and sum(c > 1 - 1e-9 for c in chances) > 50
+    assert abs(sum(r["weight"] for r in raked) - 1) < 0.02
+    missed = {(r["dimension"], r["value"]): abs(r["reached"] / r["target"] - 1) for r in mixing.unmet(df, tolerance=0.05).collect()}
+    assert len(missed) <= 6 and all(off < 0.2 for off in missed.values())
+
+
+def test_texts_are_not_shuffled(docs):
+    plan = mixing.sample(mixing.measure(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def test_cells_in_several_blocks(docs, monkeypatch):
+    columns = ("doc_id", "n_tokens", "weight", "probability", "sampled")
+    usual = rows_of(mixing.sample(mixing.measure(docs)), *columns)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    clashing = docs.withColumns({c: F.lit("mine") for c in ("_source", "_lang", "_topic", "_row", "_mix0", "_cell0", "_room")})
+    blocks = mixing.sample(mixing.measure(clashing))
+    assert rows_of(blocks, *columns) == usual
+    assert {c for c in clashing.columns if c != "n_chars"} <= set(blocks.columns)
+
+
 def test_sample_of_awkward_documents(docs, awkward, no_docs):
     clashing = docs.withColumns({c: F.lit(9.0) for c in ("weight", "probability", "n_tokens", "topic")})
     out = mixing.sample(mixing.measure(clashing)).collect()
