@@ -22,6 +22,7 @@ from linkloom.session import durable
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 1 << 20
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -106,9 +107,15 @@ def summarise(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item."""
+    """The rows of ``docs`` that hold no window of an item.
+
+    The ids and versions of the others are broadcast in blocks of ``BLOCK_ROWS``, counted first, so no text is shuffled.
+    """
     bad = hits(docs, items, doc_id, text, window).filter(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
-    packed = pack(docs, doc_id, text)
-    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_version")) & F.col("doc_id").eqNullSafe(F.col("bad_id"))
-    return unpack(packed.join(bad, same, "left_anti"), docs, text)
+    bad = durable(bad.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct())
+    blocks = max(1, math.ceil(bad.count() / BLOCK_ROWS))
+    packed = pack(docs, doc_id, text).withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    for block in range(blocks):
+        part = F.broadcast(bad.filter(F.pmod("bad_version", F.lit(blocks)) == block))
+        packed = packed.join(part, (F.col("_version") == F.col("bad_version")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return unpack(packed, docs, text)

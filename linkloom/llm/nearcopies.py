@@ -1,4 +1,4 @@
-"""Similarity join on word shingles with a MinHash LSH forest and exact verification.
+"""Similarity join on word shingles by MinHash bands and exact verification.
 
 A text is the set of its five-word shingles (a shorter text is one shingle). It enters each of ``TREES`` trees under the
 path of its MinHash values. Two texts meet if some tree keeps them together down to a depth that is the same for all texts and trees (fixed
@@ -7,8 +7,8 @@ are compared set against set: all pairs that a filter on sizes and least frequen
 link reported is exact, and a link is lost only if nothing connects its texts: with a probability of 7.6e-5 at similarity 0.8, 2.0e-5 at 0.82.
 
 Equal sets are one text with a number of copies, so copies are never paired with each other. Candidates are gathered by connected
-components of the buckets (stars, not pairs), and a component is compared in blocks of bounded size, which keeps any
-bucket out of a single task. Only counts and one edge per text leave a block: no pair is ever a row.
+components of the buckets (stars, not pairs), and a component is compared in blocks of bounded size, each pair of blocks in a task of
+its own. Only counts and one edge per text leave a block: no pair is ever a row.
 
 Defined cases: a NULL or wordless text is linked to nothing and forms a class of its own; repeated rows are copies; the class id is the
 least doc_id in the class, NULL ids coming last (a class of NULL ids has a NULL class id); an empty table gives an
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree
 
 
 def _candidates(nodes: DataFrame, trees: int) -> DataFrame:
-    """Texts that share a trie node with another one, with the component of buckets that holds them."""
+    """Texts that share a band with another one, with the component of buckets that holds them."""
     at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     listed = nodes.select("node", "paths", at.alias("tree")).select("node", F.substring("paths", F.col("tree") * 8 + 1, F.lit(8)).alias("path"))
     listed = listed.select("node", F.xxhash64("path").alias("bucket"))
@@ -177,12 +177,15 @@ def _compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc_id: str,
     found = durable(found)
     totals = found.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("codes") / 8).alias("size"))
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    dealt = found.join(totals.select("component", blocks.alias("blocks")), "component")
+    large = totals.select("component", blocks.alias("blocks")).filter("blocks > 1")
+    dealt = found.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     paired = paired.select("component", "low", "high", "block", "node", "copies", "codes")
-    return paired.groupBy("component", "low", "high").applyInArrow(_compare, _COMPARED)
+    # Dealt by block pair: what is already together by component would else stay so, in one task.
+    pair = ["component", "low", "high"]
+    return paired.repartition(*pair).groupBy(*pair).applyInArrow(_compare, _COMPARED)
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, trees: int) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Near copies and substrings against all-pairs and dictionary versions."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,24 @@ def test_join_in_many_blocks(spark, monkeypatch):
     assert got == [(i, min(classes[i]), links[i]) for i in range(80)]
 
 
+def test_block_pairs_of_one_class_are_spread_over_tasks(spark, monkeypatch):
+    words = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 50], f"new{i}", *words[i % 50 + 1 :]])) for i in range(80)]
+    monkeypatch.setattr(nearcopies, "BLOCK_TEXTS", 9)
+    monkeypatch.setattr(nearcopies, "components", lambda edges: edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.lit(1).cast("long")))
+    dealt = []
+    compare = nearcopies._compared
+
+    def spy(*args):
+        df = compare(*args)
+        dealt.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(nearcopies, "_compared", spy)
+    assert nearcopies.join(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_links")).first()[0] > 0
+    assert re.search(r"Exchange hashpartitioning\(component[^,]*, low[^,]*, high", dealt[0])
+
+
 def test_all_links_between_compared_texts_count():
     """Texts at the threshold and above, whatever trees they share; none of the pairs counted by hand may be missing."""
     rng = np.random.default_rng(7)

@@ -102,6 +102,21 @@ def test_hits_without_items_or_documents(spark, docs, no_docs, awkward):
     assert decontaminate.hits(no_docs, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
+def test_clean_documents_in_several_blocks(spark, docs, awkward, monkeypatch):
+    items = spark.createDataFrame([(1, "mit license apache license"), (2, awkward_text(awkward))], "item_id int, text string")
+    usual = rows_of(decontaminate.clean_documents(docs, items), "doc_id", "text")
+    assert len(usual) < len(awkward)
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 1)
+    clean = decontaminate.clean_documents(docs.withColumn("_version", F.lit("mine")), items)
+    assert rows_of(clean, "doc_id", "text") == usual and "_version" in clean.columns
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange (hash|range)partitioning", plan)
+
+
+def awkward_text(awkward):
+    return max((r[1] for r in awkward if r[1] and len(r[1]) < 5000), key=len)
+
+
 def test_decontamination_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
