@@ -32,7 +32,17 @@ SELECT page_id, url, CASE k WHEN 1 THEN 'OG ' || n WHEN 2 THEN 'LD ' || n WHEN 4
   CASE k WHEN 1 THEN 'og_title' WHEN 2 THEN 'ld_name' WHEN 4 THEN 'ld_name' WHEN 5 THEN 'og_title' END AS title_source,
   CASE k WHEN 1 THEN 'meta_description' WHEN 2 THEN 'ld_description' WHEN 3 THEN 'ld_description' WHEN 6 THEN 'ld_description' ELSE 'h1' END AS description_source FROM k""",
 )
-add("p3_candidates", lambda t: pages.candidates(t.pages))
+add(
+    "p3_candidates",
+    lambda t: pages.candidates(t.rich_pages).drop("paragraph"),
+    "rich_pages",
+    f"""WITH k AS (SELECT *, page_id % 8 AS k, CAST(page_id AS VARCHAR) AS n FROM rich_pages)
+SELECT page_id, url, CAST(NULL AS VARCHAR) AS parse_error, CAST(NULL AS VARCHAR) AS title_tag, CASE WHEN k IN (1, 5) THEN 'OG ' || n END AS og_title,
+  CASE k WHEN 2 THEN 'LD ' || n WHEN 4 THEN 'G ' || n END AS ld_name, CASE WHEN k = 5 THEN '''int'' object has no attribute ''strip''' END AS ld_name_error,
+  CASE WHEN k = 7 THEN '' END AS og_description, CASE WHEN k = 1 THEN 'M & ' || n END AS meta_description,
+  CASE k WHEN 2 THEN 'D ' || n WHEN 3 THEN 'L ' || n END AS ld_description, CASE WHEN k = 6 THEN '''int'' object has no attribute ''strip''' END AS ld_description_error,
+  {H1} AS h1 FROM k""",
+)
 add(
     "p4_stubs",
     lambda t: pages.find_stubs(t.stub_pages),
