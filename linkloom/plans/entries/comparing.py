@@ -130,6 +130,23 @@ add(
     "urls",
     f"WITH {DONE} SELECT url_id, 'stub:a' AS model, {STUB} AS category, TIMESTAMP '{NOW}' AS tagged_at FROM done WHERE {STUB} IS NOT NULL",
 )
+
+
+def stored_run(t):
+    """Two runs over the done links, the second one over a model that has answered before."""
+    path = scratch(t, "answers")
+    asks = {"stub:a": stub_model, "stub:b": lambda p: f"cat{len(p) % 3}"}
+    for wanted, at in ((["stub:b", "stub:a"], F.lit("2026-04-01").cast("timestamp")), (["stub:a"], now())):
+        results.save_answers(compare.run_models(t.urls, asks, wanted, t.categories, at), path)
+    return results.read_answers(t.spark, path).filter("model = 'stub:a'")
+
+
+add(
+    "j11_stored_run",
+    stored_run,
+    "urls",
+    f"WITH {DONE} SELECT url_id, 'stub:a' AS model, {STUB} AS category, TIMESTAMP '{NOW}' AS tagged_at FROM done WHERE {STUB} IS NOT NULL",
+)
 add(
     "j12_side_by_side",
     lambda t: compare.side_by_side(t.latest, t.urls, MODELS),

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import dataset, metrics, train
+from linkloom.operators import bayes, dataset, metrics, train
 from linkloom.plans.catalog import add
 from linkloom.plans.entries.statistics import pct
 from linkloom.plans.views import NORM_DOMAIN
@@ -254,3 +254,47 @@ add(
     "urls",
     "SELECT count(*) AS fixes, count(*) >= 3 AS retrain FROM urls WHERE coalesce(manual_override, 0) = 1 AND processed_at >= TIMESTAMP '2026-04-10 00:00:00'",
 )
+
+
+def bayes_scored(t):
+    """The test part, judged by counts of the train part that were written and read again."""
+    parts = durable(dataset.stratified_split(documents(t)))
+    path = scratch(t, "bayes")
+    bayes.save(bayes.train(parts.filter("part = 'train'")), path)
+    return bayes.load(t.spark, path), parts.filter("part = 'test'").select("id", "text", "label")
+
+
+def bayes_scores(t):
+    model, test = bayes_scored(t)
+    return bayes.scores(model, test).select("id", "label", F.round("score", 4).alias("score"))
+
+
+def bayes_predicted(t):
+    model, test = bayes_scored(t)
+    return bayes.predict(model, test).select("id", "label", "prediction", "confidence")
+
+
+BAYES = (
+    SPLIT
+    + """,
+tokens AS MATERIALIZED (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),
+learned AS MATERIALIZED (SELECT label, word, CAST(sum(n) AS BIGINT) AS n FROM tokens JOIN split USING (id) WHERE part = 'train' AND label IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT label, sum(n) AS size FROM learned GROUP BY 1),
+labels AS (SELECT s.label, count(*) AS docs, coalesce(any_value(size), 0) + (SELECT count(DISTINCT word) FROM learned) AS room FROM split s LEFT JOIN sizes ON sizes.label = s.label WHERE part = 'train' AND s.label IS NOT NULL GROUP BY 1),
+known AS (SELECT t.id, t.word, t.n FROM tokens t SEMI JOIN learned USING (word)),
+scored AS MATERIALIZED (SELECT s.id, l.label, ln(l.docs / (SELECT sum(docs) FROM labels)) + coalesce(sum(k.n * (ln(coalesce(c.n, 0) + 1) - ln(l.room))), 0) AS score
+  FROM (SELECT id FROM split WHERE part = 'test') s CROSS JOIN labels l LEFT JOIN known k ON k.id = s.id LEFT JOIN learned c ON c.label = l.label AND c.word = k.word GROUP BY s.id, l.label, l.docs),
+judged AS (SELECT p.id, p.label, b.prediction, b.confidence FROM (SELECT id, label FROM split WHERE part = 'test') p
+  JOIN (SELECT id, arg_min(label, {'s': -score, 'l': label}) AS prediction, round(1 / sum(exp(score - top)), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM scored) GROUP BY id) b USING (id))"""
+)
+add("k9_bayes_scores", bayes_scores, "", f"WITH {BAYES} SELECT id, label, round(score, 4) AS score FROM scored")
+add("k9_k10_k14_bayes_predictions", bayes_predicted, "", f"WITH {BAYES} SELECT * FROM judged")
+add("k11_bayes_metrics", lambda t: metrics.summary(bayes_predicted(t).filter("label IS NOT NULL")).select("num_test", "accuracy"), "",
+    f"WITH {BAYES} SELECT count(*) AS num_test, round(count(*) FILTER (label = prediction) / count(*), 4) AS accuracy FROM judged WHERE label IS NOT NULL")
+add("o1_bayes_confident", lambda t: train.split_by_confidence(bayes_predicted(t), 0.95)[0], "", f"WITH {BAYES} SELECT * FROM judged WHERE confidence >= 0.95")
+add(
+    "o2_bayes_review",
+    lambda t: train.least_confident(bayes_predicted(t), 20),
+    "",
+    f"WITH {BAYES} SELECT * FROM judged ORDER BY confidence, id LIMIT 20",
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom import scale
 from linkloom.functions.domains import where_domain
 from linkloom.operators import classify, compare, dataset, ingest, migrate, pages, status, taxonomy
-from linkloom.sources import files
+from linkloom.sources import files, results
 from linkloom.sources.tables import Table, drop_snapshot, read_snapshot, take_snapshot
 
 
@@ -61,10 +61,9 @@ def refill_descriptions(urls: Table, fetched_pages: DataFrame, domain: str | Non
     """Fill empty descriptions from fetched pages. Returns counts per outcome."""
     found = scale.durable(pages.page_meta(fetched_pages.select("url", "html")))
     news = where_domain(found, domain) if domain else found
-    before = urls.read()
-    filled = status.refill_descriptions(before, news)
+    filled = scale.durable(status.refill_descriptions(urls.read(), news).filter("changed OR outcome IS NOT NULL"))
     store(urls, filled)
-    return status.refill_summary(status.refill_descriptions(before, news))
+    return status.refill_summary(filled)
 
 
 def refetch(urls: Table, ids: DataFrame) -> int:
@@ -100,6 +99,29 @@ def export_dataset(
     return dataset.skipped(rows, categories, at_least)
 
 
+def compare_models(
+    urls: Table,
+    asks: dict[str, classify.Ask],
+    wanted: list[str],
+    categories: DataFrame,
+    path: str,
+    domain: str | None = None,
+    limit: int | None = None,
+    with_description: bool = True,
+    workers: int | None = None,
+    now: Column | None = None,
+) -> DataFrame:
+    """Run the wanted models that exist over the done links and keep their answers under ``path``.
+
+    Each model is saved before the next one starts, so a run that breaks off loses nothing. Returns all stored results, merged.
+    """
+    rows = urls.read()
+    for model in [m for m in wanted if m in asks]:
+        answers = compare.run_models(rows, asks, [model], categories, _now(now), domain, limit, with_description, workers)
+        results.save_answers(answers, path)
+    return results.read_answers(urls.spark, path)
+
+
 def accept_model(urls: Table, results: DataFrame, model: str, protect_manual: bool = False) -> int:
     """Copy one model's categories onto its links. Returns the number of changed rows."""
     return store(urls, compare.accept_model(urls.read(), results, model, protect_manual))

@@ -1,6 +1,6 @@
-"""Model results stored by link, so that comparisons read them without a shuffle.
+"""Stored model results: the answers of each run by model, and placed by link, so that comparisons read them without a shuffle.
 
-The rows of a link lie in one bucket. A table is a folder of bucket files and an entry in the session's catalogue; another session
+In the second layout the rows of a link lie in one bucket. A table is a folder of bucket files and an entry in the session's catalogue; another session
 enters the folder again with :func:`open_placed`. Operators that take ``placed=True`` rely on this layout, and grouping by ``url_id`` (with or
 without ``model``) uses it without being told.
 """
@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.operators.compare import upsert_results
+from linkloom.schema import MODEL_RESULTS
+from linkloom.session import durable
+
 BUCKETS = 200
 
 
@@ -31,3 +35,20 @@ def open_placed(spark: SparkSession, table: str, path: str, buckets: int = BUCKE
 def drop_entry(spark: SparkSession, table: str) -> None:
     """Remove the entry; the folder stays."""
     spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def save_answers(answers: DataFrame, path: str) -> None:
+    """Add model answers (url_id, model, category, tagged_at) to a store with one folder per model; the last write of a pair wins.
+
+    Only the folders of the models that have answered are read and replaced.
+    """
+    spark = answers.sparkSession
+    spark.createDataFrame([], MODEL_RESULTS).write.mode("append").partitionBy("model").parquet(path)
+    new = durable(answers.select(*MODEL_RESULTS.names))
+    old = read_answers(spark, path).join(new.select("model").distinct(), "model", "left_semi")
+    merged = durable(upsert_results(old, new))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MODEL_RESULTS).parquet(path)

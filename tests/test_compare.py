@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import classify, compare, metrics
+from linkloom.plans import flows
 from linkloom.sources import results
+from linkloom.sources.tables import Table
 
 SCHEMA = "url_id long, model string, category string"
 
@@ -231,3 +233,20 @@ def test_a_model_is_set_up_once_per_worker_and_asked_in_lists(spark, tmp_path):
 def test_run_models_goes_on_after_a_dead_model(tables, down):
     found = compare.run_models(tables.urls, {"dead": down, "live": lambda p: "cat1"}, ["dead", "live", "unknown"], tables.categories, F.lit(None).cast("timestamp"))
     assert [r["model"] for r in found.select("model").distinct().collect()] == ["live"]
+
+
+def test_a_comparison_run_is_stored_model_by_model(spark, tables, tmp_path, down):
+    urls = Table(spark, str(tmp_path / "urls"))
+    urls.write(tables.urls)
+    path = str(tmp_path / "answers")
+    at = [F.lit(f"2026-04-0{i} 00:00:00").cast("timestamp") for i in (1, 2)]
+    asks = {"one": lambda p: "cat1", "two": lambda p: "cat2", "dead": down}
+    stored = flows.compare_models(urls, asks, ["one", "dead", "two", "unknown"], tables.categories, path, now=at[0])
+    n = tables.urls.filter("status = 'done'").count()
+    assert {r["model"]: r["count"] for r in stored.groupBy("model").count().collect()} == {"one": n, "two": n}
+    again = flows.compare_models(urls, {"one": lambda p: "cat3"}, ["one"], tables.categories, path, limit=5, now=at[1])
+    kinds = {(r["model"], r["category"]): r["count"] for r in again.groupBy("model", "category").count().collect()}
+    assert kinds == {("one", "cat1"): n - 5, ("one", "cat3"): 5, ("two", "cat2"): n}
+    late = again.filter("category = 'cat3'").withColumns({"category": F.lit("cat9"), "tagged_at": at[0]})
+    results.save_answers(late.unionByName(late), path)  # a repeated and late batch: it is newer as a batch, as in an upsert
+    assert results.read_answers(spark, path).count() == 2 * n
