@@ -79,15 +79,18 @@ def quality_rules() -> str:
     vote = "CASE WHEN {} THEN -1 WHEN {} THEN 1 ELSE 0 END"
     votes = {
         "symbols": vote.format("10 * n_symbols > n_words", "n_words > 0 AND 50 * n_symbols <= n_words"),
-        "repeats": vote.format("2 * n_repeat_words > n_words", "n_words > 0 AND 10 * n_repeat_words <= n_words"),
-        "lines": vote.format("2 * n_dup_lines > n_lines", "n_lines > 2 AND 10 * n_dup_lines <= n_lines"),
+        "density": vote.format("20 * n_symbols > word_chars", "n_words > 0 AND 100 * n_symbols <= word_chars"),
+        "repeats": vote.format("5 * n_repeat_words > n_words", "n_words > 0 AND 20 * n_repeat_words <= n_words"),
+        "lines": vote.format("5 * n_dup_lines > n_lines", "n_lines > 2 AND 10 * n_dup_lines <= n_lines"),
         "capitals": vote.format("10 * n_capitals > 3 * n_letters", "n_letters > 0 AND 10 * n_capitals <= n_letters"),
         "shouts": vote.format("10 * n_shouts > 3 * n_words", "n_words > 0 AND 20 * n_shouts <= n_words"),
-        "word_length": vote.format("word_chars < 3 * n_words OR word_chars > 10 * n_words", "n_words > 0 AND word_chars BETWEEN 4 * n_words AND 6 * n_words"),
-        "closed_lines": vote.format("n_lines > 2 AND 10 * n_closed < 3 * n_lines", "n_lines > 0 AND 10 * n_closed >= 8 * n_lines"),
+        "word_length": vote.format("10 * word_chars < 44 * n_words OR 10 * word_chars > 60 * n_words", "n_words > 0 AND 10 * word_chars BETWEEN 46 * n_words AND 56 * n_words"),
+        "closed_lines": vote.format("n_lines > 0 AND 10 * n_closed < 9 * n_lines", "n_lines > 0 AND 100 * n_closed >= 98 * n_lines"),
     }
     listed = ", ".join(votes[r] for r in quality.RULES)
-    low, weak = 1 - quality.FALSE_ALARMS, quality.WEAKNESS
+    failed = f"n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words"
+    (bad, good), texts, start = quality.PRIOR, quality.PRIOR_TEXTS, quality.PRIOR_SHARE
+    outcomes = ", ".join(f"({o}, CAST({b} AS DOUBLE), CAST({g} AS DOUBLE))" for o, b, g in zip(quality.OUTCOMES, bad, good, strict=True))
     steps = [
         f"d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_SPACED} AS w FROM documents)",
         "triples AS MATERIALIZED (SELECT r, s, w[s:s + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM d))",
@@ -100,26 +103,23 @@ def quality_rules() -> str:
   coalesce(l.closed, 0) AS n_closed, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(text, '!')) AS n_shouts
   FROM d LEFT JOIN lines l USING (r) LEFT JOIN repeated p USING (r))""",
         f"voted AS MATERIALIZED (SELECT *, [{listed}] AS votes FROM counts)",
-        "patterns AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted GROUP BY 1)",
+        f"patterns AS MATERIALIZED (SELECT votes, count(*) FILTER (NOT ({failed})) AS n FROM voted GROUP BY 1)",
         "cast_votes AS MATERIALIZED (SELECT votes, n, unnest(votes) AS v, generate_subscripts(votes, 1) AS rule FROM patterns)",
-        f"t0 AS MATERIALIZED (SELECT unnest(range(1, {len(quality.RULES) + 1})) AS rule, CAST(0.85 AS DOUBLE) AS bad, CAST(0.995 AS DOUBLE) AS good, CAST(0.8 AS DOUBLE) AS share)",
+        f"grid AS MATERIALIZED (SELECT rule, v, b, g FROM (SELECT unnest(range(1, {len(quality.RULES) + 1})) AS rule), (VALUES {outcomes}) o(v, b, g))",
+        "t0 AS MATERIALIZED (SELECT rule, v, b AS bad, g AS good FROM grid)",
+        f"s0 AS (SELECT CAST({start} AS DOUBLE) AS share)",
     ]
 
     def posterior(k: int) -> str:
-        logs = "sum(CASE v WHEN 1 THEN ln(bad) - ln(good) WHEN -1 THEN ln(1 - bad) - ln(1 - good) ELSE 0 END)"
-        return f"p{k} AS MATERIALIZED (SELECT votes, any_value(n) AS n, 1 / (1 + exp(ln(1 - any_value(share)) - ln(any_value(share)) + {logs})) AS p FROM cast_votes JOIN t{k} USING (rule) GROUP BY votes)"
+        return f"""p{k} AS MATERIALIZED (SELECT votes, any_value(n) AS n, 1 / (1 + exp(ln(1 - any_value(share)) - ln(any_value(share)) + sum(ln(bad) - ln(good)))) AS p
+  FROM cast_votes JOIN t{k} USING (rule, v), s{k} GROUP BY votes)"""
 
     for k in range(quality.ROUNDS):
         steps.append(posterior(k))
-        steps.append(
-            f"t{k + 1} AS MATERIALIZED (SELECT rule, least(greatest(b, {weak} * greatest(g, {low})), 1 - 1e-6) AS bad, least(greatest(g, {low}), 1 - 1e-6) AS good, "
-            f"(SELECT (sum(n * p) + 8) / (sum(n) + 10) FROM p{k}) AS share FROM (SELECT rule, "
-            f"(sum(c.n * (1 - p)) FILTER (v = 1) + 8.5) / (coalesce(sum(c.n * (1 - p)) FILTER (v <> 0), 0) + 10) AS b, "
-            f"(sum(c.n * p) FILTER (v = 1) + 9.95) / (coalesce(sum(c.n * p) FILTER (v <> 0), 0) + 10) AS g "
-            f"FROM cast_votes c JOIN p{k} USING (votes) GROUP BY rule))".replace("sum(c.n * (1 - p)) FILTER (v = 1)", "coalesce(sum(c.n * (1 - p)) FILTER (v = 1), 0)").replace("sum(c.n * p) FILTER (v = 1)", "coalesce(sum(c.n * p) FILTER (v = 1), 0)")
-        )
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT (sum(n * p) + {start * texts}) / (sum(n) + {texts}) AS share, sum(n * (1 - p)) AS bads, sum(n * p) AS goods FROM p{k})")
+        steps.append(f"""t{k + 1} AS MATERIALIZED (SELECT rule, v, (coalesce(x, 0) + {texts} * b) / (bads + {texts}) AS bad, (coalesce(y, 0) + {texts} * g) / (goods + {texts}) AS good
+  FROM grid LEFT JOIN (SELECT rule, v, sum(c.n * (1 - p)) AS x, sum(c.n * p) AS y FROM cast_votes c JOIN p{k} USING (votes) GROUP BY ALL) USING (rule, v), s{k + 1})""")
     steps.append(posterior(quality.ROUNDS))
-    failed = f"n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words"
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, round(p, 9) AS quality, NOT ({failed}) AND round(p, 9) >= {quality.KEEP_FROM} AS kept
 FROM voted JOIN p{quality.ROUNDS} USING (votes)"""

@@ -1,9 +1,11 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at one property of a text and votes good, bad, or abstains. Expectation-maximisation over the counts of
-all vote patterns estimates how often each rule casts each vote on good and on bad texts; the posterior probability of
-"good" replaces a filter in which every rule has to pass. A pattern is one of ``3 ** len(RULES)``, so the table of counts
-that reaches the driver has at most 2187 rows whatever the corpus.
+Each rule looks at one property of a text and votes good, bad, or abstains; several rules see each kind of defect. Expectation-maximisation
+over the counts of all vote patterns estimates how often each rule votes good, votes bad and abstains on good and on bad texts, and the posterior
+probability of "good" replaces a filter in which every rule has to pass: a lone bad vote of a rule that is often wrong decides nothing against
+the others, and a text that nobody votes against can still look like the bad ones. The estimates are bounded by nothing but a prior worth
+``PRIOR_TEXTS`` texts. They are made on the texts that pass the base rules, as the others go anyway. A pattern is one of ``3 ** len(RULES)``, so
+the table of counts that reaches the driver has at most 6561 rows whatever the corpus.
 
 Defined cases: a NULL or blank text has no words and fails the base rules; every row is judged on its own, so repeated rows and repeated or
 NULL ids change nothing but the counts; an empty table gives an empty result; other columns pass through ``measure`` and
@@ -27,8 +29,10 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_FROM = 0.5
 ROUNDS = 50
-FALSE_ALARMS = 0.005  # the most bad votes that a rule is believed to cast on good texts
-WEAKNESS = 0.8  # the least ratio of a rule's good votes on bad texts to those on good texts
+OUTCOMES = (GOOD, BAD, ABSTAIN)
+PRIOR = ((0.35, 0.45, 0.2), (0.8, 0.05, 0.15))  # how often a rule casts each outcome on bad and on good texts, before any text is seen
+PRIOR_SHARE = 0.8  # of good texts
+PRIOR_TEXTS = 10.0
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed", "n_capitals", "n_letters", "n_shouts")
 
@@ -95,48 +99,43 @@ def rules() -> dict[str, Column]:
     words, lines, letters = F.col("n_words"), F.col("n_lines"), F.col("n_letters")
     return {
         "symbols": _vote(10 * F.col("n_symbols") > words, (words > 0) & (50 * F.col("n_symbols") <= words)),
-        "repeats": _vote(2 * F.col("n_repeat_words") > words, (words > 0) & (10 * F.col("n_repeat_words") <= words)),
-        "lines": _vote(2 * F.col("n_dup_lines") > lines, (lines > 2) & (10 * F.col("n_dup_lines") <= lines)),
+        "density": _vote(20 * F.col("n_symbols") > F.col("word_chars"), (words > 0) & (100 * F.col("n_symbols") <= F.col("word_chars"))),
+        "repeats": _vote(5 * F.col("n_repeat_words") > words, (words > 0) & (20 * F.col("n_repeat_words") <= words)),
+        "lines": _vote(5 * F.col("n_dup_lines") > lines, (lines > 2) & (10 * F.col("n_dup_lines") <= lines)),
         "capitals": _vote(10 * F.col("n_capitals") > 3 * letters, (letters > 0) & (10 * F.col("n_capitals") <= letters)),
         "shouts": _vote(10 * F.col("n_shouts") > 3 * words, (words > 0) & (20 * F.col("n_shouts") <= words)),
         "word_length": _vote(
-            (F.col("word_chars") < 3 * words) | (F.col("word_chars") > 10 * words),
-            (words > 0) & F.col("word_chars").between(4 * words, 6 * words),
+            (10 * F.col("word_chars") < 44 * words) | (10 * F.col("word_chars") > 60 * words),
+            (words > 0) & (10 * F.col("word_chars")).between(46 * words, 56 * words),
         ),
-        "closed_lines": _vote((lines > 2) & (10 * F.col("n_closed") < 3 * lines), (lines > 0) & (10 * F.col("n_closed") >= 8 * lines)),
+        "closed_lines": _vote((lines > 0) & (10 * F.col("n_closed") < 9 * lines), (lines > 0) & (100 * F.col("n_closed") >= 98 * lines)),
     }
 
 
-RULES = ("symbols", "repeats", "lines", "capitals", "shouts", "word_length", "closed_lines")
+RULES = ("symbols", "density", "repeats", "lines", "capitals", "shouts", "word_length", "closed_lines")
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over vote patterns.
 
-    Returns the share of good texts and a table ``[class, rule]``: how likely a vote that the rule casts on a text of
-    that class (0 bad, 1 good) is "good". Abstaining says nothing.
-    Two bounds hold after each step, because the rules look for different defects and hardly corroborate each other:
-    bad votes on good texts stay rare (``FALSE_ALARMS``), and a good vote, which only says that one defect is missing,
-    stays weak evidence (``WEAKNESS``). A small prior keeps probabilities off zero.
+    Returns the share of good texts and a table ``[class, rule, outcome]``: how likely a rule casts each of ``OUTCOMES`` on a text of
+    that class (0 bad, 1 good). The first step uses the prior, which says only that rules are right more often than not.
     """
-    share = 0.8
-    table = np.tile(np.array([[0.85], [0.995]]), (1, patterns.shape[1]))
+    cast = np.stack([patterns == o for o in OUTCOMES], 2).astype(float)
+    prior = PRIOR_TEXTS * np.array(PRIOR)[:, None, :]
+    share, table = PRIOR_SHARE, np.tile(prior / PRIOR_TEXTS, (1, patterns.shape[1], 1))
     for _ in range(rounds):
         good = posterior(patterns, share, table)
         weights = np.stack([(1 - good) * counts, good * counts])
-        share = (weights[1].sum() + 8.0) / (counts.sum() + 10.0)
-        for_good = weights @ (patterns == GOOD)
-        cast = weights @ (patterns != ABSTAIN)
-        table = (for_good + np.array([[8.5], [9.95]])) / (cast + 10.0)
-        table[1] = np.maximum(table[1], 1 - FALSE_ALARMS)
-        table[0] = np.maximum(table[0], WEAKNESS * table[1])
-        table = np.minimum(table, 1 - 1e-6)
+        share = (weights[1].sum() + PRIOR_SHARE * PRIOR_TEXTS) / (counts.sum() + PRIOR_TEXTS)
+        table = (np.einsum("cp,pro->cro", weights, cast) + prior) / (weights.sum(1)[:, None, None] + PRIOR_TEXTS)
     return float(share), table
 
 
 def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     """Probability of "good" for each pattern of votes."""
-    logs = np.log([1 - share, share])[:, None] + np.log(table) @ (patterns == GOOD).T + np.log(1 - table) @ (patterns == BAD).T
+    cast = np.stack([patterns == o for o in OUTCOMES], 2).astype(float)
+    logs = np.log([1 - share, share])[:, None] + np.einsum("pro,cro->cp", cast, np.log(table))
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
@@ -144,8 +143,9 @@ def judge(measured: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``quality`` (posterior of "good") and ``kept`` to measured texts."""
     votes = rules()
     code = sum((votes[r] + 1) * F.lit(3**i) for i, r in enumerate(RULES)).cast("int")
-    coded = measured.drop("_votes").withColumn("_votes", code)
-    counted = coded.groupBy("_votes").count().collect()  # at most 3 ** len(RULES) rows
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    coded = measured.drop("_votes", "base_failed").withColumns({"_votes": code, "base_failed": failed})
+    counted = coded.groupBy("_votes").agg(F.count_if(~F.col("base_failed")).alias("count")).collect()  # at most 3 ** len(RULES) rows
     spark = measured.sparkSession
     codes = np.array(sorted(r["_votes"] for r in counted), np.int64)
     counts = np.array([r["count"] for r in sorted(counted, key=lambda r: r["_votes"])], float)
@@ -153,8 +153,7 @@ def judge(measured: DataFrame) -> DataFrame:
     good = posterior(patterns, *fit(patterns, counts))
     rows = [(int(c), round(float(p), 9)) for c, p in zip(codes, good, strict=True)]
     judged = coded.drop("quality").join(F.broadcast(spark.createDataFrame(rows, "_votes int, quality double")), "_votes", "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP_FROM)).drop("_votes")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop("_votes")
 
 
 def label(docs: DataFrame, text: str = "text") -> DataFrame:
