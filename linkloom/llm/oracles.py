@@ -64,9 +64,12 @@ places AS (SELECT r, s, array_to_string(w[s:s + {gram - 1}], ' ') AS g FROM (SEL
 votes AS MATERIALIZED (SELECT p.r, g.id, p.s - g.s AS diagonal, g.s AS position FROM places p JOIN grams g USING (g)),
 apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) <= {licenses.SLACK} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT r, id, diagonal FROM votes)),
 spans AS (SELECT *, sum(new) OVER (PARTITION BY r, id ORDER BY diagonal) AS span FROM apart),
-scores AS MATERIALIZED (SELECT r, id, span, count(DISTINCT p) / any_value(len(t.w)) AS score
-  FROM (SELECT r, id, span, unnest(range(position, position + {gram})) AS p FROM votes JOIN spans USING (r, id, diagonal)) JOIN t USING (id) GROUP BY r, id, span),
-named AS (SELECT DISTINCT r, label FROM starts UNION SELECT s.r, t.label FROM scores s JOIN t USING (id) WHERE score >= CAST({licenses.COVERED} AS DOUBLE))
+covers AS (SELECT r, id, span, count(DISTINCT p) AS covered FROM (SELECT r, id, span, unnest(range(position, position + {gram})) AS p FROM votes JOIN spans USING (r, id, diagonal)) GROUP BY ALL),
+reaches AS (SELECT r, id, span, min(diagonal + position) AS lo, max(diagonal + position) + {gram} AS hi FROM votes JOIN spans USING (r, id, diagonal) GROUP BY ALL),
+scores AS MATERIALIZED (SELECT r, id, span, lo, hi, len(t.w) AS size, covered / (len(t.w) + greatest(0, hi - lo - covered)) AS score FROM covers JOIN reaches USING (r, id, span) JOIN t USING (id)),
+claims AS (SELECT r, unnest(range(lo, hi)) AS word, {{'score': score, 'size': size, 'early': -id, 'nearer': -span, 'lo': lo, 'hi': hi}} AS claim FROM scores WHERE score >= CAST({licenses.COVERED} AS DOUBLE)),
+won AS (SELECT r, claim, count(*) AS n FROM (SELECT r, word, max(claim) AS claim FROM claims GROUP BY ALL) GROUP BY ALL HAVING 2 * count(*) >= claim.hi - claim.lo),
+named AS (SELECT DISTINCT r, label FROM starts UNION SELECT won.r, t.label FROM won JOIN t ON t.id = -won.claim.early)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM starts x WHERE x.r = d.r)), '') AS base_labels,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM named x WHERE x.r = d.r), '') AS labels,

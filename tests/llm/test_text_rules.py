@@ -197,6 +197,34 @@ def test_license_templates_survive_edits_and_need_their_words(spark):
     assert got[1]["score"] == 1 and licenses.COVERED <= got[2]["score"] < 1 and 0 < got[5]["score"] < licenses.COVERED
 
 
+NOTICES = {
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc": "this work is licensed under a creative commons attribution-noncommercial 4.0 international license",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy, visit the site.",
+    "cc-by-nd": "Unless noted, this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "Photos: licensed under CC BY-NC-ND 4.0, all others reserved",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl,lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "": "This work is not licensed at all, and Attribution 4.0 is a word with a number.",
+}
+
+
+def test_notices_of_one_family_are_told_apart(spark):
+    """Each notice alone, all of them in one text, and one with words put in."""
+    rows = [(i, text) for i, text in enumerate(NOTICES.values())]
+    filler = " ".join(f"w{i}" for i in range(30))
+    rows.append((90, f" {filler} ".join(NOTICES.values())))
+    rows.append((91, NOTICES["cc-by"].replace("Commons", "Commons (we really mean all of these many other words) ")))
+    got = {r["doc_id"]: r["labels"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == list(NOTICES)
+    assert got[90] == ",".join(sorted({x for k in NOTICES for x in k.split(",") if x}))
+    assert got[91] == ""
+
+
 def test_template_words_are_counted_as_the_plan_does():
     assert all(licenses._fold(t) == folded(t) for _, t in licenses.TEMPLATES)
 
