@@ -6,8 +6,10 @@ probabilities are learned by expectation-maximisation: a forward-backward pass c
 expected to use. Nothing else is learned and the vocabulary is never changed.
 
 Learning reads a bounded sample: about ``FIT_TEXTS`` texts per language, picked by a hash of the id; word counts and expected piece counts are
-summed in Spark, and the table of vocabulary times languages that reaches the driver does not depend on the corpus. Every text is scored
-over its whole length. Words are runs of letters, lower-cased; a word's score is remembered within a task, up to ``CACHE_WORDS`` words.
+summed in Spark, and the table of vocabulary times languages that reaches the driver does not depend on the corpus. The driver reads the vocabulary,
+and every piece of it counts. Every text is scored over its whole length. Words are runs of letters (Unicode category L, with their marks), lower-cased; a
+word's score is remembered within a task, up to ``CACHE_WORDS`` words. Words over ``LONG_WORD`` bytes, such as sentences in scripts without
+spaces, are scored whole like all others, byte by byte with a window of the last forward values; while learning they are left out.
 
 Defined cases: a NULL text, or one without letters, is ``und`` with the score 0; rows without a language or an id teach nothing; a NULL id is not held
 out; ties go to the alphabetically first language; without any labelled text all are ``und``; repeated rows are scored alike; an empty table
@@ -17,12 +19,12 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,13 @@ from linkloom.session import durable
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FIT_TEXTS = 500
 ROUNDS = 3
-LONGEST_PIECE = 12  # bytes; longer pieces are left out of the model
-LONGEST_WORD = 40  # bytes; longer words are scored in parts
+LONG_WORD = 40  # bytes
+LONG_BLOCK = 1 << 15  # bytes of a long word that are looked up at a time
 SMOOTHING = 0.1
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -46,16 +48,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Pieces:
-    """The vocabulary's pieces up to ``LONGEST_PIECE`` bytes, all single bytes among them, looked up by code."""
+    """The vocabulary's pieces, all single bytes among them, looked up by code."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             pieces = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-        kept = sorted({p for p in pieces if 0 < len(p) <= LONGEST_PIECE} | {bytes([b]) for b in range(256)})
+        kept = sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
         codes = np.array([self._code(p) for p in kept], np.uint64)
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
         self.size = len(kept)
+        self.longest = max(map(len, kept))
 
     @staticmethod
     def _code(piece: bytes) -> int:
@@ -70,10 +73,25 @@ class Pieces:
         out = {}
         for start in range(n):
             code = np.zeros(len(block), np.uint64)
-            for end in range(start + 1, min(n, start + LONGEST_PIECE) + 1):
+            for end in range(start + 1, min(n, start + self.longest) + 1):
                 code = code * _BASE + block[:, end - 1].astype(np.uint64) + np.uint64(1)
-                at = np.minimum(np.searchsorted(self.codes, code), self.size - 1)
-                out[start, end] = np.where(self.codes[at] == code, self.order[at], self.size)
+                out[start, end] = self._numbers(code)
+        return out
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, codes), self.size - 1)
+        return np.where(self.codes[at] == codes, self.order[at], self.size)
+
+    def endings(self, raw: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Piece numbers ``[end - first, length - 1]`` of what ends at the places ``first + 1`` to ``last`` of one long word."""
+        low = max(0, first + 1 - self.longest)
+        codes, out = np.zeros(last - low, np.uint64), np.full((last - first, self.longest), self.size)
+        for length in range(1, self.longest + 1):
+            codes = codes[: max(0, last - low - length + 1)]
+            codes = codes * _BASE + raw[low + length - 1 : low + length - 1 + len(codes)].astype(np.uint64) + np.uint64(1)
+            numbers = self._numbers(codes)  # of what starts at low, low + 1, ...
+            ends = np.arange(max(first + 1, low + length), last + 1)
+            out[ends - first - 1, length - 1] = numbers[ends - length - low]
         return out
 
 
@@ -84,40 +102,53 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), n)
 
 
-def _parts(word: str) -> list[bytes]:
-    """The word with a leading space, as the vocabulary has it, cut into parts of bounded length."""
-    raw = b" " + word.encode()
-    return [raw[i : i + LONGEST_WORD] for i in range(0, len(raw), LONGEST_WORD)]
+def _spelled(word: str) -> bytes:
+    """The word with a leading space, as the vocabulary has it."""
+    return b" " + word.encode()
+
+
+def _long_score(word: bytes, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """The forward pass over one word of any length; values are kept relative to the latest one, whose logarithm is added up."""
+    raw, total = np.frombuffer(word, np.uint8), np.zeros(table.shape[1])
+    window = np.zeros((pieces.longest, table.shape[1]))  # forward values of the places before, latest first
+    window[0] = 1
+    for first in range(0, len(raw), LONG_BLOCK):
+        for numbers in pieces.endings(raw, first, min(len(raw), first + LONG_BLOCK)):
+            value = (table[numbers] * window).sum(0)
+            window[1:] = window[:-1] / value
+            window[0] = 1
+            total += np.log(value)
+    return total
 
 
 def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Log-probabilities, one row per word and one column per language; ``table`` has a row of zeros for "no piece" at its end."""
-    split = [_parts(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(p) for p in split])
-    parts = [p for ps in split for p in ps]
-    scores = np.zeros((len(parts), table.shape[1]))
-    for at, block in _by_length(parts):
+    spelled = [_spelled(w) for w in words]
+    scores = np.zeros((len(words), table.shape[1]))
+    short = np.array([i for i, w in enumerate(spelled) if len(w) <= LONG_WORD], np.int64)
+    for at, block in _by_length([spelled[i] for i in short]):
         n, numbers = block.shape[1], pieces.substrings(block)
         forward = [np.ones((len(at), table.shape[1]))]
         for end in range(1, n + 1):
-            forward.append(sum(forward[start] * table[numbers[start, end]] for start in range(max(0, end - LONGEST_PIECE), end)))
-        scores[at] = np.log(forward[n])
-    out = np.zeros((len(words), table.shape[1]))
-    np.add.at(out, owner, scores)
-    return out
+            forward.append(sum(forward[start] * table[numbers[start, end]] for start in range(max(0, end - pieces.longest), end)))
+        scores[short[at]] = np.log(forward[n])
+    for i, word in enumerate(spelled):
+        if len(word) > LONG_WORD:
+            scores[i] = _long_score(word, pieces, table)
+    return scores
 
 
-def expected_pieces(parts: list[bytes], counts: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+def expected_pieces(words: list[bytes], counts: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, given one language's probabilities (with a 0 at the end)."""
     out = np.zeros(pieces.size + 1)
-    for at, block in _by_length(parts):
+    for at, block in _by_length(words):
         n, numbers = block.shape[1], pieces.substrings(block)
         chance = {k: chances[v] for k, v in numbers.items()}
         forward, backward = [np.ones(len(at))], [np.zeros(0)] * n + [np.ones(len(at))]
         for end in range(1, n + 1):
-            forward.append(sum(forward[start] * chance[start, end] for start in range(max(0, end - LONGEST_PIECE), end)))
+            forward.append(sum(forward[start] * chance[start, end] for start in range(max(0, end - pieces.longest), end)))
         for start in range(n - 1, -1, -1):
-            backward[start] = sum(backward[end] * chance[start, end] for end in range(start + 1, min(n, start + LONGEST_PIECE) + 1))
+            backward[start] = sum(backward[end] * chance[start, end] for end in range(start + 1, min(n, start + pieces.longest) + 1))
         weight = counts[at] / forward[n]
         for (start, end), which in numbers.items():
             np.add.at(out, which, weight * forward[start] * chance[start, end] * backward[end])
@@ -145,7 +176,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, fit
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter((lang, w) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) for w in words_of(text))
+            seen = Counter((lang, w) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) for w in words_of(text) if len(_spelled(w)) <= LONG_WORD)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                 names=["lang", "word", "n"],
@@ -163,7 +194,7 @@ def _step(counted: DataFrame, languages: list[str], pieces: Pieces, table: np.nd
         for batch in batches:
             langs, words, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
             for number, name in enumerate(languages):
-                own = [(p, n) for lang, w, n in zip(langs, words, counts, strict=True) if lang == name for p in _parts(w)]
+                own = [(_spelled(w), n) for lang, w, n in zip(langs, words, counts, strict=True) if lang == name]
                 if own:
                     sums = expected_pieces([p for p, _ in own], np.array([n for _, n in own], float), pieces, table[:, number])
                     some = np.flatnonzero(sums)
@@ -182,8 +213,9 @@ def _step(counted: DataFrame, languages: list[str], pieces: Pieces, table: np.nd
 def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` (the language's share of the posterior) per row."""
 
+    pieces = Pieces(vocabulary)
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
         known: dict[str, int] = {}
         scores = np.zeros((0, len(languages)))
         for whole in batches:

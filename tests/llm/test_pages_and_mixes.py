@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -261,6 +263,73 @@ def test_forward_pass_sums_all_segmentations(tmp_path):
     assert np.isclose(sum(n * len(p) for n, p in zip(counts, names, strict=True)), 3 * 5)  # each byte is used once
 
 
+def test_long_words_are_scored_whole(tmp_path, monkeypatch):
+    """Byte by byte, in blocks of any size, as all short words are; over any number of bytes without underflow."""
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for i, p in enumerate([b" a", b"ab", b"aba", b"babab", "é".encode()])))
+    pieces = language.Pieces(str(path))
+    assert pieces.longest == 5
+    table = np.append(np.random.default_rng(0).random((pieces.size, 2)) * 1e-6, np.zeros((1, 2)), 0)
+    words = ["ab" * n for n in range(1, 15)] + ["é" * 9, "abéba", "x"]
+    usual = language.word_scores(words, pieces, table)
+    for block in (1, 3, 1000):
+        monkeypatch.setattr(language, "LONG_BLOCK", block)
+        assert np.allclose(np.array([language._long_score(language._spelled(w), pieces, table) for w in words]), usual)
+    assert np.isfinite(language.word_scores(["ab" * 5000], pieces, table)).all()
+
+
+def test_letters():
+    assert language.words_of("Été ²½ ① x1y naïve cafe\u0301 हिन्दी 漢字かな İ") == ["été", "x", "y", "naïve", "cafe\u0301", "हिन्दी", "漢字かな", "i\u0307"]
+    assert language.words_of("² ½ ① 12 _ \u0301") == []
+
+
+def test_identification_matches_brute_force(spark, tmp_path):
+    """Learning and scoring in plain Python, over a small vocabulary that is written out."""
+    extra = [b" th", b"the", b" un", b"und", b"ch", b"er", b" de", b"la", b"ing", b" de la", "é".encode()]
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for i, p in enumerate(extra)))
+    names = sorted(set(extra) | {bytes([b]) for b in range(256)})
+    number = {p: i for i, p in enumerate(names)}
+    rng = random.Random(6)
+    stock = {"de": ["und", "der", "nicht", "buch"], "en": ["the", "thing", "under", "ring"], "fr": ["de", "la", "été", "chérie"]}
+    rows = [(i, " ".join(rng.choices(stock[k], k=rng.randrange(1, 6))) + rng.choice(["", " 12", " Under!", " " + "la" * 30]), k if rng.random() < 0.8 else None) for i in range(60) for k in [rng.choice(sorted(stock))]]
+    rows += [(70, "123 ²", "en"), (71, None, "de"), (None, "der und", "de")]
+
+    def passes(word, chance):
+        n = len(word)
+        pieces = [(a, b, number[word[a:b]]) for a in range(n) for b in range(a + 1, n + 1) if word[a:b] in number]
+        forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for a, b, p in sorted(pieces, key=lambda x: x[1]):
+            forward[b] += forward[a] * chance[p]
+        for a, b, p in sorted(pieces, key=lambda x: -x[0]):
+            backward[a] += backward[b] * chance[p]
+        return pieces, forward, backward
+
+    def spelled(text):
+        return [b" " + w.encode() for w in language.words_of(text)]
+
+    crc = lambda i: zlib.crc32(str(i).encode()) % 3
+    taught = {k: [w for i, t, lang in rows if i is not None and crc(i) != 1 and lang == k and t is not None for w in spelled(t) if len(w) <= 40] for k in stock}
+    chances = {k: [1 / len(names)] * len(names) for k in stock}
+    for _ in range(language.ROUNDS):
+        for k, words in taught.items():
+            sums = [language.SMOOTHING] * len(names)
+            for word in words:
+                pieces, forward, backward = passes(word, chances[k])
+                for a, b, p in pieces:
+                    sums[p] += forward[a] * chances[k][p] * backward[b] / forward[-1]
+            chances[k] = [x / sum(sums) for x in sums]
+    got = {(r["doc_id"], r["held_out"]): (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(path)).collect()}
+    for i, text, _ in rows:
+        pred, score = got[i, i is not None and crc(i) == 1]
+        scores = {k: sum(math.log(passes(w, chances[k])[1][-1]) for w in spelled(text)) for k in stock}
+        if not spelled(text):
+            assert (pred, score) == ("und", 0)
+        else:
+            best = max(scores, key=scores.get)
+            assert pred == best and abs(score - 1 / sum(math.exp(s - scores[best]) for s in scores.values())) < 1e-6
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = catalog.op8_language_id(spark, sf_dir).join(table.select("doc_id", "lang", F.crc32(F.col("doc_id").cast("string")).alias("crc")), "doc_id").collect()
