@@ -3,8 +3,8 @@
 The corpus is read in reference blocks of a few megabytes of text. In each block every document is factored greedily
 against the block: neighbouring windows whose first occurrences neighbour each other form one factor. What the block does not explain goes into the index:
 one entry per run of windows that share their least 5-word code (the anchor), holding the codes of those windows. Equal
-windows have equal anchors, so entries that meet under one anchor are all that has to be compared, and the documents are
-factored against every block that holds the anchor. Since each window is looked up by itself, words at the boundary of two factors are covered by
+windows have equal anchors, so entries that meet under one anchor are all that has to be compared; a repeat of another block's words is
+found there, window by window, and not by factoring against that block's text. Since each window is looked up by itself, words at the boundary of two factors are covered by
 the windows that straddle it.
 
 A window of ``WINDOW`` words is a repeat if the same words also start earlier: under a smaller doc_id, or in the same
@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm.rows import pack, unpack
 from linkloom.llm.textscan import Scan, chunks, inside, long_windows, mix, repeats, runs, sliding_min, windows
@@ -211,13 +212,13 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     kept = base.columns
     spans = factors(docs, doc_id, text).groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version"))
     spans = spans.agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    joined = _keyed(base, doc_id, text).join(spans, ["_doc", "_version"], "left")
-    ready = joined.select(*[f"`{c}`" for c in kept], F.col("_spans.start").alias("_starts"), F.col("_spans.end").alias("_ends"))
-    ddl = ", ".join([f"`{c}` {t}" for c, t in base.dtypes] + ["kept string", "n_words long", "n_removed long"])
+    keyed = _keyed(base.select(F.struct(*[f"`{c}`" for c in kept]).alias("_row")), f"_row.`{doc_id}`", f"_row.`{text}`")  # no column of the caller's can clash
+    ready = keyed.join(spans, ["_doc", "_version"], "left").select("_row", F.col("_spans.start").alias("_starts"), F.col("_spans.end").alias("_ends"))
+    made = T.StructType([ready.schema["_row"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(kept.index(text)).cast(pa.binary()).to_pylist()
+            texts = batch.column("_row").field(kept.index(text)).cast(pa.binary()).to_pylist()
             left, n_words, n_removed = [], [], []
             for words, starts, ends in zip(((t or b"").split() for t in texts), batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist(), strict=True):
                 n_words.append(len(words))
@@ -228,11 +229,10 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 left.append(b" ".join(words))
-            columns = [batch.column(i) for i in range(len(kept))]
             extra = [pa.array(left, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + extra, names=[*kept, "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *extra], names=["_row", "kept", "n_words", "n_removed"])
 
-    return ready.mapInArrow(remove, ddl)
+    return ready.mapInArrow(remove, made).select("_row.*", "kept", "n_words", "n_removed")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

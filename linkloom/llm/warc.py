@@ -5,8 +5,12 @@ page_id is the response and the others revisit it without a payload. Records are
 sink: the blank lines that end a record are the sink's line separator, so files are plain WARC in any store that Spark reaches.
 
 ``read`` parses the archives by their lengths and gives a capture run per file, sorted by URL key and time. ``merge`` deals the runs out
-by ranges of (key, time, page) and merges the runs of a range with a loser tree, which yields capture histories in global order. A URL
-captured any number of times is split between ranges; a task holds index lines, never payloads.
+by ranges of (key, time, page), as many as it takes to hold ``RANGE_LINES`` lines each, and merges the runs of a range with a loser tree, which
+yields capture histories in global order. Within a range Spark's own external sort keeps each run together and in order; a URL
+captured any number of times is split between ranges. A task holds the index lines of one range, never payloads.
+
+Archives are cut by the mean size of a page and so that none exceeds ``MOST_BYTES``, unless a single record does. The text sink compresses
+a file as one stream, so offsets count in the decompressed archive.
 
 Defined cases: a NULL html is an empty payload; a NULL url gives a record without a target and an empty key; rows that repeat the largest
 page_id of equal payloads are all responses; a NULL page_id revisits, unless no equal page has an id; an empty table gives an empty result;
@@ -18,9 +22,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from linkloom.session import durable, shared_dir
 
 FILE_BYTES = 32 << 20
+MOST_BYTES = 1 << 30
+RANGE_LINES = 1 << 16
 MIN_BYTES = 0
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,8 +88,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     payload = F.coalesce(F.col(html), F.lit(""))
     read = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     read = read.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
-    mean = pages.agg(F.avg(F.octet_length(F.col(html)))).first()[0] or 0
-    per_file = max(1, int(FILE_BYTES / (mean + 600)))
+    size = F.octet_length(F.col(html))
+    mean, most = (x or 0 for x in pages.agg(F.avg(size), F.max(size)).first())
+    per_file = max(1, min(int(FILE_BYTES / (mean + 600)), MOST_BYTES // (most + 600)))
     _records(read, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
@@ -186,12 +195,10 @@ def merge(runs: DataFrame) -> DataFrame:
     """All runs as one index in the order of URL key, time and page."""
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_file: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for line in zip(*(batch.column(c).to_pylist() for c in _FIELDS), strict=True):
-                by_file.setdefault(line[8], []).append(line)
+        lines = (line for batch in batches for line in zip(*(batch.column(c).to_pylist() for c in _FIELDS), strict=True))
+        by_file = [list(run) for _, run in groupby(lines, key=lambda line: line[8])]
         held: list[tuple] = []
-        for line in LoserTree([iter(sorted(by_file[f], key=_order)) for f in sorted(by_file)], _order):
+        for line in LoserTree([iter(run) for run in by_file], _order):
             held.append(line)
             if len(held) == 10_000:
                 yield _batch(held, _ARROW)
@@ -199,7 +206,10 @@ def merge(runs: DataFrame) -> DataFrame:
         if held:
             yield _batch(held, _ARROW)
 
-    return durable(runs).repartitionByRange("url_key", "captured", "page_id").mapInArrow(merged, INDEX)
+    runs = durable(runs)
+    order = ["url_key", "captured", F.asc_nulls_last("page_id")]
+    ranges = max(1, math.ceil(runs.count() / RANGE_LINES))
+    return runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order, "offset").mapInArrow(merged, INDEX)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -108,6 +108,16 @@ def test_cut_removes_exactly_the_later_windows(docs, awkward):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "sha") == expected
 
 
+def test_cut_keeps_columns_of_any_name(docs):
+    names = ("_doc", "_version", "_spans", "_row", "_starts", "doc", "start", "anchor", "a.b", "n_words")
+    clashing = docs.withColumns({c: F.lit("mine") for c in names})
+    out = substrings.cut(clashing)
+    assert out.columns == [c for c in clashing.columns if c != "n_words"] + ["kept", "n_words", "n_removed"]
+    assert {tuple(r) for r in out.select(*[f"`{c}`" for c in names[:-1]]).collect()} == {("mine",) * (len(names) - 1)}
+    columns = ("doc_id", "n_words", "n_removed", "kept")
+    assert rows_of(out, *columns) == rows_of(substrings.cut(docs), *columns)
+
+
 def test_blocks_and_pieces_of_any_size_give_the_same_factors(awkward, monkeypatch):
     """Without Spark: one text per reference block, and pieces that end at every other batch."""
     rows = [(r[0], r[1]) for r in awkward]

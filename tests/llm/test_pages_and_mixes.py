@@ -383,6 +383,27 @@ def test_archives_come_back_whole(spark, tmp_path, monkeypatch):
             assert record.endswith(b"\r\n\r\n" + payloads[r["page_id"]])
 
 
+def test_ranges_hold_a_bounded_number_of_lines(spark, tmp_path, monkeypatch):
+    """One URL with most captures, in many files, merged in ranges of a few lines."""
+    rows = [(i, "https://hot.example/" if i % 4 else f"https://s{i}.example/", f"<p>{i}</p>") for i in range(400)]
+    warc.write(spark.createDataFrame(rows, PAGES).repartition(6), str(tmp_path / "w"))
+    monkeypatch.setattr(warc, "RANGE_LINES", 40)
+    index = warc.merge(warc.read(spark, str(tmp_path / "w"))).withColumn("part", F.spark_partition_id())
+    lines = index.collect()
+    assert [(r["url_key"], r["captured"]) for r in lines] == sorted((r["url_key"], r["captured"]) for r in lines) and len(lines) == 400
+    sizes = [r["count"] for r in index.groupBy("part").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) >= 8
+
+
+def test_a_large_page_does_not_swell_its_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 50_000)
+    rows = [(i, f"https://a.example/{i}", "x" * (20_000 if i % 10 == 0 else 10)) for i in range(100)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 50_000
+    assert warc.merge(warc.read(spark, str(tmp_path / "w"))).count() == 100
+
+
 def test_archives_reject_a_changed_payload():
     head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 9\r\n\r\n"
     with pytest.raises(ValueError, match="digest"):
