@@ -4,7 +4,8 @@ Three pages of each host are its references, and so are three of each layout tha
 their names): the shortest, and two picked by hashes. Every other page is aligned with those of its host and layout by simple tree matching: two
 nodes match if their labels agree, and the children of matched nodes are aligned in order for the largest number of matches and, among
 these, of equal texts. A text slot that holds the same text on most of the pages where it was aligned belongs to the template; slots that vary
-hold content. Article landmarks mark where the content is if a page has them; elsewhere it is the body. Menus, forms, notices and
+hold content. Article landmarks mark where the content is if a page has them, with headings and paragraphs beside them in <main>; elsewhere it
+is the body. Articles within an article are its comments. Menus, forms, notices and
 the like are recognised by element, and template texts are left out inside and outside landmarks. A class, id or role drops a block if all of its
 words are those of a menu, notice or the like, or if one of them is and the block holds a template text but not most of the content;
 it never drops html, body, headings or landmarks.
@@ -66,6 +67,9 @@ _NOT_CONTENT_NAMES = set(
     "footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related reply replies "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+_COMMENTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "responses"}
+_AROUND_COMMENTS = set("area block body box container count feed holder item items list main post reader readers section thread user users wrap wrapper".split())
+_LEADS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "header"}  # beside an article in <main>, these are its lead
 _PLACES = set("bar bottom box global left main mobile page primary right secondary site sticky top".split())  # may stand beside such a name
 _IN_ARTICLES = {"header", "related", "social", "widget"}  # there these may be content
 _NEVER_BY_NAME = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"} | _LANDMARKS
@@ -327,7 +331,9 @@ def _is_content(node: Node, in_landmark: bool, by_name: bool = True) -> bool:
     if not by_name or not node.names or node.tag in _NEVER_BY_NAME:
         return True
     listed = _NOT_CONTENT_NAMES - _IN_ARTICLES if in_landmark else _NOT_CONTENT_NAMES
-    names = ({w for w in _WORD.split(name) if w} for name in node.names.split())
+    names = [{w for w in _WORD.split(name) if w} for name in node.names.split()]
+    if any(words & _COMMENTS and words <= _COMMENTS | _AROUND_COMMENTS for words in names):
+        return False
     return not any(words & listed and words <= listed | _PLACES for words in names)
 
 
@@ -344,17 +350,43 @@ def _varying(texts: list[Node], template: dict[int, bytes]) -> int:
 
 
 def _landmarks(node: Node, by_name: bool) -> list[Node]:
-    if node.tag in _LANDMARKS:
-        inner = [x for c in node.children for x in _landmarks(c, by_name)] if node.tag == "main" else []
-        return inner or [node]
+    if node.tag == "article":
+        return [node]
+    if node.tag == "main":
+        return _with_leads(node, by_name) or [node]
     return [x for c in node.children if _is_content(c, False, by_name) for x in _landmarks(c, by_name)]
 
 
+def _with_leads(node: Node, by_name: bool) -> list[Node]:
+    """The landmarks inside ``<main>``, with the headings and paragraphs that stand beside them; nothing if there are none."""
+    out, found = [], False
+    for child in node.children:
+        inner = [child] if child.tag in _LANDMARKS else _with_leads(child, by_name) if _is_content(child, True, by_name) else []
+        found = found or bool(inner)
+        out += inner or ([child] if child.tag in _LEADS and _is_content(child, True, by_name) else [])
+    return out if found else []
+
+
+def _replies(article: Node) -> set[int]:
+    """Articles within an article: its comments, unless they say more each than the article itself (then it is a list of articles)."""
+    nested, todo = [], list(article.children)
+    while todo:
+        node = todo.pop()
+        if node.tag == "article":
+            nested.append(node)
+        else:
+            todo += node.children
+    size = lambda texts: sum(len(t.text) for t in texts if t.said)
+    within = sum(size(n.texts()) for n in nested)
+    return {id(n) for n in nested} if within <= (size(article.texts()) - within) * len(nested) else set()
+
+
 def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
     """The main text of a page, one block a line."""
     root = parse(html or "")
     marked = _landmarks(root, True) or _landmarks(root, False)
     slots = {k: s for k, s in _slots(root).items() if s in template} if template else {}
+    replies = set().union(*[_replies(m) for m in marked if m.tag == "article"])
 
     def blocks(skipped: dict[int, bytes], by_name: bool) -> list[str]:
         out: list[list[str]] = [[]]
@@ -364,6 +396,8 @@ def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
             node = todo.pop()
             if node is None:
                 out.append([])
+            elif id(node) in replies:
+                continue
             elif node.tag == "#text":
                 if id(node) not in skipped:
                     out[-1].append(entities.unescape(node.text))

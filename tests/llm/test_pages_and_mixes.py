@@ -123,6 +123,25 @@ def test_names_alone_lose_no_article(page, text):
     assert wrappers.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "comments",
+    [
+        '<section class="post-comments"><p>C</p></section>', '<ol class="comment-list"><li>C</li></ol>', '<div id="comments-area"><p>C</p></div>',
+        '<div class="user-comments"><div>C</div></div>', '<div class="comments"><p>C</p></div>', "<article><h4>Ann</h4><p>C</p></article><article><p>C too</p></article>",
+    ],
+)
+def test_reader_comments_go(comments):
+    body = "<h1>T</h1><p>The first paragraph says more than a comment.</p><p class='no-comments'>second</p>"
+    assert wrappers.extract(f"<body><article>{body}{comments}</article></body>") == "T\nThe first paragraph says more than a comment.\nsecond"
+
+
+def test_leads_beside_an_article_stay():
+    page = "<body><main><h1>Title</h1><div><p>Lead</p><article>Body</article></div><div>teaser</div><aside>x</aside></main></body>"
+    assert wrappers.extract(page) == "Title\nLead\nBody"
+    several = "<body><article><h2>All posts</h2><article><p>A whole first post.</p></article><article><p>A whole second post.</p></article></article></body>"
+    assert wrappers.extract(several) == "All posts\nA whole first post.\nA whole second post."
+
+
 def test_end_tags_of_deep_elements_close_nothing_else():
     for deep in (5, 160, 20_000):
         page = f"<div id=w><article>{'<div>' * deep}x{'</div>' * deep}<p>after</p></article></div><p>outside</p>"
