@@ -5,8 +5,9 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -64,6 +65,50 @@ def test_scores_spread_until_no_verdict_can_turn(spark):
     assert verdicts[100] == "block" and all(verdicts[i] == "allow" for i in (300, *range(200, 230)))
 
 
+def linked_pages(seed=3):
+    """Hosts with rules and without, linked at random, with cycles, loops, repeats, and one host that half of all pages are on and link to."""
+    rng = random.Random(seed)
+    hosts = [f"h{i}.io" for i in range(40)] + ["hot.io"] * 40 + ["www.example.com", "www.example.net", "a.net", "b.org", "sub.example.com"] * 3
+    rows = []
+    for i in range(400):
+        links = [rng.choice(hosts) for _ in range(rng.randrange(5))]
+        path = rng.choice(["/de/x", "/en/y", "/fr/", "/", "/x?y#z"])
+        rows.append((i, f"https://{rng.choice(hosts)}{path}", " ".join(f'<a href="https://{h.upper() if rng.random() < 0.1 else h}/p">x</a>' for h in links)))
+    return rows + [(400, None, None), (401, "no host", '<a href="https://hot.io/">x</a>'), (402, "https://hot.io/", None)]
+
+
+def test_propagation_matches_plain_python_and_sql(spark, tmp_path):
+    rows = linked_pages()
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    df = urlfilter.judge(pages)
+    host = lambda url: url.split("://", 1)[1].split("/")[0].lower() if url and "://" in url else ""
+    edges, decided = {}, {}
+    for r in df.collect():
+        decided.setdefault(r["host"], []).append(r["rule"] and r["verdict"])
+    for _, url, html in rows:
+        for target in re.findall(r'href="https://([^/"]*)/', html or ""):
+            if host(url) and host(url) != target.lower():
+                edges[host(url), target.lower()] = edges.get((host(url), target.lower()), 0) + 1
+    names = {h for e in edges for h in e} | {h for h in decided if h}
+    seed = {h: [sum(v == what for v in decided.get(h, [])) / max(1, len(decided.get(h, []))) for what in ("allow", "block")] for h in names}
+    sent, got = Counter(), Counter()
+    for (a, b), n in edges.items():
+        sent[a] += n
+        got[b] += n
+    d, trust, distrust = urlfilter.DAMPING, {h: 0.0 for h in names}, {h: 0.0 for h in names}
+    for _ in range(300):
+        trust, distrust = (
+            {h: (1 - d) * seed[h][0] + d * sum(trust[a] * n / sent[a] for (a, b), n in edges.items() if b == h) for h in names},
+            {h: (1 - d) * seed[h][1] + d * sum(distrust[b] * n / got[b] for (a, b), n in edges.items() if a == h) for h in names},
+        )
+    spread = {r["page_id"]: r["verdict"] for r in df.filter("rule IS NULL").collect()}
+    want = {i: "block" if host(u) and distrust[host(u)] > trust[host(u)] and distrust[host(u)] >= urlfilter.BLOCK_FROM else "allow" for i, u, _ in rows if i in spread}
+    assert spread == want and set(want.values()) == {"allow", "block"}
+    pages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    next((tmp_path / "in").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert differences(df, connect(str(tmp_path)), urlfilter.oracle()) == []
+
+
 def test_url_filter_empty_table(spark):
     assert urlfilter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
