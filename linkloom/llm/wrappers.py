@@ -26,6 +26,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _NODE = 1 << 24  # what a matched node weighs; an equal text weighs 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ARTICLE = re.compile(r"<article\b", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -62,7 +64,7 @@ _LANDMARKS = {"article", "main"}
 _NOT_CONTENT = {
     "head", "nav", "aside", "footer", "form", "button", "select", "input", "label", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map",
 } | _RAW
-_NOT_CONTENT_NAMES = set(
+_NOT_CONTENT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related reply replies "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -72,6 +74,7 @@ _AROUND_COMMENTS = set("area block body box container count feed holder item ite
 _LEADS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "header"}  # beside an article in <main>, these are its lead
 _PLACES = set("bar bottom box global left main mobile page primary right secondary site sticky top".split())  # may stand beside such a name
 _IN_ARTICLES = {"header", "related", "social", "widget"}  # there these may be content
+_NOT_IN_ARTICLES = _NOT_CONTENT_NAMES - _IN_ARTICLES
 _NEVER_BY_NAME = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"} | _LANDMARKS
 
 
@@ -330,11 +333,15 @@ def _is_content(node: Node, in_landmark: bool, by_name: bool = True) -> bool:
         return False
     if not by_name or not node.names or node.tag in _NEVER_BY_NAME:
         return True
-    listed = _NOT_CONTENT_NAMES - _IN_ARTICLES if in_landmark else _NOT_CONTENT_NAMES
-    names = [{w for w in _WORD.split(name) if w} for name in node.names.split()]
-    if any(words & _COMMENTS and words <= _COMMENTS | _AROUND_COMMENTS for words in names):
-        return False
-    return not any(words & listed and words <= listed | _PLACES for words in names)
+    listed = _NOT_IN_ARTICLES if in_landmark else _NOT_CONTENT_NAMES
+    return not _named_so(node.names, listed)
+
+
+@lru_cache(1 << 14)
+def _named_so(names: str, listed: frozenset[str]) -> bool:
+    """Whether one of the names consists of words of menus, notices, comments and the like alone."""
+    words = [{w for w in _WORD.split(name) if w} for name in names.split()]
+    return any(w & _COMMENTS and w <= _COMMENTS | _AROUND_COMMENTS or w & listed and w <= listed | _PLACES for w in words)
 
 
 def _is_furniture(node: Node, template: dict[int, bytes], content: int) -> bool:
@@ -386,7 +393,7 @@ def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
     root = parse(html or "")
     marked = _landmarks(root, True) or _landmarks(root, False)
     slots = {k: s for k, s in _slots(root).items() if s in template} if template else {}
-    replies = set().union(*[_replies(m) for m in marked if m.tag == "article"])
+    replies = set().union(*[_replies(m) for m in marked if m.tag == "article"]) if len(_ARTICLE.findall(html or "")) > 1 else set()
 
     def blocks(skipped: dict[int, bytes], by_name: bool) -> list[str]:
         out: list[list[str]] = [[]]
