@@ -19,6 +19,9 @@ PER_PAGE_MAX = 100
 SORT_DEFAULT = "newest"
 SORTS = ("newest", "oldest", "title", "id_desc", "id_asc")
 
+# Pages up to this place need no index.
+TOP_ROWS = 1000
+
 # An index keeps so many neighbouring rows in one slice; a page lies in one or two.
 SLICE_ROWS = 1 << 17
 
@@ -92,10 +95,16 @@ def page(
     """One page of a listing, enriched.
 
     The places of the page are looked up in ``index``, made by :func:`ranked` for these rows and kept for any number of pages, or made here
-    for this one. At most ``per_page`` ids then find their rows, so no page costs more than the first, however far down it is.
+    for this one. Without an index a page among the first ``TOP_ROWS`` places is cut off the top in one pass, in which no task keeps more
+    rows than that. At most ``per_page`` ids then find their rows, so no page keeps more than that, however far down it is.
     """
     per_page = min(per_page, PER_PAGE_MAX)
     first, last = (page - 1) * per_page + 1, page * per_page
+    order = sort_columns(sort)
+    if index is None and last <= TOP_ROWS:
+        keys = rows.select(*[F.col(c).alias(c) for c in ("id", "added_at", "title", "url")])
+        wanted = keys.orderBy(*order).offset(first - 1).limit(per_page).select("id")
+        return enrich(rows.join(F.broadcast(wanted), "id", "left_semi").orderBy(*order))
     index = ranked(rows, sort) if index is None else index
     slices = F.col("slice").between((first - 1) // SLICE_ROWS, (last - 1) // SLICE_ROWS)
     wanted = index.filter(slices & F.col("row_no").between(first, last)).select("id", "row_no")

@@ -69,8 +69,10 @@ def test_one_row_per_key(spark):
     assert {(r["k"], r["v"]) for r in scale.one_per_key(df.select("k", "v"), ["k"]).collect()} == {("a", "z"), ("b", "w"), (None, "n")}
 
 
+@pytest.mark.parametrize("top_rows", [0, 15, 1000])
 @pytest.mark.parametrize("sort", browse.SORTS)
-def test_deep_pages(tables, sort):
+def test_deep_pages(tables, sort, top_rows, monkeypatch):
+    monkeypatch.setattr(browse, "TOP_ROWS", top_rows)  # with an index, without, and on both sides of the bound
     rows = browse.recent(tables.urls)
     whole = [r["id"] for r in rows.orderBy(*browse.sort_columns(sort)).collect()]
     for p in (1, 3, 6):
