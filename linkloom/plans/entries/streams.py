@@ -11,21 +11,21 @@ from linkloom.plans.entries.training import scratch
 from linkloom.streaming import jobs
 
 
-FILES = 3
+PARTS = 3
 
 
-def arriving(t, frame, name: str, by: str):
-    """Write ``frame`` in a few files, one after the other, and open them as a stream of one file per batch."""
-    path = scratch(t, name)
-    for part in range(FILES):
-        frame.filter(F.pmod(F.col(by), F.lit(FILES)) == part).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def run_arriving(t, frame, name: str, by: str, job) -> str:
+    """Write ``frame`` in a few parts, each by as many tasks as it takes to read; run ``job`` of the stream, one batch, after each."""
+    path, checkpoint = scratch(t, name), scratch(t, "progress")
+    for part in range(PARTS):
+        frame.filter(F.pmod(F.col(by), F.lit(PARTS)) == part).write.mode("append").parquet(path)
+        jobs.run_available(job(t.spark.readStream.schema(frame.schema).parquet(path)), checkpoint)
+    return checkpoint
 
 
 def imported(t):
     path = scratch(t, "imported")
-    texts = arriving(t, t.raw_links, "texts", "doc_id")
-    jobs.run_available(jobs.import_links(texts, t.urls, path, now()), scratch(t, "progress"))
+    run_arriving(t, t.raw_links, "texts", "doc_id", lambda texts: jobs.import_links(texts, t.urls, path, now()))
     return jobs.imported(t.spark, path).select("id", "url", "status", "added_at")
 
 
@@ -38,16 +38,13 @@ def parsed(t):
 
 def labelled(t):
     path = scratch(t, "labelled")
-    stream = jobs.label_by_rules(arriving(t, work(t), "work", "id"), t.rules)
-    jobs.run_available(jobs.append_to(stream, path), scratch(t, "progress"))
+    run_arriving(t, work(t), "work", "id", lambda rows: jobs.append_to(jobs.label_by_rules(rows, t.rules), path))
     return t.spark.read.parquet(path)
 
 
 def collected(t):
-    checkpoint = scratch(t, "progress")
     stamped = t.model_results_raw.select("url_id", "model", "category", "tagged_at")
-    jobs.run_available(jobs.collect_results(arriving(t, stamped, "answers", "url_id")), checkpoint)
-    return jobs.current_results(t.spark, checkpoint)
+    return jobs.current_results(t.spark, run_arriving(t, stamped, "answers", "url_id", jobs.collect_results))
 
 
 add(
@@ -55,7 +52,7 @@ add(
     imported,
     "raw_links urls",
     LINKS
-    + f""", arrived AS (SELECT url, min({{'b': doc_id % {FILES}, 'd': doc_id, 'p': pos}}) AS f FROM links WHERE url NOT IN (SELECT url FROM urls) GROUP BY url)
+    + f""", arrived AS (SELECT url, min({{'b': doc_id % {PARTS}, 'd': doc_id, 'p': pos}}) AS f FROM links WHERE url NOT IN (SELECT url FROM urls) GROUP BY url)
 SELECT (SELECT max(id) FROM urls) + row_number() OVER (ORDER BY f) AS id, url, 'pending' AS status, TIMESTAMP '{NOW}' AS added_at FROM arrived""",
 )
 add("r2_stream_pages", parsed, "", f"SELECT page_id, {TITLE} AS title, {H1} AS description FROM pages")

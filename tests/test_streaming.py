@@ -7,6 +7,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from linkloom.operators import compare, ingest, pages
+from linkloom.plans.entries.streams import run_arriving
 from linkloom.streaming import jobs
 
 
@@ -149,3 +150,17 @@ def test_touched_pairs_can_be_sent_on(spark, tables, tmp_path):
     sent = []
     jobs.run_available(jobs.collect_results(stream(spark, folder, rows.schema)).foreachBatch(lambda df, n: sent.append(df.count())), mark)
     assert sent == [rows.select("url_id", "model").distinct().count()]
+
+
+def test_a_part_is_one_batch_of_files_by_many_tasks(spark, tables):
+    """No single task writes or sorts a part."""
+    seen = {}
+
+    def store(batch, number):
+        rows = batch.withColumn("file", F.input_file_name()).collect()
+        seen[number] = (sorted(r["id"] for r in rows), len({r["file"] for r in rows}), batch.sparkSession.conf.get(jobs.SPLIT))
+
+    split = spark.conf.get(jobs.SPLIT)
+    run_arriving(tables, spark.range(0, 90, 1, 4), "numbers", "id", lambda rows: rows.writeStream.foreachBatch(store))
+    assert seen == {k: (list(range(k, 90, 3)), 4, str(jobs.SPLIT_BYTES)) for k in range(3)}
+    assert spark.conf.get(jobs.SPLIT) == split
