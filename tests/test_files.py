@@ -217,3 +217,30 @@ def test_classifier_learns_and_survives_saving(spark, tables, tmp_path):
     assert sure.count() + unsure.count() == test.count()
     worst = [r["confidence"] for r in train.least_confident(predicted, 3).collect()]
     assert worst == sorted(r["confidence"] for r in predicted.collect())[:3]
+
+
+def test_weights_leave_the_rows_where_they_are(spark):
+    """One class must not become one task, whatever Spark thinks of the size of the weights."""
+    rows = spark.range(0, 800, 1, 8).selectExpr("id", "IF(id % 100 < 90, 'a', 'b') AS label")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dataset.with_weights(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len({r["task"] for r in got}) == 8
+    assert {r["label"]: round(r["weight"] * r["n"], 6) for r in spark.createDataFrame(got).groupBy("label", "weight").agg(F.count("id").alias("n")).collect()} == {"a": 400, "b": 400}
+
+
+def test_training_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        read.add(1)
+        return f"word{n % 7} more{n % 2}"
+
+    rows = spark.range(200).select(text.asNondeterministic()("id").alias("text"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("label"))
+    model = train.train(rows, max_iter=5, features=1 << 8)
+    assert read.value == 200
+    assert train.labels(model) == ["even", "odd"]
