@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -49,6 +49,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _ARTICLE = re.compile(r"<article\b", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -78,6 +79,9 @@ _NOT_IN_ARTICLES = _NOT_CONTENT_NAMES - _IN_ARTICLES
 _NEVER_BY_NAME = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"} | _LANDMARKS
 
 
+_NOTHING: frozenset[str] = frozenset()
+
+
 class Node:
     """An element, or a text when ``tag`` is ``#text``."""
 
@@ -87,44 +91,48 @@ class Node:
         self.tag, self.names, self.label, self.text = tag, names, f"{tag}.{names}", text
         self.children: list[Node] = []
         self.shape = self.size = self.whole = 0
-        self.said: frozenset[str] = frozenset()
+        words = " ".join(text.split()) if tag == "#text" else ""
+        self.said: frozenset[str] = frozenset((words,)) if words else _NOTHING
 
     def measure(self) -> None:
         """From the leaves up, set ``size``, the number of nodes, ``shape``, equal for trees of equal labels, ``said``, the texts, and ``whole``, equal for equal trees."""
-        for child in self.children:
-            child.measure()
-        self.size = 1 + sum(c.size for c in self.children)
-        self.shape = hash((self.label, *[c.shape for c in self.children]))
+        children = self.children
         if self.tag == "#text":
-            words = " ".join(self.text.split())
-            self.said = frozenset((words,) if words else ())
-            self.whole = hash((self.label, words))
+            self.size, self.shape, self.whole = 1, hash((self.label,)), hash((self.label, next(iter(self.said), "")))
+        elif not children:
+            self.size, self.shape = 1, hash((self.label,))
+            self.whole = self.shape
         else:
-            self.said = self.children[0].said if len(self.children) == 1 else frozenset().union(*[c.said for c in self.children])
-            self.whole = hash((self.label, *[c.whole for c in self.children]))
+            for child in children:
+                child.measure()
+            self.size = 1 + sum([c.size for c in children])
+            self.shape = hash((self.label, *[c.shape for c in children]))
+            self.whole = hash((self.label, *[c.whole for c in children]))
+            self.said = children[0].said if len(children) == 1 else _NOTHING.union(*[c.said for c in children])
 
     def texts(self) -> list[Node]:
         return [self] if self.tag == "#text" else [t for c in self.children for t in c.texts()]
 
 
-def parse(html: str) -> Node:
+def parse(html: str, measured: bool = True) -> Node:
     """A forgiving tree: blocks end open paragraphs, list items end their like, stray end tags are ignored."""
     root = Node("#root")
-    stack, opened = [root], Counter()
-    at, end = 0, len(html)
+    stack, opened = [root], defaultdict(int)
+    at, end, match = 0, len(html), _TOKEN.match
     while at < end:
-        token = _TOKEN.match(html, at)
+        token = match(html, at)
         at = token.end()
-        tag = token[2]
+        whole, closing, tag, attributes = token.group(0, 1, 2, 3)
         if tag is None:
-            inside = stack[min(len(stack), DEEPEST) - 1].children
-            if token[0][:2] not in ("<!", "<?") and token[0].strip():
-                inside.append(Node("#text", text=token[0]))
-            elif token[0][:2] not in ("<!", "<?") and inside:
-                inside.append(Node("#text", text=" "))
+            if whole[:2] not in ("<!", "<?"):
+                inside = stack[min(len(stack), DEEPEST) - 1].children
+                if not whole.isspace():
+                    inside.append(Node("#text", text=whole))
+                elif inside:
+                    inside.append(Node("#text", text=" "))
             continue
         tag = tag.lower()
-        if token[1]:
+        if closing:
             if opened[tag]:
                 _close(stack, opened, {tag}, set())
             continue
@@ -132,20 +140,22 @@ def parse(html: str) -> Node:
             _close(stack, opened, {"p"}, _SCOPES)
         if tag in _SIBLINGS:
             _close(stack, opened, _SIBLINGS[tag], _LISTS)
-        names = " ".join(sorted(" ".join(a or b or c for a, b, c in _NAMES.findall(token[3])).lower().split())) if token[3].strip() else ""
+        found = _NAMES.findall(attributes) if attributes else ()
+        names = " ".join(sorted(" ".join([a or b or c for a, b, c in found]).lower().split())) if found else ""
         node = Node(tag, names)
         stack[min(len(stack), DEEPEST) - 1].children.append(node)
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = _RAW_END[tag].search(html, at)
             node.text, at = html[at : close.start() if close else end], close.end() if close else end
-        elif tag not in _VOID and not token[3].endswith("/"):
+        elif tag not in _VOID and not attributes.endswith("/"):
             stack.append(node)
             opened[tag] += 1
-    root.measure()
+    if measured:
+        root.measure()
     return root
 
 
-def _close(stack: list[Node], opened: Counter[str], tags: set[str], scopes: set[str]) -> None:
+def _close(stack: list[Node], opened: dict[str, int], tags: set[str], scopes: set[str]) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in tags:
             for node in stack[depth:]:
@@ -313,6 +323,50 @@ def _bare(a: Node, b: Node, known: dict[tuple[int, int], int]) -> int:
     return known[key]
 
 
+class Texts:
+    """The texts of a tree in page order, and the places where each of them stands."""
+
+    __slots__ = ("root", "nodes", "words", "places", "said")
+
+    def __init__(self, root: Node):
+        self.root, self.nodes = root, root.texts()
+        self.words = [next(iter(t.said), "") for t in self.nodes]
+        places: dict[str, list[int]] = {}
+        for i, words in enumerate(self.words):
+            places.setdefault(words, []).append(i)
+        self.places = {words: tuple(at) for words, at in places.items()}
+        self.said = places.keys() - {""}
+
+
+class Alignments:
+    """Alignments by what they depend on: the shapes of two trees and where they have equal texts.
+
+    Pages of a host differ in their words far more than in these, so most pairs of pages are looked up.
+    """
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple, list[tuple[int, int]]] = {}
+        self.kept = 0
+
+    def places(self, a: Texts, b: Texts) -> list[tuple[int, int]]:
+        """The matched texts of :func:`align` as places in ``a`` and ``b``, but for those of white space alone."""
+        common = frozenset((a.places[t], b.places[t]) for t in a.said & b.said)
+        key = (a.root.shape, b.root.shape, common, a.places.get(""), b.places.get(""))
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.known) > MOST_CELLS:
+                self.known.clear()
+            left, right = ({id(t): i for i, t in enumerate(x.nodes)} for x in (a, b))
+            found = [(left[id(x)], right[id(y)]) for x, y in align(a.root, b.root, self.known)[1] if x.said]
+            self.kept += len(found) + 1
+            if self.kept > MOST_CELLS:
+                self.pairs.clear()
+                self.kept = len(found) + 1
+            self.pairs[key] = found
+        return found
+
+
 def _slots(root: Node) -> dict[int, bytes]:
     """The texts by node, each named by a digest of its path of labels and its text."""
     out: dict[int, bytes] = {}
@@ -390,7 +444,7 @@ def _replies(article: Node) -> set[int]:
 
 def extract(html: str | None, template: frozenset[bytes] = frozenset()) -> str:
     """The main text of a page, one block a line."""
-    root = parse(html or "")
+    root = parse(html or "", measured=False)
     marked = _landmarks(root, True) or _landmarks(root, False)
     slots = {k: s for k, s in _slots(root).items() if s in template} if template else {}
     replies = set().union(*[_replies(m) for m in marked if m.tag == "article"]) if len(_ARTICLE.findall(html or "")) > 1 else set()
@@ -447,29 +501,27 @@ def templates(pages: DataFrame) -> DataFrame:
     refs = _sized(gathered, F.length(F.concat_ws("", "references")) + F.length("host"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, dict[int, bytes]]] = {}
-        known: dict[tuple[int, int], int] = {}
+        trees: dict[str, tuple[Texts, list[bytes | None]]] = {}
+        alignments = Alignments()
         for batch in batches:
             aligned, equal = Counter(), Counter()
             for host, html, references in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references")), strict=True):
                 others = [r for r in references if r != html]
                 if not others:
                     continue
-                page, met, same_text = parse(html), set(), set()
+                page, met, same_text = Texts(parse(html)), set(), set()
                 for reference in others:
                     if reference not in trees:
                         if len(trees) >= MOST_TREES:
                             trees.clear()
-                        tree = parse(reference)
-                        trees[reference] = (tree, _slots(tree))
-                    tree, names = trees[reference]
-                    if len(known) > MOST_CELLS:
-                        known.clear()
-                    for x, y in align(tree, page, known)[1]:
-                        if x.said:
-                            met.add(names[id(x)])
-                            if x.said == y.said:
-                                same_text.add(names[id(x)])
+                        texts = Texts(parse(reference))
+                        slots = _slots(texts.root)
+                        trees[reference] = (texts, [slots.get(id(t)) for t in texts.nodes])
+                    texts, names = trees[reference]
+                    for i, j in alignments.places(texts, page):
+                        met.add(names[i])
+                        if texts.words[i] == page.words[j]:
+                            same_text.add(names[i])
                 aligned.update((host, name) for name in met)
                 equal.update((host, name) for name in same_text)
             columns = [[k[0] for k in aligned], [k[1] for k in aligned], list(aligned.values()), [equal[k] for k in aligned]]

@@ -221,6 +221,28 @@ def _notes(rng, n):
     return "".join(f"<p>{rng.random()} words</p>" for _ in range(n))
 
 
+def test_pages_that_differ_in_words_alone_are_aligned_once(monkeypatch):
+    """What is looked up is what an alignment of the two pages gives, also with white space, repeated and equal texts."""
+    calls, align = [], wrappers.align
+    monkeypatch.setattr(wrappers, "align", lambda a, b, known=None: calls.append(1) or align(a, b, known))
+    rng, known = random.Random(4), wrappers.Alignments()
+
+    def page(words):
+        lines = "".join(rng.choice(("<p>{}</p>", "<p><b>{}</b> </p>", "<li>{}")).format(rng.choice(words)) for _ in range(rng.randint(1, 5)))
+        return wrappers.Texts(wrappers.parse(f"<nav>Menu</nav><div>{lines}</div>"))
+
+    pages = [page(("x", "y", "Menu", f"w{i}", f"v{i}")) for i in range(60)]
+    for a in pages[:6]:
+        for b in pages:
+            want = [(x, y) for x, y in align(a.root, b.root)[1] if x.said]
+            assert [(a.nodes[i], b.nodes[j]) for i, j in known.places(a, b)] == want
+    made = len(calls)
+    for a in pages[:6]:
+        for i in range(40):
+            known.places(a, wrappers.Texts(wrappers.parse(f"<nav>Menu</nav><div><p>new{i}</p><li>other{i}</div>")))
+    assert len(calls) <= made + 6
+
+
 def test_constant_slots_decide_inside_landmarks(spark):
     rng = random.Random(3)
     rows = [(i, f"https://h.com/{i}", f"<body><article><h1>Title {i}</h1>{_notes(rng, 1 + i % 4)}<p>Read our terms</p></article></body>") for i in range(12)]
